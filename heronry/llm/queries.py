@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heronry.llm import host_reputation, quality_rules
 from heronry.llm.common import table
 
 
@@ -21,12 +22,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.host_reputation import judge_urls, outcomes_from_labels
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, outcomes_from_labels(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.odd_sketch import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,5 +55,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op7_byte_bpe, op10_token_store)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op6_quality_rules, op7_byte_bpe, op10_token_store)}
+ORACLE_SQL: dict[str, str] = {"op2_host_reputation": host_reputation.SQL, "op6_quality_rules": quality_rules.SQL}
