@@ -49,11 +49,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.rule_ensemble import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.token_store import store_and_read
 
     return store_and_read(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op6_quality_rules, op7_byte_bpe, op10_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {"op2_host_reputation": host_reputation.SQL, "op6_quality_rules": quality_rules.SQL}
