@@ -56,11 +56,17 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.token_store import store_and_read
 
     return store_and_read(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op10_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op9_decontamination, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {"op2_host_reputation": host_reputation.SQL, "op6_quality_rules": quality_rules.SQL}
