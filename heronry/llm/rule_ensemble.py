@@ -21,9 +21,9 @@ MOST_ROWS = 20_000
 STATISTICS = ("log_words", "word_length", "symbols", "bars", "marks", "upper", "stops", "echoes", "fresh_runs", "new_words", "dup_lines", "line_words")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics as doubles, for each row of (doc_id, text); a null text is empty. None of them is ever null."""
-    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def statistics(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
+    """The column ``carry`` and the statistics as doubles, for each row of (carry, text); a null text is empty. None of them is ever null."""
+    d = docs.select(carry, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     d = d.withColumn("words", F.filter(F.split("text", SPACES), lambda w: w != ""))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     runs = F.transform("words", lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)))
@@ -31,7 +31,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("n", n).withColumn("n_lines", lines)
     share = lambda c: c.cast("double") / F.col("n")
     return d.select(
-        "doc_id",
+        carry,
         F.log1p(F.size("words").cast("double")).alias("log_words"),
         share(F.length(F.array_join("words", ""))).alias("word_length"),
         share(F.regexp_count("text", F.lit(SYMBOLS))).alias("symbols"),
@@ -159,6 +159,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, penalt
     return fit_rules(x, np.array([r[-1] for r in rows], float), penalty)
 
 
+def keep_good(docs: DataFrame, model: RuleModel, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns, whatever these are named."""
+    whole = docs.select(F.struct("*").alias("_row"), "text")
+    scored = statistics(whole, "_row").select("_row", model.score().alias("_score"))
+    # a generator rather than a filter: a filter would be pushed below the statistics, and each of its conditions would compute them anew
+    return scored.select(F.explode(F.when(F.col("_score") >= threshold, F.array("_row"))).alias("_row")).select("_row.*")
+
+
 def classify(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of (doc_id, text).
 
