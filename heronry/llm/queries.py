@@ -35,6 +35,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.suffix_dedup import repeated_passages
 
@@ -74,5 +80,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op5_suffix_dedup, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op9_decontamination, op10_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op4_license_scan, op5_suffix_dedup, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op9_decontamination, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {"op2_host_reputation": host_reputation.SQL, "op6_quality_rules": quality_rules.SQL}
