@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,15 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and about 16 MB while plans are run inside, so that wide rows stay within an executor's memory."""
+    confs = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage; ``drop`` removes one that no plan needs any more."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
-    def settle(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def settle(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = 1000) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        with small_batches(self.spark, rows):
+            df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -129,9 +129,8 @@ def confirm_stars(pairs: DataFrame, percent: int) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hub_sketch, hub_full, sketch, full = (batch.column(i).to_pylist() for i in (1, 2, 4, 5))
             linked = []
-            for hs, hf, s, f in zip(hub_sketch, hub_full, sketch, full, strict=True):
+            for hs, hf, s, f in zip(*(map(pa.BinaryScalar.as_buffer, batch.column(i)) for i in (1, 2, 4, 5)), strict=True):
                 flips = int(np.bitwise_count(np.frombuffer(hs, _U) ^ np.frombuffer(s, _U)).sum())
                 linked.append(flips <= most and _similar(np.frombuffer(hf, _U), np.frombuffer(f, _U), percent))
             return pa.record_batch([batch.column(0), batch.column(3), pa.array(linked)], ["hub", "id", "linked"])
