@@ -218,7 +218,7 @@ def outer_html(node: Node) -> str:
 
 
 def tidy(text: str, indent: int = 4) -> str:
-    """One line for each block tag and each run of text, indented by depth."""
+    """One line for each block tag and each run of text, indented by depth; a fragment is put into html and body."""
     out: list[str] = []
 
     def emit(node: Node, depth: int) -> None:
@@ -248,5 +248,8 @@ def tidy(text: str, indent: int = 4) -> str:
                 run.append(outer_html(c))
         flush()
 
-    emit(parse(text), 0)
+    root = parse(text)
+    if not any(n.tag in ("html", "body") for n in root.elements()):
+        root = Node("#document", children=[Node("html", children=[Node("body", children=root.children)])])
+    emit(root, 0)
     return "\n".join(out)

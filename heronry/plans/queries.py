@@ -45,7 +45,7 @@ column_query("brace_slice", "events", "event_id", lambda: scalars.brace_slice(F.
 column_query("parse_json", "events", "event_id", lambda: scalars.parse_json(c("props"), "k long")["k"], "CAST(json_extract_string(props, '$.k') AS BIGINT)")
 column_query("format_time", "events", "event_id", lambda: scalars.format_time(F.unix_millis(c("ts").cast("timestamp"))), "strftime(ts, '%-d %b %Y %-H:%-M:%-S')")
 column_query("format_day", "events", "event_id", lambda: scalars.day(c("ts")), "strftime(ts, '%Y-%m-%d')")
-column_query("elapsed_ms", "events", "event_id", lambda: scalars.elapsed_ms(c("ts"), lit("2024-01-01").cast("timestamp")), "epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-01')")
+column_query("elapsed_ms", "events", "event_id", lambda: scalars.elapsed_ms(c("ts"), lit("2024-01-01").cast("timestamp")), "epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01') // 1000")
 column_query("pad_end", "customer", "c_custkey", lambda: scalars.pad_end(c("c_custkey").cast("string"), 3), "CASE WHEN length(c_custkey::VARCHAR) >= 3 THEN c_custkey::VARCHAR ELSE rpad(c_custkey::VARCHAR, 3, ' ') END")
 column_query("pad_start", "customer", "c_custkey", lambda: scalars.pad_start(c("c_custkey").cast("string"), 3), "CASE WHEN length(c_custkey::VARCHAR) >= 3 THEN c_custkey::VARCHAR ELSE lpad(c_custkey::VARCHAR, 3, ' ') END")
 column_query("clip_query", "pages", "page_id", lambda: scalars.clip_query(c("url")), "regexp_replace(url, '\\?.*$', '?...', 's')")
