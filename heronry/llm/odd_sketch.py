@@ -218,18 +218,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     signed = work.settle(sketch_documents(docs, n), "signed")
     known = signed.where("doc_id is not null and n_shingles > 0")
     classes = work.settle(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = known.join(classes, (known.set_key == classes.set_key) & (known.doc_id == classes.rep)).select(known.doc_id.alias("id"), "bands", "sketch")
+    heads = known.join(classes.hint("merge"), (known.set_key == classes.set_key) & (known.doc_id == classes.rep)).select(known.doc_id.alias("id"), "bands", "sketch")
 
     keyed = heads.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    stars = work.settle(keyed.join(hubs, "key").where("id <> hub").select("hub", "id").distinct(), "stars")
+    stars = work.settle(keyed.join(hubs.hint("merge"), "key").where("id <> hub").select("hub", "id").distinct(), "stars")
 
     ids = stars.select("id").union(stars.select("hub")).distinct()
-    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id")
-    sketched = heads.select("id", "sketch").join(ids, "id")
+    # merge joins at every size: the plan, and what it shuffles, then grows as the input does
+    texts = docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id")
+    sketched = heads.select("id", "sketch").join(ids.hint("merge"), "id")
     sets = work.settle(full_sets(texts.join(sketched, "id"), n), "sets", "none")
     hub_sets = sets.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("full").alias("hub_full"))
-    tried = work.settle(confirm_stars(stars.join(sets, "id").join(hub_sets, "hub"), percent), "tried")
+    tried = work.settle(confirm_stars(stars.join(sets.hint("merge"), "id").join(hub_sets.hint("merge"), "hub"), percent), "tried")
     direct = tried.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     parts = connected_components(direct)
 
