@@ -62,9 +62,12 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class ByteBpe:
-    """Encoder and decoder; a bounded memo keeps the ids of pre-tokens as little-endian uint32 bytes."""
+    """Encoder and decoder; a memo keeps the ids of pre-tokens as little-endian uint32 bytes.
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 1_000_000):
+    It has two generations of ``most`` / 2 entries: what is used moves to the younger one, and the older one is dropped when that is full.
+    """
+
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 600_000):
         import regex
         import sentencepiece
 
@@ -75,18 +78,20 @@ class ByteBpe:
         reached = self.model.encode([mapped(t) for t in tokens], num_threads=1)
         self.whole = {t: i for i, t in enumerate(tokens) if reached[i] != [i]}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pretokens(self, text: str) -> list[str]:
         return self.quick.findall(text) if self.quick and BEYOND.search(text) is None else self.find(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pretokens(t) for t in texts]
-        memo = self.memo
         distinct = {w for words in split for w in words}
-        if missing := list(distinct - memo.keys()):
-            if len(memo) + len(missing) > self.most:
-                memo.clear()
-                missing = list(distinct)
+        if len(self.memo) + len(distinct - self.memo.keys()) > self.most // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        missing = distinct - memo.keys()
+        memo.update((w, older[w]) for w in missing & older.keys())
+        if missing := list(missing - older.keys()):
             data = [w.encode("utf-8", "replace") for w in missing]
             for w, raw, ids in zip(missing, data, self.model.encode([mapped(b) for b in data], num_threads=1), strict=True):
                 own = self.whole.get(raw)
