@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import arrow_map, by_bytes, pieces
+from heronry.llm.common import arrow_map, by_bytes, fresh, pieces
 from heronry.llm.words import STEP, grams, mixed
 
 SHINGLE, PERCENT, BITS, RADIUS, BLOCK_BITS = 5, 80, 128, 40, 8
@@ -170,4 +170,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows of one id go together.
     """
     hit = contaminated(docs, benchmark).select("doc_id").distinct().checkpoint()
-    return docs.join(hit.withColumnRenamed("doc_id", "_hit"), docs.doc_id.eqNullSafe(F.col("_hit")), "left_anti")
+    name = fresh(docs, "_hit")
+    return docs.join(hit.withColumnRenamed("doc_id", name), docs.doc_id.eqNullSafe(F.col(name)), "left_anti")
