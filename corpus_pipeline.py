@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm.byte_bpe import encode_documents
-from heronry.llm.common import Workspace, table
+from heronry.llm.common import Workspace, fresh, table
 from heronry.llm.decontamination import decontaminated
 from heronry.llm.odd_sketch import near_duplicates
 from heronry.llm.rule_ensemble import keep_good, train
@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id; null ids stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs.doc_id == F.col(name), "left_anti")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
