@@ -36,5 +36,5 @@ def with_clashes(df):
     """Further columns with names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = "words lines n windows h pos sig spans found id key hub component part bands sketch shard _row _score _gone text2 html score".split()
+    names = "words lines n windows h pos sig spans found id key hub component part bands sketch shard _row _score _gone _hit _cut_id _cut_sig _cut_spans text2 html score".split()
     return df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
