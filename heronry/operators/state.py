@@ -48,6 +48,15 @@ def update_only(state: DataFrame, changes: DataFrame, keys: list[str], unset: tu
     return joined.select(*keys, *(new(x).alias(x) for x in cols))
 
 
+def update_if_changed(state: DataFrame, keys: list[str], **new: Column) -> DataFrame:
+    """The rows that a read-modify-write changes, with their new values; rows that stay equal are left out."""
+    d = state.withColumns({f"_new_{k}": v for k, v in new.items()})
+    same = F.lit(True)
+    for k in new:
+        same = same & F.col(f"_new_{k}").eqNullSafe(F.col(k))
+    return d.filter(~same).select(*keys, *(F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in state.columns if c not in keys))
+
+
 def delete_keys(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return state.join(gone.select(*keys).distinct(), keys, "left_anti")
 

@@ -163,6 +163,46 @@ register("field_map", "pages", lambda p: evidence.field_map(extract_fields(p, (*
 register("evidence_summary", "pages", lambda p: evidence.evidence_summary(extract_fields(p, (*RULES, EXAMPLE)).filter("name = 'title'")), "SELECT 'title' AS name, unnest(['input:response-body', 'select:$(article > h1)', 'article > h1 ++ article p ++ nav a?']) AS evidence, (SELECT count(*) FROM pages) AS n")
 
 
+_LONG = "We study a thing. " * 15 + "@"
+_META = '<meta name="citation_title" content="T@"><meta name="citation_author" content="A@"><meta name="citation_author" content="B"><meta name="citation_pdf_url" content="/x@.pdf">'
+_DC = '<meta name="DC.Title" content="T@"><meta name="dc.Creator" content="A@"><meta name="dc.creator" content="B">'
+_FULL = (("title", "T@"), ("author", "A@"), ("author", "B"), ("abstract", _LONG))
+_PDF = (("pdf-link", "/x@.pdf"),)
+#: rule -> (address, page, fields); @ stands for the document's number, and links are relative to the address.
+RULE_PAGES: dict[str, tuple[str, str, tuple[tuple[str, str], ...]]] = {
+    "arxiv": ("http://export.arxiv.org", f'<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T@</title><summary>{_LONG}</summary><link href="/y"/><link type="application/pdf" href="/x@.pdf"/></entry></feed>', (("title", "T@"), ("abstract", _LONG), *_PDF)),
+    "sciencedirect": ("https://www.sciencedirect.com", f'{_META}<meta property="og:description" content="cut @"><div class="Abstracts">{_LONG}</div><a class="author">C@</a>', (("title", "T@"), ("abstract-clipped", "cut @"), ("abstract", _LONG), ("author", "C@"))),
+    "acm": ("https://dl.acm.org", f'{_DC}<div class="abstractInFull">{_LONG}</div><a title="PDF" href="/x@.pdf">p</a>', (*_FULL, *_PDF)),
+    "aclweb": ("https://www.aclweb.org", f'{_META}<div class="acl-abstract">{_LONG}</div>', (*_FULL, *_PDF)),
+    "ijcai": ("https://www.ijcai.org", f'{_META}<div class="col-md-12">{_LONG}</div>', _FULL),
+    "mitpress": ("https://www.mitpressjournals.org", f'{_DC}<a class="show-pdf" href="/x@.pdf">p</a><p class="abstractInFull">{_LONG}</p>', (*_FULL, *_PDF)),
+    "oup": ("https://academic.oup.com", f'{_META}<section class="abstract"><p class="chapter-para">{_LONG}</p></section>', (*_FULL, *_PDF)),
+    "nips": ("https://papers.nips.cc", f"{_META}<h4>Abstract</h4><p>{_LONG}</p>", (*_FULL, *_PDF)),
+    "iospress": ("https://content.iospress.com", f'{_META}<div data-abstract="{_LONG}"></div>', (*_FULL, *_PDF)),
+    "digitalhumanities": ("http://digitalhumanities.org", f'<h1 class="articleTitle">T@</h1><div class="author">A@</div><div class="author">B</div><div id="abstract">{_LONG}</div>', _FULL),
+    "kybernetika": ("https://www.kybernetika.cz", f'<div class="ar_title">T@</div><div class="authors"><a>A@</a><a>B</a></div><p class="abstract">{_LONG}</p>', _FULL),
+    "ieee": ("https://ieeexplore.ieee.org", f'<script>\nx.global.document.metadata={{"title":"T@","abstract":"{_LONG}","authors":[{{"name":"A@"}},{{"name":"B"}}],"pdfPath":"/x@.pdf"}};\n</script>', (*_FULL, *_PDF)),
+    "springer": ("https://link.springer.com", f'{_META}<script type="application/ld+json">{{"headline":"T@","description":"{_LONG}","author":[{{"name":"A@"}},{{"name":"B"}}]}}</script>', _FULL),
+    "neurips": ("https://proceedings.neurips.cc", f"{_META}<div><h4>Abstract</h4><p></p><p>{_LONG}</p></div><div>other</div>", (*_FULL, *_PDF)),
+    "isca": ("https://www.isca-speech.org", f'<div class="w3-card"><h3>T@</h3><h5>A@, B</h5><p>{_LONG}</p><a href="/x@.pdf">pdf</a></div>', (("title", "T@"), ("authors", "A@, B"), ("abstract", _LONG), *_PDF)),
+    "lrec": ("http://www.lrec-conf.org", f'<table><tr><th>Title</th><td>T@</td></tr><tr><th>Authors</th><td>A@, B</td></tr><tr><th>Abstract</th><td>{_LONG}</td></tr><tr><th>Full Paper</th><td><a href="/x@.pdf"><b>x</b></a></td></tr></table>', (("title", "T@"), ("authors-block", "A@, B"), ("abstract", _LONG), *_PDF)),
+    "cogsci": ("https://cogsci.mindmodeling.org", f"<h2>Abstract</h2><blockquote><p>{_LONG}</p></blockquote>", (("abstract", f"<p>{_LONG}</p>"[3:-4]),)),
+    "general": ("https://somewhere.org", f'{_DC}<meta name="description" content="{_LONG}"><meta name="citation_pdf_url" content="/x@.pdf">', (*_FULL, *_PDF)),
+}
+
+
+def _rule_query(name: str) -> None:
+    address, page, fields = RULE_PAGES[name]
+    fill = lambda t: F.replace(lit(t), lit("@"), c("doc_id").cast("string"))
+    make = lambda d: extract_fields(d.select(c("doc_id").alias("page_id"), fill(f"{address}/p/@").alias("url"), fill(page).alias("html"))).select("page_id", "name", "value").distinct()
+    rows = " UNION ".join(f"SELECT doc_id AS page_id, '{f}' AS name, replace('{(address if f == 'pdf-link' else '') + v}', '@', doc_id::VARCHAR) AS value FROM documents" for f, v in fields)
+    register(f"rule_{name}", "documents", make, rows)
+
+
+for _name in RULE_PAGES:
+    _rule_query(_name)
+
+
 def _example_candidates() -> Column:
     """Three candidates of a document, with evidence by its number."""
     one = lambda i, text, *ev: F.struct(lit(i).alias("seq"), text.alias("text"), F.array(*ev).alias("evidence"), lit(None).cast("string").alias("resolved"))
@@ -213,6 +253,7 @@ _CH = "(SELECT o_orderkey * 2 AS o_orderkey, 'X' AS st FROM orders WHERE o_order
 register("upsert", "orders", lambda o: state.upsert(_state(o), _changes(o), ["o_orderkey"]), f"SELECT coalesce(o.o_orderkey, c.o_orderkey) AS o_orderkey, coalesce(st, o_orderstatus) AS o_orderstatus, o_totalprice FROM orders o FULL OUTER JOIN {_CH} c ON o.o_orderkey = c.o_orderkey")
 register("update_only", "orders", lambda o: state.update_only(_state(o), _changes(o), ["o_orderkey"], unset=("o_totalprice",)), f"SELECT o.o_orderkey, coalesce(st, o_orderstatus) AS o_orderstatus, CASE WHEN st IS NULL THEN o_totalprice END AS o_totalprice FROM orders o LEFT JOIN {_CH} c ON o.o_orderkey = c.o_orderkey")
 register("delete_keys", "orders", lambda o: state.delete_keys(_state(o), _changes(o), ["o_orderkey"]), f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_CH})")
+register("update_if_changed", "orders", lambda o: state.update_if_changed(_state(o), ["o_orderkey"], o_orderstatus=F.when(c("o_orderkey") % 2 == 0, lit("O")).otherwise(c("o_orderstatus"))), "SELECT o_orderkey, 'O' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'O'")
 register("insert_if_absent", "orders", lambda o: state.insert_if_absent(_state(o), _changes(o), ["o_orderkey"]), f"SELECT o_orderkey, st AS o_orderstatus FROM {_CH} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 register("lookup", "orders", lambda o: state.lookup(_state(o), "o_orderkey", 7), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 7")
 register("last_write", "events", lambda e: state.last_write(e.select("user_id", "event_id", "event_type"), ["user_id"], "event_id"), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -276,6 +317,9 @@ register("request_cycle", "events", lambda e: sequences.request_cycle(e.select((
  SELECT request_id, CASE WHEN list_has_all(ks, ['request', 'response', 'requestfinished']) THEN 'success' WHEN list_has_all(ks, ['request', 'requestfailed']) THEN 'fail' ELSE 'open' END AS outcome, blocked FROM s""")
 register("fetch_pages", "orders", lambda o: sequences.fetch_pages(o, "o_orderkey", 3, 40, 10), "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 3 AS BIGINT) AS page FROM (SELECT o_orderkey FROM orders WHERE o_orderkey > 10 ORDER BY 1 LIMIT 40)")
 register("char_stream", "benchmark", lambda b: _characters(b), "SELECT item_id, CAST(i - 1 AS BIGINT) AS pos, substr(text, i, 1) AS ch FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark)")
+register("label_report", "documents", lambda d: _label_report(d), "SELECT lang AS kind, 'title' AS field, count(*) AS records, CAST(sum((doc_id % 2 = 0)::INT) AS BIGINT) AS found, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS values FROM documents GROUP BY 1")
+register("markup_check", "pages", lambda p: _markup(p), "SELECT page_id, page_id % 2 = 0 AS ok FROM pages")
+register("outbox", "benchmark", lambda b: _outbox(b), "SELECT item_id::VARCHAR AS noteId, 'abstract' AS fieldType, '{\"noteId\":\"' || item_id || '\",\"field\":{\"name\":\"abstract\",\"value\":\"v' || item_id || '\"},\"signature\":\"me\"}' AS body FROM benchmark")
 register("url_list", "pages", lambda p: _url_list(p), "SELECT url FROM pages WHERE page_id % 3 <> 0")
 
 
@@ -285,6 +329,27 @@ def _characters(b: DataFrame) -> DataFrame:
     return characters(b, ["item_id"], "text").select("item_id", c("pos").cast("long").alias("pos"), "ch")
 
 
+def _label_report(d: DataFrame) -> DataFrame:
+    from heronry.sources.corpus import label_report
+
+    one = F.struct(lit("title").alias("name"), F.array(lit("e")).alias("evidence"), c("source").alias("value"))
+    found = F.struct((c("doc_id") % 2 == 0).alias("exists"), lit(1).alias("count"), F.when(c("doc_id") % 2 == 0, F.array(one, one)).otherwise(F.array().cast("array<struct<name:string,evidence:array<string>,value:string>>")).alias("instances"))
+    return label_report(d.select(c("lang").alias("kind"), F.create_map(lit("title"), found).alias("fields")))
+
+
+def _markup(p: DataFrame) -> DataFrame:
+    from heronry.sources.corpus import looks_like_markup
+
+    return p.select("page_id", looks_like_markup(F.when(c("page_id") % 2 == 0, F.concat(lit("  "), c("html"))).otherwise(lit("%PDF"))).alias("ok"))
+
+
+def _outbox(b: DataFrame) -> DataFrame:
+    from heronry.sources.feeds import outbox
+
+    number = c("item_id").cast("string")
+    return outbox(b.select(number.alias("noteId"), lit("abstract").alias("fieldType"), F.concat(lit("v"), number).alias("value")), "me")
+
+
 def _url_list(p: DataFrame) -> DataFrame:
     from heronry.sources.corpus import url_list
 

@@ -70,6 +70,29 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=CSV_SCHEMA)
 
 
+RECORD_SCHEMA = "kind string, fields map<string, struct<exists:boolean,count:int,instances:array<struct<name:string,evidence:array<string>,value:string>>>>"
+
+
+def read_extraction_records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECORD_SCHEMA).json(path, multiLine=True)
+
+
+def label_report(records: DataFrame) -> DataFrame:
+    """(kind, field, records, found, values): how often each field is there and how many values it has."""
+    d = records.select("kind", F.explode("fields").alias("field", "f"))
+    return d.groupBy("kind", "field").agg(F.count("*").alias("records"), F.sum(F.col("f.exists").cast("long")).alias("found"), F.sum(F.size("f.instances").cast("long")).alias("values"))
+
+
+def looks_like_markup(body: Column) -> Column:
+    """Whether the text begins as HTML or XML does."""
+    return F.coalesce(F.lower(F.ltrim(body)).rlike(r"\A(<!doctype|<html|<\?xml|<head|<body)"), F.lit(False))
+
+
+def existing_entries(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """The rows whose entry is in the corpus."""
+    return rows.join(entries.select(key).distinct(), key, "left_semi")
+
+
 def characters(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, pos, ch): a row a character."""
     return df.filter(F.length(text) > 0).select(*keys, F.posexplode(F.split(text, "")).alias("pos", "ch"))
