@@ -153,7 +153,7 @@ register("clean_abstract", "documents", lambda d: d.select("doc_id", cleaning.ap
 _unescape = lambda s: f"replace(replace({s}, '&quot;', '\"'), '&amp;', '&')"
 register("css_text", "pages", lambda p: p.select("page_id", F.get(extract.css_text(c("html"), lit("article > h1")), lit(0)).alias("h1")), f"SELECT page_id, trim({_unescape(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)')}) AS h1 FROM pages")
 register("css_attr", "pages", lambda p: p.select("page_id", F.posexplode(extract.css_attr(c("html"), lit("nav li > a"), lit("href"))).alias("pos", "href")).select("page_id", c("pos").cast("long").alias("pos"), "href"), "SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages))")
-register("css_outer", "pages", lambda p: p.select("page_id", F.get(extract.css_outer(c("html"), lit("title")), lit(0)).alias("out")), None)
+register("css_outer", "pages", lambda p: p.select("page_id", F.get(extract.css_outer(c("html"), lit("title")), lit(0)).alias("out")), "SELECT page_id, replace(regexp_extract(html, '<title>[^<]*</title>'), '&quot;', '\"') AS out FROM pages")
 register("tidy_html", "pages", lambda p: p.select("page_id", F.size(F.split(extract.tidy_html(c("html")), "\n")).alias("n_lines")), None)
 register("page_titles", "pages", lambda p: canonical_fields(p).filter("name = 'title'").select("page_id", "value"), f"SELECT page_id, trim({_unescape(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)')}) AS value FROM pages")
 register("pdf_links", "pages", lambda p: extract_fields(p, (*RULES, EXAMPLE)).filter("name = 'pdf-link'").select("page_id", "value"), "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS value FROM pages")
@@ -288,7 +288,20 @@ register("domain_http_pivot", "events", lambda e: summary.domain_http_pivot(_sta
  SELECT *, rpad(domain, 35, ' ') || ': ' || {' || '.join(f"'{k}0x: ' || rpad(c{k}0x::VARCHAR, 6, ' ')" for k in (2, 3, 4, 5))} AS line FROM d""")
 register("facet_union", "events", lambda e: summary.facets({"type": summary.count_by(e, "event_type"), "day": summary.count_by_day(e, "ts").withColumnRenamed("day", "key"), "total": summary.count_total(e).select(lit("total").alias("key"), c("total").alias("n"))}), "SELECT 'type' AS facet, event_type AS key, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d'), count(*) FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 2 UNION ALL SELECT 'total', 'total', count(*) FROM events")
 register("grouped_facets", "lineitem", lambda x: summary.grouped_facets(x, ["l_returnflag", "l_linestatus"]), "SELECT 'l_returnflag' AS facet, l_returnflag AS key, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2")
-register("status_report", "events", lambda e: summary.status_report(_status_rows(e)), None)
+_states = ", ".join(f"'{w}'" for w in state.WORKFLOW)
+register("status_report", "events", lambda e: summary.status_report(_status_rows(e)), f"""
+ WITH s AS (SELECT * FROM {_S}), nl AS (SELECT chr(10) AS nl),
+ d AS (SELECT responseHost AS domain, sum(hasAbstract::INT) AS present, count(*) AS total FROM s WHERE valid GROUP BY 1),
+ o AS (SELECT *, CASE WHEN total = present THEN 0 WHEN present = 0 THEN 2 ELSE 1 END AS r FROM d),
+ l AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY total DESC, domain) AS place, '    ' || CASE r WHEN 0 THEN present::VARCHAR WHEN 1 THEN present || '/' || total ELSE '0/' || total END || ': ' || domain AS line FROM o
+       UNION ALL SELECT * FROM (VALUES (0, 0, 'Fully Successful Domains'), (1, 0, 'Partially Successful Domains'), (2, 0, 'Failed Domains'))),
+ h AS (SELECT responseHost AS domain, {', '.join(f"coalesce(sum((httpStatus // 100 = {k})::INT), 0) AS c{k}" for k in (2, 3, 4, 5))} FROM s WHERE valid GROUP BY 1)
+ SELECT 'Recorded Note Count: ' || (SELECT count(*) FROM s) || nl || nl || 'Notes With Abstracts: ' || (SELECT sum(hasAbstract::INT) FROM s) || nl || nl || 'Notes With PDF Links: ' || (SELECT sum(hasPdfLink::INT) FROM s) || nl || nl
+  || 'Updated Notes Per Day, Last 7 days' || nl || (SELECT string_agg('    ' || day || ': ' || n, chr(10) ORDER BY day) FROM (SELECT strftime(updatedAt, '%Y-%m-%d') AS day, count(*) AS n FROM s WHERE updatedAt >= (SELECT max(updatedAt) FROM s) - INTERVAL 7 DAY GROUP BY 1)) || nl || nl
+  || 'Extracted Abstracts By Domain, out of Notes with valid URLs' || nl || (SELECT string_agg(line, chr(10) ORDER BY r, place) FROM l) || nl || nl
+  || 'Http Status Counts By Domain' || nl || (SELECT string_agg(rpad(domain, 35, ' ') || ': ' || {' || '.join(f"'{k}0x: ' || rpad(c{k}::VARCHAR, 6, ' ')" for k in (2, 3, 4, 5))}, chr(10) ORDER BY domain) FROM h) || nl || nl
+  || 'Workflow Status Counts' || nl || (SELECT string_agg('    ' || w || ': ' || n, chr(10) ORDER BY w) FROM (SELECT [{_states}][event_id % 10 + 1] AS w, count(*) AS n FROM s GROUP BY 1)) AS report
+ FROM nl""")
 
 # --- sequences -----------------------------------------------------------------------------------
 _runs = "SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS b FROM events)"
@@ -305,7 +318,7 @@ register("slice_stream", "events", lambda e: sequences.slice_rows(e.select("even
 register("zip_with_index", "events", lambda e: sequences.zip_with_index(e, ["user_id"], ["event_id"], 5).select("event_id", "index"), f"SELECT event_id, i + 5 AS index FROM {_rn}")
 register("from_batches", "orders", lambda o: sequences.from_batches(o.select("o_orderkey", F.array(c("o_orderkey"), -c("o_orderkey")).alias("a")), "a", ["o_orderkey"], 101).select("item"), "SELECT unnest([o_orderkey, -o_orderkey]) AS item FROM (SELECT o_orderkey FROM orders ORDER BY 1) LIMIT 101")
 register("stream_gather", "events", lambda e: sequences.gather(e, ["user_id"], ["event_id"], "event_type").select("user_id", F.array_join("items", ",").alias("items")), "SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS items FROM events GROUP BY 1")
-register("stream_fold", "events", lambda e: sequences.gather(e, ["user_id"], ["event_id"], "event_id").select("user_id", sequences.fold(c("items"), lit(0).cast("long"), lambda a, x: (a * 31 + x) % 1000003).alias("out")), None)
+register("stream_fold", "events", lambda e: sequences.gather(e, ["user_id"], ["event_id"], "event_id").select("user_id", sequences.fold(c("items"), lit(0).cast("long"), lambda a, x: (a * 31 + x) % 1000003).alias("out")), "SELECT user_id, CAST(list_reduce(list_concat([0], list(event_id ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS out FROM events GROUP BY 1")
 register("last_item", "events", lambda e: sequences.last_item(e, ["user_id"], ["ts", "event_id"], "event_type"), "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 register("partition_results", "events", lambda e: sequences.partition_results(e, ["user_id"], ["event_id"], "event_id", c("event_type") != "error").select("user_id", F.array_join("lefts", ",").alias("lefts"), F.array_join("rights", ",").alias("rights")), "SELECT user_id, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS lefts, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (event_type <> 'error'), '') AS rights FROM events GROUP BY 1")
 register("set_difference", "benchmark", lambda b: b.select("item_id", F.array_join(sequences.difference(F.split("text", " "), F.array(lit("the"), lit("de"))), " ").alias("out")), "SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda x: x NOT IN ('the', 'de')), ' ') AS out FROM benchmark")
