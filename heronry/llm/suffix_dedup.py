@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import Workspace, arrow_map, by_bytes, pieces
+from heronry.llm.common import Workspace, arrow_map, by_bytes, fresh, pieces
 from heronry.llm.words import WordHashes, grams
 
 K, W = 20, 31
@@ -117,6 +117,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
 
 
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Rows (doc_id, sig, start, end, source) with the overlapping and touching spans of a document as one, of smallest source."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, 4], spans[:, 3], spans[:, 2], spans[:, 1], spans[:, 0]))]
+    other = np.concatenate([[True], (spans[1:, :2] != spans[:-1, :2]).any(axis=1)])
+    far = np.cumsum(other) << 40  # beyond any position, so that one running maximum does for all documents
+    reach = np.maximum.accumulate(spans[:, 3] + far)
+    begins = np.flatnonzero(np.concatenate([[True], (spans[1:, 2] + far[1:]) > reach[:-1]]))
+    return np.stack([*spans[begins, :3].T, np.maximum.reduceat(spans[:, 3], begins), np.minimum.reduceat(spans[:, 4], begins)], axis=1)
+
+
 def extended(rows: DataFrame) -> DataFrame:
     """(doc_id, sig, start, end, src_doc_id) of the repeats, from sorted suffixes with their leaders' columns (l_...)."""
 
@@ -143,7 +155,7 @@ def extended(rows: DataFrame) -> DataFrame:
             add(k[1:], sig[1:], pos[1:], r, l, k[:-1], same & later)
             add(k[:-1], sig[:-1], pos[:-1], r, l, k[1:], same & sooner)
             last = [x[-1:].copy() for x in (h, k, sig, pos, right, left)]
-            found = np.unique(np.stack([np.concatenate(c) for c in zip(*out, strict=True)], axis=1), axis=0)
+            found = _joined(np.stack([np.concatenate(c) for c in zip(*out, strict=True)], axis=1))
             if len(found):
                 yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in found.T], ["doc_id", "sig", "start", "end", "src_doc_id"])
 
@@ -206,12 +218,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Rows without repeats, null ids and null texts among them, stay as they are.
     """
     schema, names = docs.schema, docs.columns
-    spans = repeat_spans(docs).withColumnRenamed("doc_id", "_cut_id").withColumnRenamed("sig", "_cut_sig").withColumnRenamed("spans", "_cut_spans")
-    joined = docs.join(spans, (docs.doc_id.cast("long") == F.col("_cut_id")) & (F.xxhash64(docs.text) == F.col("_cut_sig")), "left")
+    cut_id, cut_sig, cut_spans = (fresh(docs, n) for n in ("_cut_id", "_cut_sig", "_cut_spans"))
+    spans = repeat_spans(docs).toDF(cut_id, cut_sig, cut_spans)
+    joined = docs.join(spans, (docs.doc_id.cast("long") == F.col(cut_id)) & (F.xxhash64(docs.text) == F.col(cut_sig)), "left")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, lists = batch.column("text").to_pylist(), batch.column("_cut_spans").to_pylist()
+            texts, lists = batch.column("text").to_pylist(), batch.column(cut_spans).to_pylist()
             keep = np.ones(batch.num_rows, bool)
             for i, spans in enumerate(lists):
                 if spans:
