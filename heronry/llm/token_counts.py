@@ -1,6 +1,6 @@
 """Token counts, with overlap resynchronisation for huge documents.
 
-Texts up to ``window`` characters are encoded whole.  A longer one is encoded in overlapping windows
+Texts up to ``window`` characters are encoded whole (their words through a memo, see ``heronry.llm.word_memo``).  A longer one is encoded in overlapping windows
 with offsets.  Neighbouring windows are spliced at a boundary that both encodings have in their overlap
 and that is proven stable: there a token starts, and the character before it is white space, which the
 tokenizer drops and across which it neither normalises nor splits nor merges.  If the overlap holds
@@ -77,14 +77,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, over: int = 2048, window:
     """
 
     def make():
-        tokenizer = load_tokenizer(tokenizer_path)
+        from heronry.llm.word_memo import word_ids
+
+        tokenizer, memo = load_tokenizer(tokenizer_path), word_ids(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts: list[int] = []
             for _, texts in pieces(batch.column(1)):
                 texts = [t or "" for t in texts]
-                short = iter(tokenizer.encode_batch_fast([t for t in texts if len(t) <= window], add_special_tokens=False))
-                counts += [len(next(short)) if len(t) <= window else len(spliced_ids(tokenizer, t, window, overlap)) for t in texts]
+                short = iter(memo.encode([t for t in texts if len(t) <= window]))
+                counts += [len(next(short)) // 4 if len(t) <= window else len(spliced_ids(tokenizer, t, window, overlap)) for t in texts]
             sizes = pc.binary_length(batch.column(1)).fill_null(0).cast("int64")
             n = pa.array(counts, "int64")
             return pa.record_batch([batch.column(0), sizes, n, pc.greater(n, over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -9,79 +9,30 @@ A shard holds documents in ascending doc_id order, null ids first:
                            0x8F92EAB1, as the public zstd seekable format has them
 
 A reader takes the seek table from the end of the file and decompresses only the frames asked for.
-Words are looked up in a bounded memo, so the tokenizers library encodes a word once, not once each time
-it occurs; texts for which a split into words could differ from the library's go to it whole.
+Ids come from the tokenizers library through a memo of words (see ``heronry.llm.word_memo``).
 """
 
 from __future__ import annotations
 
-import array
-import json
-import re
+import math
 import struct
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm.common import pieces, shared_dir
-from heronry.llm.token_counts import load_tokenizer
+from heronry.llm.word_memo import word_ids
 
 END_ID = 1
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-#: The pre-tokenizer's classes for code points up to 255 and for common punctuation above.
-LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
-WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
-#: A text with any other character, or with what may be a special token, is left to the library.
-ODD = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-\xff–—‘’“”•…€]|<\\|")
-
-
-def _packed(ids: list[int]) -> bytes:
-    out = array.array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
-class WordIds(dict):
-    """lower-cased word -> its ids as little-endian uint32 bytes; holds ``most`` words at most (about 200 MB)."""
-
-    def __init__(self, tokenizer, most: int = 1_000_000):
-        from tokenizers import Tokenizer
-
-        # words are normalised and split already; for them the same model does without either step
-        spec = json.loads(tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-        self.tokenizer, self.words, self.most = tokenizer, Tokenizer.from_str(json.dumps(spec)), most
-
-    def learn(self, words: list[str]) -> None:
-        if missing := list(set(words) - self.keys()):
-            if len(self) + len(missing) > self.most:
-                self.clear()
-                missing = list(set(words))
-            for word, e in zip(missing, self.words.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self[word] = _packed(e.ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [t is not None and ODD.search(t) is None for t in texts]
-        split = [WORD.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
-        self.learn([w for words in split for w in words])
-        whole = iter(self.tokenizer.encode_batch_fast([t or "" for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [b"".join(map(self.__getitem__, words)) if p else _packed(next(whole).ids) for words, p in zip(split, plain, strict=True)]
-
-
-@lru_cache(maxsize=1)
-def word_ids(tokenizer_path: str) -> WordIds:
-    """One memo a Python worker, kept from task to task."""
-    return WordIds(load_tokenizer(tokenizer_path))
 
 
 def seek_table(entries: list[tuple[int, int, int]]) -> bytes:
@@ -126,6 +77,18 @@ def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
     return sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
 
 
+def shard_of(doc_id: Column, bounds: list[int]) -> Column:
+    """How many bounds lie below the id (0 for null), found in two steps of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda array: F.size(F.filter(array, lambda b: b < doc_id))
+    coarse = below(F.lit([g[-1] for g in groups]))
+    fine = below(F.get(F.array(*map(F.lit, groups)), coarse))
+    return F.coalesce(F.when(doc_id.isNotNull(), F.when(coarse < len(groups), coarse * step + fine).otherwise(len(bounds))), F.lit(0))
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, shards: int | None = None, level: int = 1) -> DataFrame:
     """Encode (doc_id, text) and write shards to ``folder``; returns (shard, path, n_docs, n_tokens), one row a file.
 
@@ -137,10 +100,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, shards: int
     spark = docs.sparkSession
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = shard_bounds(docs, shards)
-    place = F.lit(0)
-    if bounds:
-        # binary search of the bounds as a sum over a literal array: bounded by the number of shards
-        place = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))), F.lit(0))
+    place = shard_of(F.col("doc_id"), bounds)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, pack = word_ids(tokenizer_path), zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
