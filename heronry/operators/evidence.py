@@ -59,20 +59,39 @@ def matched(candidates: Column, attempt: Column) -> Column:
     return F.flatten(F.transform(attempt["keys"], per_key))
 
 
-def field_records(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(page_id, url, seq, name, value, evidence): abstracts are cleaned, links resolved, and empty values dropped.
+def _with_cleaned(f: Column) -> Column:
+    return F.struct(f["name"].alias("name"), f["text"].alias("text"), f["resolved"].alias("resolved"), f["evidence"].alias("evidence"), F.when(f["name"] == "abstract", apply_rules(f["text"])).alias("cleaned"))
+
+
+def _record(f: Column, i: Column) -> Column:
+    """struct<seq, name, value, evidence> of a match: abstracts are cleaned, which leaves its trace, and links resolved."""
+    value = F.when(f["name"] == "abstract", f["cleaned"]["value"]).when(f["name"].startswith("pdf-"), F.coalesce(f["resolved"], F.lit(""))).otherwise(f["text"])
+    fired = F.coalesce(F.transform(f["cleaned"]["fired"], lambda x: F.concat(F.lit("clean: "), x)), F.array().cast("array<string>"))
+    return F.struct(i.alias("seq"), f["name"].alias("name"), value.alias("value"), F.concat(f["evidence"], fired).alias("evidence"))
+
+
+def field_arrays(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(page_id, url, fields array<struct<seq, name, value, evidence>>), a row a page that has any; empty values are dropped.
 
-    The rule table is broadcast: it has a row a rule.  Rows stay on their partition.
+    The rule table is broadcast: it has a row a rule.  Rows stay on their partition, and nothing is shuffled.
     """
     table = F.broadcast(rule_table(pages.sparkSession, rules))
     d = pages.join(table, "rule").withColumn("attempt", chosen_attempt(F.col("candidates"), F.col("attempts"), F.coalesce("url", F.lit(""))))
-    d = d.where("attempt is not null").select("page_id", "url", F.posexplode(matched(F.col("candidates"), F.col("attempt"))).alias("seq", "f"))
-    d = d.select("page_id", "url", "seq", "f.name", "f.text", "f.resolved", "f.evidence")
-    d = d.withColumn("cleaned", F.when(F.col("name") == "abstract", apply_rules(F.col("text"))))
-    value = F.when(F.col("name") == "abstract", F.col("cleaned.value")).when(F.col("name").startswith("pdf-"), F.coalesce("resolved", F.lit(""))).otherwise(F.col("text"))
-    fired = F.coalesce(F.transform("cleaned.fired", lambda x: F.concat(F.lit("clean: "), x)), F.array().cast("array<string>"))
-    d = d.select("page_id", "url", "seq", "name", value.alias("value"), F.concat("evidence", fired).alias("evidence"))
-    return d.where("value <> ''")
+    d = d.where("attempt is not null").select("page_id", "url", F.transform(matched(F.col("candidates"), F.col("attempt")), _with_cleaned).alias("m"))
+    return d.select("page_id", "url", F.filter(F.transform("m", _record), lambda r: r["value"] != "").alias("fields"))
+
+
+def field_records(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(page_id, url, seq, name, value, evidence), a row a value."""
+    return field_arrays(pages, rules).select("page_id", "url", F.explode("fields").alias("f")).select("page_id", "url", "f.*")
+
+
+def canonical_array(fields: Column) -> Column:
+    """The first instance of each field, and every author, in order of the field's first appearance; within one row."""
+    names = F.transform(fields, lambda x: x["name"])
+    placed = F.transform(fields, lambda x, i: F.struct(F.array_position(names, x["name"]).alias("first"), i.alias("at"), x.alias("f")))
+    kept = F.filter(placed, lambda x: (x["f"]["name"] == "author") | (x["first"] == x["at"] + 1))
+    return F.transform(F.array_sort(kept), lambda x: x["f"])
 
 
 def field_map(records: DataFrame) -> DataFrame:
@@ -82,7 +101,7 @@ def field_map(records: DataFrame) -> DataFrame:
 
 
 def canonical(records: DataFrame) -> DataFrame:
-    """The first instance of each field, and every author; fields in order of their first appearance."""
+    """As ``canonical_array``, for values that are a row each: the first instance of each field, and every author."""
     from pyspark.sql import Window
 
     by_name = Window.partitionBy("page_id", "name").orderBy("seq")

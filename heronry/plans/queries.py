@@ -158,6 +158,7 @@ register("tidy_html", "pages", lambda p: p.select("page_id", F.size(F.split(extr
 register("page_titles", "pages", lambda p: canonical_fields(p).filter("name = 'title'").select("page_id", "value"), f"SELECT page_id, trim({_unescape(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)')}) AS value FROM pages")
 register("pdf_links", "pages", lambda p: extract_fields(p, (*RULES, EXAMPLE)).filter("name = 'pdf-link'").select("page_id", "value"), "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS value FROM pages")
 register("canonical_fields", "pages", lambda p: canonical_fields(p), None)
+register("canonical_rows", "pages", lambda p: evidence.canonical(extract_fields(p, (*RULES, EXAMPLE))).filter("name = 'title'").select("page_id", "seq", "name"), "SELECT page_id, CAST(1 AS BIGINT) AS seq, 'title' AS name FROM pages")
 register("field_counts", "pages", lambda p: extract_fields(p, (*RULES, EXAMPLE)).groupBy("name").agg(F.count("*").alias("n")), None)
 register("field_map", "pages", lambda p: evidence.field_map(extract_fields(p, (*RULES, EXAMPLE))).filter("name = 'pdf-link'").select("page_id", F.size("values").cast("long").alias("n")), "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"')) AS BIGINT) AS n FROM pages")
 register("evidence_summary", "pages", lambda p: evidence.evidence_summary(extract_fields(p, (*RULES, EXAMPLE)).filter("name = 'title'")), "SELECT 'title' AS name, unnest(['input:response-body', 'select:$(article > h1)', 'article > h1 ++ article p ++ nav a?']) AS evidence, (SELECT count(*) FROM pages) AS n")

@@ -54,6 +54,14 @@ def test_rule(found, name):
         assert fields["pdf-link"][0][0].startswith("http") and fields["pdf-link"][0][0].endswith("x.pdf")
 
 
+def test_both_ways_to_the_canonical_fields_agree(spark):
+    from heronry.operators.evidence import canonical
+
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in PAGES.items()], "page_id string, url string, html string")
+    rows = lambda d: sorted(map(str, d.select("page_id", "seq", "name", "value", "evidence").collect()))
+    assert rows(canonical(extract_fields(pages, RULES))) == rows(canonical_fields(pages, RULES))
+
+
 def test_evidence_of_general(found):
     value, evidence = found["general"]["title"][0]
     assert evidence[:3] == ["url:host:somewhere.org", "url:path1:p", "url:path2:q"] and 'select:$(meta[name="DC.Title"])' in evidence
