@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import host_reputation, quality_rules
+from heronry.llm import host_reputation, odd_sketch, quality_rules
 from heronry.llm.common import table
 
 
@@ -81,4 +81,4 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op4_license_scan, op5_suffix_dedup, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op9_decontamination, op10_token_store)}
-ORACLE_SQL: dict[str, str] = {"op2_host_reputation": host_reputation.SQL, "op6_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_host_reputation": host_reputation.SQL, "op3_near_duplicates": odd_sketch.sql(4, 80), "op6_quality_rules": quality_rules.SQL}
