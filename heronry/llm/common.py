@@ -62,6 +62,12 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint, in the session's folder or one that is set now."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage; ``drop`` removes one that no plan needs any more."""
 

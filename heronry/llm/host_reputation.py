@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronry.llm.common import checkpointed
+
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Suffixes of more than one label under which names are registered; others are the last label.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
@@ -75,7 +77,7 @@ def host_posteriors(hosts: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     """
     counted = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad"))
     known = hosts.select("host").distinct().join(counted, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    known = known.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"))).checkpoint()
+    known = checkpointed(known.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"))))
     total = known.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = ((total.bad or 0) + 1) / ((total.n or 0) + 2)
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import pieces, shared_dir
+from heronry.llm.common import checkpointed, pieces, shared_dir
 from heronry.llm.word_memo import word_ids
 
 END_ID = 1
@@ -171,5 +171,5 @@ def store_and_read(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         folder = "file://" + folder.removeprefix("file:")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    manifest = write_tokens(docs, tokenizer_path, folder).checkpoint()  # the files are written once; what follows reads this
+    manifest = checkpointed(write_tokens(docs, tokenizer_path, folder))  # the files are written once; what follows reads this
     return read_tokens(spark, folder, manifest)
