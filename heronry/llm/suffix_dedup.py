@@ -42,6 +42,33 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, first[at]
 
 
+def periodic(hashes: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(which suffixes to retain, repeats) where the same K words start again less than W words on.
+
+    Such runs are repeats of the text itself, shifted by their period; these are found here, exactly.  Of their suffixes the first, the last and
+    one for each W words stay, for comparison with other documents: a text of one line over and over has few.
+    """
+    order = np.lexsort((at, h))
+    p, g = at[order], h[order]
+    goes_on = (g[1:] == g[:-1]) & (p[1:] - p[:-1] < W)
+    if not goes_on.any():
+        return np.ones(len(at), bool), []
+    begins = np.concatenate([[True], ~goes_on])
+    step = (p - p[begins][np.cumsum(begins) - 1]) // W
+    keep = begins.copy()
+    keep[1:] |= step[1:] != step[:-1]
+    keep[:-1] |= begins[1:]
+    keep[-1] = True
+    out = np.zeros(len(at), bool)
+    out[order[keep]] = True
+    gap, where, spans = (p[1:] - p[:-1])[goes_on], p[:-1][goes_on], set()
+    for d in np.unique(gap).tolist():
+        breaks = np.concatenate([[-1], np.flatnonzero(hashes[d:] != hashes[:-d]), [len(hashes) - d]])
+        k = np.unique(np.searchsorted(breaks, where[gap == d]))
+        spans |= {(int(a) + 1 + d, int(b) + d) for a, b in zip(breaks[k - 1], breaks[k], strict=True) if b - a - 1 >= LEAST}
+    return out, sorted(spans)
+
+
 def _short(hashes: np.ndarray) -> np.ndarray:
     """32 bits of each word's hash, never 0, which stands for no word."""
     return np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1)
@@ -54,25 +81,34 @@ def signature(text: bytes) -> int:
 
 
 def find_anchors(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, pos) of the retained suffixes."""
+    """(h, doc_id, pos, until): a retained suffix, until being 0; or a repeat of a text inside itself, h being its signature."""
 
     def make():
         memo = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hs, ks, ps = [], [], []
+            hs, ks, ps, us = [], [], [], []
             for first, texts in pieces(batch.column(1)):
                 for i, text in enumerate(texts, first):
-                    at, h = anchors(memo.of(text.split()))
-                    hs.append(h)
-                    ps.append(at)
-                    ks.append(np.full(len(at), ids[i], np.int64))
-            return pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ks)), pa.array(np.concatenate(ps).astype(np.int32))], ["h", "doc_id", "pos"])
+                    hashes = memo.of(text.split())
+                    at, h = anchors(hashes)
+                    if not len(at):
+                        continue
+                    keep, own = periodic(hashes, at, h)
+                    spans = np.array(own, np.int64).reshape(-1, 2)
+                    hs += [h[keep].view(np.int64), np.full(len(own), signature(text), np.int64)]
+                    ps += [at[keep], spans[:, 0]]
+                    us += [np.zeros(int(keep.sum()), np.int64), spans[:, 1]]
+                    ks.append(np.full(int(keep.sum()) + len(own), ids[i], np.int64))
+            if not hs:
+                return None
+            h, k, pos, until = (np.concatenate(x) for x in (hs, ks, ps, us))
+            return pa.record_batch([pa.array(h), pa.array(k), pa.array(pos.astype(np.int32)), pa.array(until.astype(np.int32))], ["h", "doc_id", "pos", "until"])
 
         return step
 
-    return arrow_map(by_bytes(docs.select("doc_id", "text")), make, "h long, doc_id long, pos int")
+    return arrow_map(by_bytes(docs.select("doc_id", "text")), make, "h long, doc_id long, pos int, until int")
 
 
 def with_context(docs: DataFrame) -> DataFrame:
@@ -184,14 +220,16 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "suffixes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    retained = work.settle(find_anchors(docs), "anchors")
+    anchored = work.settle(find_anchors(docs), "anchors")
+    retained = anchored.where("until = 0").drop("until")
+    inside = anchored.where("until > 0").select("doc_id", F.col("h").alias("sig"), F.col("pos").cast("long").alias("start"), F.col("until").cast("long").alias("end"), F.col("doc_id").alias("src_doc_id"))
     groups = retained.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("least"), F.max(F.struct("doc_id", "pos")).alias("most")).where("least <> most").select("h", "least")
     repeated = retained.join(groups, "h").select("doc_id", F.struct("pos", "h", ((F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.pos") == F.col("pos"))).alias("leads")).alias("one"))
     found = repeated.groupBy("doc_id").agg(F.collect_list("one").alias("found"))
     rows = with_context(docs.join(found, "doc_id"))
     leaders = rows.where("leads").select("h", F.col("doc_id").alias("l_doc_id"), F.col("pos").alias("l_pos"), F.col("right").alias("l_right"), F.col("left").alias("l_left")).dropDuplicates(["h"])
     ordered = rows.drop("leads").join(leaders, "h").sortWithinPartitions("h", "right", "doc_id", "pos")
-    out = work.settle(merged(extended(ordered)), "spans")
+    out = work.settle(merged(extended(ordered).union(inside)), "spans")
     work.drop("anchors")
     return out
 
