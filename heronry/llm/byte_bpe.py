@@ -85,13 +85,15 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pretokens(t) for t in texts]
-        distinct = {w for words in split for w in words}
-        if len(self.memo) + len(distinct - self.memo.keys()) > self.most // 2:
-            self.older, self.memo = self.memo, {}
+        distinct = set().union(*split)
+        missing = [w for w in distinct if w not in self.memo]
+        if len(self.memo) + len(missing) > self.most // 2:
+            self.older, self.memo, missing = self.memo, {}, list(distinct)
         memo, older = self.memo, self.older
-        missing = distinct - memo.keys()
-        memo.update((w, older[w]) for w in missing & older.keys())
-        if missing := list(missing - older.keys()):
+        if older:
+            memo.update((w, older[w]) for w in missing if w in older)
+            missing = [w for w in missing if w not in older]
+        if missing:
             data = [w.encode("utf-8", "replace") for w in missing]
             for w, raw, ids in zip(missing, data, self.model.encode([mapped(b) for b in data], num_threads=1), strict=True):
                 own = self.whole.get(raw)

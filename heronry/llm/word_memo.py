@@ -38,18 +38,18 @@ class WordIds(dict):
         spec = json.loads(tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.tokenizer, self.words, self.most = tokenizer, Tokenizer.from_str(json.dumps(spec)), most
 
-    def learn(self, words: list[str]) -> None:
-        if missing := list(set(words) - self.keys()):
+    def learn(self, words: set[str]) -> None:
+        if missing := [w for w in words if w not in self]:
             if len(self) + len(missing) > self.most:
                 self.clear()
-                missing = list(set(words))
+                missing = list(words)
             for word, e in zip(missing, self.words.encode_batch_fast(missing, add_special_tokens=False), strict=True):
                 self[word] = _packed(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [t is not None and ODD.search(t) is None for t in texts]
         split = [WORD.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
-        self.learn([w for words in split for w in words])
+        self.learn(set().union(*split))
         whole = iter(self.tokenizer.encode_batch_fast([t or "" for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         return [b"".join(map(self.__getitem__, words)) if p else _packed(next(whole).ids) for words, p in zip(split, plain, strict=True)]
 
