@@ -131,14 +131,17 @@ _sql_dirty = f"{_sql_pick(_AFFIX)} || text || {_sql_pick(_TAIL)}"
 _D, _T = "[^\\n\\r\\x{2028}\\x{2029}]", "[\\s\\x{0B}\\x{A0}]"
 _sql_trim = lambda s: f"regexp_replace({s}, '^{_T}+|{_T}+$', '', 'g')"
 _sql_cut = lambda p: f"regexp_replace(s, '{p}', '')"
+_CITED_TEXT = "coalesce(regexp_split_to_array(s, '(?i)cite this paper abstract')[2], '')"
+_BEFORE_GRAPHIC = "regexp_split_to_array(s, '(?i)graphical abstract download')[1]"
+_AFTER_ABSTRACT = "coalesce(string_split(s, 'Abstract')[2], '')"
 _CLEAN_SQL = (
     _sql_cut("(?i)^abstract *"), _sql_cut("(?i)^motivation *"), _sql_cut(f"(References|REFERENCES){_D}*$"), _sql_cut(f"Keywords{_D}*$"), _sql_cut("^\\W+"),
-    f"CASE WHEN regexp_matches(s, '(?i)cite this paper abstract') THEN {_sql_trim(chr(99) + 'oalesce(regexp_split_to_array(s, ' + chr(39) + '(?i)cite this paper abstract' + chr(39) + ')[2], ' + chr(39) * 2 + ')')} ELSE s END",
+    f"CASE WHEN regexp_matches(s, '(?i)cite this paper abstract') THEN {_sql_trim(_CITED_TEXT)} ELSE s END",
     _sql_cut(f"(?i)comments[\\d ]+comments{_D}*$"), _sql_cut(f"(?i)<etx{_D}*$"), _sql_cut("<$"), "replace(s, chr(10), ' ')", "regexp_replace(s, ' +', ' ', 'g')",
     _sql_cut(f"Full Text:{_D}*$"), _sql_cut(f"Related Material{_D}*$"),
-    f"CASE WHEN regexp_matches(s, '(?i)graphical abstract download') THEN {_sql_trim('regexp_split_to_array(s, ' + chr(39) + '(?i)graphical abstract download' + chr(39) + ')[1]')} ELSE s END",
-    "CASE WHEN " + " OR ".join(f"regexp_matches(s, '{p.replace(chr(92) + 'A', '^')}')" for p in cleaning.CATCH_ALLS) + " THEN '' ELSE s END",
-    f"CASE WHEN regexp_matches(s, '^Home Archives') THEN {_sql_trim('coalesce(string_split(s, ' + chr(39) + 'Abstract' + chr(39) + ')[2], ' + chr(39) * 2 + ')')} ELSE s END",
+    f"CASE WHEN regexp_matches(s, '(?i)graphical abstract download') THEN {_sql_trim(_BEFORE_GRAPHIC)} ELSE s END",
+    "CASE WHEN " + " OR ".join(f"regexp_matches(s, '{p.replace(r"\A", "^")}')" for p in cleaning.CATCH_ALLS) + " THEN '' ELSE s END",
+    f"CASE WHEN regexp_matches(s, '^Home Archives') THEN {_sql_trim(_AFTER_ABSTRACT)} ELSE s END",
     f"CASE WHEN length(s) < {cleaning.SHORTEST} THEN '' ELSE s END",
 )
 for _i, _r in enumerate(cleaning.ABSTRACT_RULES):
@@ -150,12 +153,13 @@ for _i, _r in enumerate(cleaning.ABSTRACT_RULES):
 register("clean_abstract", "documents", lambda d: d.select("doc_id", cleaning.apply_rules(_dirty()).alias("r")).select("doc_id", c("r.value").alias("value"), F.concat(F.array_join("r.fired", ";"), F.when(F.size("r.fired") > 0, lit(";")).otherwise(lit(""))).alias("fired")), f"WITH {', '.join(_steps)} SELECT doc_id, s AS value, fired FROM s{len(cleaning.ABSTRACT_RULES)}")
 
 # --- documents as trees, evidence -----------------------------------------------------------------
+_H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
 _unescape = lambda s: f"replace(replace({s}, '&quot;', '\"'), '&amp;', '&')"
-register("css_text", "pages", lambda p: p.select("page_id", F.get(extract.css_text(c("html"), lit("article > h1")), lit(0)).alias("h1")), f"SELECT page_id, trim({_unescape(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)')}) AS h1 FROM pages")
+register("css_text", "pages", lambda p: p.select("page_id", F.get(extract.css_text(c("html"), lit("article > h1")), lit(0)).alias("h1")), f"SELECT page_id, trim({_unescape(_H1)}) AS h1 FROM pages")
 register("css_attr", "pages", lambda p: p.select("page_id", F.posexplode(extract.css_attr(c("html"), lit("nav li > a"), lit("href"))).alias("pos", "href")).select("page_id", c("pos").cast("long").alias("pos"), "href"), "SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages))")
 register("css_outer", "pages", lambda p: p.select("page_id", F.get(extract.css_outer(c("html"), lit("title")), lit(0)).alias("out")), "SELECT page_id, replace(regexp_extract(html, '<title>[^<]*</title>'), '&quot;', '\"') AS out FROM pages")
 register("tidy_html", "pages", lambda p: p.select("page_id", F.size(F.split(extract.tidy_html(c("html")), "\n")).alias("n_lines")), None)
-register("page_titles", "pages", lambda p: canonical_fields(p).filter("name = 'title'").select("page_id", "value"), f"SELECT page_id, trim({_unescape(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)')}) AS value FROM pages")
+register("page_titles", "pages", lambda p: canonical_fields(p).filter("name = 'title'").select("page_id", "value"), f"SELECT page_id, trim({_unescape(_H1)}) AS value FROM pages")
 register("pdf_links", "pages", lambda p: extract_fields(p, (*RULES, EXAMPLE)).filter("name = 'pdf-link'").select("page_id", "value"), "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS value FROM pages")
 register("canonical_fields", "pages", lambda p: canonical_fields(p), None)
 register("canonical_rows", "pages", lambda p: evidence.canonical(extract_fields(p, (*RULES, EXAMPLE))).filter("name = 'title'").select("page_id", "seq", "name"), "SELECT page_id, CAST(1 AS BIGINT) AS seq, 'title' AS name FROM pages")
