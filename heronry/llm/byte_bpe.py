@@ -61,13 +61,17 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+#: Pre-tokens that a worker remembers at most, about 200 bytes each.
+MEMO = 600_000
+
+
 class ByteBpe:
     """Encoder and decoder; a memo keeps the ids of pre-tokens as little-endian uint32 bytes.
 
     It has two generations of ``most`` / 2 entries: what is used moves to the younger one, and the older one is dropped when that is full.
     """
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 600_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = MEMO):
         import regex
         import sentencepiece
 
@@ -127,12 +131,12 @@ def _latin_pattern(pattern: str) -> re.Pattern | None:
 
 
 @lru_cache(maxsize=2)
-def load_bpe(path: str, pattern: str) -> ByteBpe:
+def load_bpe(path: str, pattern: str, memo: int = MEMO) -> ByteBpe:
     """One encoder a Python worker, kept from task to task."""
-    return ByteBpe(read_ranks(path), pattern)
+    return ByteBpe(read_ranks(path), pattern, memo)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row of (doc_id, text).
 
     Null and empty texts have no ids (the hash of no bytes).  A row in gives a row out, whatever its id; there is no
@@ -140,7 +144,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     """
 
     def make():
-        bpe = load_bpe(ranks_path, pattern)
+        bpe = load_bpe(ranks_path, pattern, memo)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, ids_hash, text_hash, kept = [], [], [], []

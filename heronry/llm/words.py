@@ -23,7 +23,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word bytes -> xxh64; forgets everything once ``most`` words are held, so memory stays bounded."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
