@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +63,11 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """The result of a shuffle in at most three partitions a core: for tables small beside the documents, which would else be written as many tiny files."""
+    return df.coalesce(3 * max(4, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint, in the session's folder or one that is set now."""
     shared_dir(df.sparkSession)
@@ -87,6 +93,13 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a Python worker that waits for its next task is small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not everywhere is there such a call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with state built once a task by ``make`` (vocabularies, memos)."""
 
@@ -97,6 +110,9 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 out = step(batch)
                 if out is not None and out.num_rows:
                     yield out
+                del out
+        del step
+        give_back()
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import checkpointed
+from heronry.llm.common import checkpointed, few_files
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -18,12 +18,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     links = links.union(links.select("v", "u")).where("u <> v").distinct()
-    state = checkpointed(links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("lowest")).select("id", F.least("id", "lowest").alias("component")))
+    state = checkpointed(few_files(links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("lowest")).select("id", F.least("id", "lowest").alias("component"))))
     for _ in range(rounds):
         near = links.join(state.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         stepped = state.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("to"))
         jump = state.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        following = checkpointed(stepped.join(jump, "to", "left").select("id", "was", F.least("to", F.coalesce("further", "to")).alias("component")))
+        following = checkpointed(few_files(stepped.join(jump, "to", "left").select("id", "was", F.least("to", F.coalesce("further", "to")).alias("component"))))
         moved = following.where("was <> component").limit(1).count()
         state = following.select("id", "component")
         if not moved:

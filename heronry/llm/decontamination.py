@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import arrow_map, by_bytes, checkpointed, fresh, pieces
+from heronry.llm.common import arrow_map, by_bytes, checkpointed, few_files, fresh, pieces
 from heronry.llm.words import STEP, grams, mixed
 
 SHINGLE, PERCENT, BITS, RADIUS, BLOCK_BITS = 5, 80, 128, 40, 8
@@ -169,6 +169,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows of one id go together.
     """
-    hit = checkpointed(contaminated(docs, benchmark).select("doc_id").distinct())
+    hit = checkpointed(few_files(contaminated(docs, benchmark).select("doc_id").distinct()))
     name = fresh(docs, "_hit")
     return docs.join(hit.withColumnRenamed("doc_id", name), docs.doc_id.eqNullSafe(F.col(name)), "left_anti")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import Workspace, arrow_map, by_bytes, pieces
+from heronry.llm.common import Workspace, arrow_map, by_bytes, few_files, pieces
 from heronry.llm.components import connected_components
 from heronry.llm.words import STEP, WordHashes, grams, mixed
 
@@ -217,12 +217,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = work.settle(sketch_documents(docs, n), "signed")
     known = signed.where("doc_id is not null and n_shingles > 0")
-    classes = work.settle(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = work.settle(few_files(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))), "classes")
     heads = known.join(classes.hint("merge"), (known.set_key == classes.set_key) & (known.doc_id == classes.rep)).select(known.doc_id.alias("id"), "bands", "sketch")
 
     keyed = heads.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    stars = work.settle(keyed.join(hubs.hint("merge"), "key").where("id <> hub").select("hub", "id").distinct(), "stars")
+    stars = work.settle(few_files(keyed.join(hubs.hint("merge"), "key").where("id <> hub").select("hub", "id").distinct()), "stars")
 
     ids = stars.select("id").union(stars.select("hub")).distinct()
     # merge joins at every size: the plan, and what it shuffles, then grows as the input does
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sketched = heads.select("id", "sketch").join(ids.hint("merge"), "id")
     sets = work.settle(full_sets(texts.join(sketched, "id"), n), "sets", "none")
     hub_sets = sets.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("full").alias("hub_full"))
-    tried = work.settle(confirm_stars(stars.join(sets.hint("merge"), "id").join(hub_sets.hint("merge"), "hub"), percent), "tried")
+    tried = work.settle(confirm_stars(stars.join(sets.hint("merge"), "id").join(hub_sets.hint("merge"), "hub"), percent).transform(few_files), "tried")
     direct = tried.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     parts = connected_components(direct)
 
@@ -242,9 +242,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = placed.join(open_hubs.select("hub", blocks.alias("n_blocks")), "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("hub", "id", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = work.settle(residual_links(paired.join(sets, "id"), percent), "more")
+    more = work.settle(few_files(residual_links(paired.join(sets, "id"), percent)), "more")
 
-    links = work.settle(direct.union(more), "links")
+    links = work.settle(few_files(direct.union(more)), "links")
     whole = connected_components(links)
     final = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     own = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
