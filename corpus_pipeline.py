@@ -15,6 +15,8 @@ from heronry.llm.suffix_dedup import without_repeats
 
 #: Below the query's threshold, since a document that is dropped here cannot come back.
 QUALITY_THRESHOLD = 0.5
+#: Smaller than the encoder's own, since its workers also serve the other stages.
+MEMO = 200_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, hashes of ids and of the decoded text, and the ids as little-endian uint32."""
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True, memo=MEMO)
 
 
 STAGES = [
