@@ -1,13 +1,14 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by suffixes at minimisers.
 
-1. Suffixes are retained only where the hash of their first ``K`` words is the least in a window of ``W`` neighbours.  The place
-   is chosen by content alone, and W + K - 1 = ``LEAST``: any two equal passages of LEAST words retain a suffix at the same
-   place in both.
-2. Suffixes whose first K words occur nowhere else are dropped; the first occurrence of each of the others is its leader.
-3. The rest get their next LEAST words and the W - 1 words before them, as hashes, and are sorted.  Each suffix is compared with its
-   neighbours in that order and with the leader, and the match is extended to the right and to the left.
-4. A match of LEAST words or more makes the later of the two places a repeat; a document's repeats are merged.
+1. Suffixes are retained only where the hash of their first ``K`` words is the least in a window of ``W`` neighbours.  W + K - 1 =
+   ``LEAST``: each passage of LEAST words has one such place, its anchor, chosen by its own words alone.  A suffix stands for the
+   passages that it is the anchor of, which start one word after another; they are its reach.
+2. Suffixes whose first K words occur nowhere else are dropped.
+3. Of suffixes with equal reach all but the first are repeats, whole.  Only if the same K words have different reaches, the first of each
+   reach has its passages taken singly, each as a hash of its LEAST words; all but the first of equal passages are repeats.
+4. A document's repeats are merged.
 
+First occurrences are found by pre-aggregation, so the result does not depend on how rows are dealt, and no group is gathered in one task.
 Words are runs without ASCII white space, compared by case.  Order is by (doc_id, position): of equal passages the first one stays.
 """
 
@@ -23,12 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.llm.common import Workspace, arrow_map, by_bytes, fresh, pieces
-from heronry.llm.words import WordHashes, grams
+from heronry.llm.words import STEP, WordHashes, grams, mixed
 
 K, W = 20, 31
 LEAST = K + W - 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_U32 = np.dtype(">u4")  # big-endian, so that bytes sort as numbers
+_U = np.uint64
+
+
+def owners(first: np.ndarray) -> np.ndarray:
+    """The anchor of each passage of LEAST words, from the hashes of all K words; these never go back."""
+    view = np.lib.stride_tricks.sliding_window_view(first, W)
+    return np.concatenate([view[lo : lo + 8192].argmin(axis=1) + np.arange(lo, min(lo + 8192, len(view))) for lo in range(0, len(view), 8192)])
+
+
+def passages(first: np.ndarray) -> np.ndarray:
+    """A hash of each passage of LEAST words, from those of the K words at its start, after these, and at its end."""
+    n = len(first) - W + 1
+    return mixed(mixed(first[:n] * STEP + first[K : K + n]) * STEP + first[LEAST - K : LEAST - K + n])
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,42 +49,43 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = grams(hashes, K)
-    view = np.lib.stride_tricks.sliding_window_view(first, W)
-    at = np.concatenate([np.unique(view[lo : lo + 8192].argmin(axis=1) + np.arange(lo, min(lo + 8192, len(view)))) for lo in range(0, len(view), 8192)])
-    at = np.unique(at)
+    at = np.unique(owners(first))
     return at, first[at]
 
 
-def periodic(hashes: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(which suffixes to retain, repeats) where the same K words start again less than W words on.
-
-    Such runs are repeats of the text itself, shifted by their period; these are found here, exactly.  Of their suffixes the first, the last and
-    one for each W words stay, for comparison with other documents: a text of one line over and over has few.
-    """
+def periodic(hashes: np.ndarray, at: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+    """Repeats where the same K words start again less than W words on: of the text itself, shifted by their period; found here, exactly."""
     order = np.lexsort((at, h))
     p, g = at[order], h[order]
     goes_on = (g[1:] == g[:-1]) & (p[1:] - p[:-1] < W)
-    if not goes_on.any():
-        return np.ones(len(at), bool), []
-    begins = np.concatenate([[True], ~goes_on])
-    step = (p - p[begins][np.cumsum(begins) - 1]) // W
-    keep = begins.copy()
-    keep[1:] |= step[1:] != step[:-1]
-    keep[:-1] |= begins[1:]
-    keep[-1] = True
-    out = np.zeros(len(at), bool)
-    out[order[keep]] = True
     gap, where, spans = (p[1:] - p[:-1])[goes_on], p[:-1][goes_on], set()
     for d in np.unique(gap).tolist():
         breaks = np.concatenate([[-1], np.flatnonzero(hashes[d:] != hashes[:-d]), [len(hashes) - d]])
         k = np.unique(np.searchsorted(breaks, where[gap == d]))
         spans |= {(int(a) + 1 + d, int(b) + d) for a, b in zip(breaks[k - 1], breaks[k], strict=True) if b - a - 1 >= LEAST}
-    return out, sorted(spans)
+    return sorted(spans)
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    """32 bits of each word's hash, never 0, which stands for no word."""
-    return np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1)
+def reaches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(hash of K words, hash of the reach, its first word, its end) of the retained suffixes, and the text's repeats of itself.
+
+    Suffixes with all their passages inside one such repeat go: the same passages are retained where they first occur in the text.
+    """
+    first = grams(hashes, K)
+    owner = owners(first)
+    at = np.unique(owner)
+    low, high = np.searchsorted(owner, at), np.searchsorted(owner, at, "right") - 1
+    own = periodic(hashes, at, first[at])
+    if own:
+        inside = np.zeros(len(owner), bool)
+        for a, b in own:
+            inside[a : b - LEAST + 1] = True
+        new = np.concatenate([[0], np.cumsum(~inside)])
+        some = new[high + 1] > new[low]
+        at, low, high = at[some], low[some], high[some]
+    whole = passages(first)
+    reach = mixed(mixed(whole[low] * STEP + whole[high]) * STEP + (high - low).astype(_U))
+    return first[at], reach, low, high + LEAST, own
 
 
 def signature(text: bytes) -> int:
@@ -81,156 +95,115 @@ def signature(text: bytes) -> int:
 
 
 def find_anchors(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, pos, until): a retained suffix, until being 0; or a repeat of a text inside itself, h being its signature."""
+    """(h, reach, doc_id, sig, start, end, inside): a retained suffix's reach; or a repeat of a text inside itself, without h and reach.
+
+    sig is a hash of the text.
+    """
 
     def make():
         memo = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hs, ks, ps, us = [], [], [], []
+            ids, columns = batch.column(0).to_numpy(zero_copy_only=False), [[] for _ in range(7)]
             for first, texts in pieces(batch.column(1)):
                 for i, text in enumerate(texts, first):
-                    hashes = memo.of(text.split())
-                    at, h = anchors(hashes)
-                    if not len(at):
+                    words = text.split()
+                    if len(words) < LEAST:
                         continue
-                    keep, own = periodic(hashes, at, h)
-                    spans = np.array(own, np.int64).reshape(-1, 2)
-                    hs += [h[keep].view(np.int64), np.full(len(own), signature(text), np.int64)]
-                    ps += [at[keep], spans[:, 0]]
-                    us += [np.zeros(int(keep.sum()), np.int64), spans[:, 1]]
-                    ks.append(np.full(int(keep.sum()) + len(own), ids[i], np.int64))
-            if not hs:
+                    h, reach, start, end, own = reaches(memo.of(words))
+                    a, b = np.array(own, np.int64).reshape(-1, 2).T
+                    n, none = len(h) + len(own), np.zeros(len(own), np.int64)
+                    values = ([h.view(np.int64), none], [reach.view(np.int64), none], [np.full(n, ids[i], np.int64)], [np.full(n, signature(text), np.int64)], [start, a], [end, b], [np.zeros(len(h), bool), none == 0])
+                    for c, v in zip(columns, values, strict=True):
+                        c += v
+            if not columns[0]:
                 return None
-            h, k, pos, until = (np.concatenate(x) for x in (hs, ks, ps, us))
-            return pa.record_batch([pa.array(h), pa.array(k), pa.array(pos.astype(np.int32)), pa.array(until.astype(np.int32))], ["h", "doc_id", "pos", "until"])
+            kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, bool)
+            return pa.record_batch([pa.array(np.concatenate(c).astype(t)) for c, t in zip(columns, kinds, strict=True)], ["h", "reach", "doc_id", "sig", "start", "end", "inside"])
 
         return step
 
-    return arrow_map(by_bytes(docs.select("doc_id", "text")), make, "h long, doc_id long, pos int, until int")
+    return arrow_map(by_bytes(docs.select("doc_id", "text")), make, "h long, reach long, doc_id long, sig long, start int, end int, inside boolean")
 
 
-def with_context(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, sig, pos, leads, right, left) from (doc_id, text, found array<struct<pos, h, leads>>); sig is a hash of the text."""
+def single_passages(docs: DataFrame) -> DataFrame:
+    """(passage, doc_id, sig, start): the passages of LEAST words, as hashes, from (doc_id, sig, text, found array<struct<start, end>>) of reaches."""
 
     def make():
         memo = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, columns = batch.column(0).to_pylist(), [[] for _ in range(7)]
-            offsets, found = batch.column(2).offsets.to_numpy(), batch.column(2).values
-            pos_all, h_all, leads_all = (found.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "h", "leads"))
-            for first, texts in pieces(batch.column(1)):
+            ids, sigs = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("doc_id", "sig"))
+            offsets, found = batch.column("found").offsets.to_numpy(), batch.column("found").values
+            low, end = (found.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "end"))
+            hashes, starts, counts = [], [], np.zeros(batch.num_rows, np.int64)
+            for first, texts in pieces(batch.column("text")):
                 for i, text in enumerate(texts, first):
-                    hashes = memo.of(text.split())
-                    pos, h, leads = (x[offsets[i] : offsets[i + 1]] for x in (pos_all, h_all, leads_all))
-                    own = grams(hashes, K).view(np.int64)
-                    ok = (pos < len(own)) & (len(hashes) >= LEAST)
-                    ok[ok] = own[pos[ok]] == h[ok]  # of rows that repeat an id only those that have the suffix
-                    pos, h, leads = pos[ok].astype(np.int64), h[ok], leads[ok]
-                    if not len(pos):
-                        continue
-                    padded = np.concatenate([np.zeros(W - 1, np.uint32), _short(hashes), np.zeros(LEAST, np.uint32)])
-                    right = padded[pos[:, None] + (W - 1) + np.arange(LEAST)].astype(_U32)
-                    left = padded[pos[:, None] + (W - 2) - np.arange(W - 1)].astype(_U32)
-                    sig = signature(text)
-                    for c, v in zip(columns, (h, np.full(len(pos), ids[i], np.int64), np.full(len(pos), sig, np.int64), pos.astype(np.int32), leads, right, left), strict=True):
-                        c.append(v)
-            if not columns[0]:
-                return None
-            h, k, sig, pos, leads, right, left = (np.concatenate(c) for c in columns)
-            fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast("binary")
-            return pa.record_batch([pa.array(h), pa.array(k), pa.array(sig), pa.array(pos), pa.array(leads.astype(bool)), fixed(right), fixed(left)], ["h", "doc_id", "sig", "pos", "leads", "right", "left"])
+                    whole, mine = passages(grams(memo.of(text.split()), K)), slice(offsets[i], offsets[i + 1])
+                    at = np.concatenate([np.arange(a, b - LEAST + 1) for a, b in zip(low[mine], end[mine], strict=True)])
+                    hashes.append(whole[at].view(np.int64))
+                    starts.append(at.astype(np.int32))
+                    counts[i] = len(at)
+            return pa.record_batch([pa.array(x) for x in (np.concatenate(hashes), np.repeat(ids, counts), np.repeat(sigs, counts), np.concatenate(starts))], ["passage", "doc_id", "sig", "start"])
 
         return step
 
-    return arrow_map(by_bytes(docs.select("doc_id", "text", "found")), make, "h long, doc_id long, sig long, pos int, leads boolean, right binary, left binary")
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many words from the first on are equal, row by row; 0 ends a text."""
-    return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
-
-
-def _joined(spans: np.ndarray) -> np.ndarray:
-    """Rows (doc_id, sig, start, end, source) with the overlapping and touching spans of a document as one, of smallest source."""
-    if not len(spans):
-        return spans
-    spans = spans[np.lexsort((spans[:, 4], spans[:, 3], spans[:, 2], spans[:, 1], spans[:, 0]))]
-    other = np.concatenate([[True], (spans[1:, :2] != spans[:-1, :2]).any(axis=1)])
-    far = np.cumsum(other) << 40  # beyond any position, so that one running maximum does for all documents
-    reach = np.maximum.accumulate(spans[:, 3] + far)
-    begins = np.flatnonzero(np.concatenate([[True], (spans[1:, 2] + far[1:]) > reach[:-1]]))
-    return np.stack([*spans[begins, :3].T, np.maximum.reduceat(spans[:, 3], begins), np.minimum.reduceat(spans[:, 4], begins)], axis=1)
-
-
-def extended(rows: DataFrame) -> DataFrame:
-    """(doc_id, sig, start, end, src_doc_id) of the repeats, from sorted suffixes with their leaders' columns (l_...)."""
+    return arrow_map(by_bytes(docs.select("doc_id", "sig", "text", "found")), make, "passage long, doc_id long, sig long, start int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, k, sig, pos, lk, lpos = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("h", "doc_id", "sig", "pos", "l_doc_id", "l_pos"))
-            right, left, l_right, l_left = (np.frombuffer(b"".join(batch.column(n).to_pylist()), _U32).reshape(len(h), -1) for n in ("right", "left", "l_right", "l_left"))
-            out: list[list[np.ndarray]] = []
 
-            def add(k, sig, pos, r, l, src, where):  # noqa: E741
-                where = where & (r + l >= LEAST)
-                out.append([x[where] for x in (k, sig, pos - l, pos + r, src)])
-
-            add(k, sig, pos, _common(right, l_right), _common(left, l_left), lk, (lk < k) | ((lk == k) & (lpos < pos)))
-            if last is not None:  # the neighbour in the batch before
-                h, k, sig, pos, right, left = (np.concatenate([a, b]) for a, b in zip(last, (h, k, sig, pos, right, left), strict=True))
-            same = h[1:] == h[:-1]
-            r, l = _common(right[1:], right[:-1]), _common(left[1:], left[:-1])  # noqa: E741
-            later = (k[1:] > k[:-1]) | ((k[1:] == k[:-1]) & (pos[1:] > pos[:-1]))
-            sooner = (k[1:] < k[:-1]) | ((k[1:] == k[:-1]) & (pos[1:] < pos[:-1]))
-            add(k[1:], sig[1:], pos[1:], r, l, k[:-1], same & later)
-            add(k[:-1], sig[:-1], pos[:-1], r, l, k[1:], same & sooner)
-            last = [x[-1:].copy() for x in (h, k, sig, pos, right, left)]
-            found = _joined(np.stack([np.concatenate(c) for c in zip(*out, strict=True)], axis=1))
-            if len(found):
-                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in found.T], ["doc_id", "sig", "start", "end", "src_doc_id"])
+def merged(spans: DataFrame) -> DataFrame:
+    """(doc_id, sig, spans array<struct<start, end, src_doc_id>>): overlapping and touching repeats as one, with its first part's smallest source."""
+    listed = spans.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "end", "src_doc_id")).alias("spans"))
 
-    return rows.mapInArrow(run, "doc_id long, sig long, start long, end long, src_doc_id long")
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            spans = batch.column("spans")
+            start, end, src = (spans.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("start", "end", "src_doc_id"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
+            order = np.lexsort((end, src, start, row))
+            start, end, src, row = start[order], end[order], src[order], row[order]
+            far = row << 40  # beyond any position, so that one running maximum does for all documents
+            before = np.concatenate([[-1], np.maximum.accumulate(end + far)[:-1]]) - far
+            begins = np.flatnonzero(start > before)
+            start, end, src, row = start[begins], np.maximum.reduceat(end, begins), src[begins], row[begins]
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in (start, end, src)], ["start", "end", "src_doc_id"]))
+            return pa.record_batch([batch.column("doc_id"), batch.column("sig"), lists], ["doc_id", "sig", "spans"])
 
+        return step
 
-def merged(spans: DataFrame) -> DataFrame:
-    """(doc_id, sig, spans array<struct<start, end, src_doc_id>>): overlapping and touching repeats as one, with its first part's smallest source."""
-    listed = spans.distinct().groupBy("doc_id", "sig").agg(F.array_sort(F.collect_list(F.struct("start", "end", "src_doc_id"))).alias("all"))
-    span = "array<struct<start:long,end:long,src_doc_id:long>>"
+    return arrow_map(listed, make, "doc_id long, sig long, spans array<struct<start:long,end:long,src_doc_id:long>>")
 
-    def put(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["src_doc_id"].alias("src_doc_id"))
-        return F.when(F.coalesce(x["start"] <= last["end"], F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
-    return listed.select("doc_id", "sig", F.aggregate("all", F.array().cast(span), put).alias("spans"))
+def _with_first(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with the first place (``least``) of their key, and whether their own is a later one."""
+    firsts = rows.groupBy(key).agg(F.min(F.struct("doc_id", "start")).alias("least"))
+    return rows.join(firsts, key).withColumn("later", F.struct("doc_id", "start") > F.col("least"))
 
 
 def repeat_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, sig, spans) of the documents that repeat a passage of LEAST words or more; see the module.
 
     Null ids are left out of the search, and so are null and empty texts and those under LEAST words.  Rows that repeat an id
-    are one document: its text, if they are equal, is no repeat of itself.  A passage that occurs in any number of documents, or again and
-    again in one, has one leader to be compared with, found by pre-aggregation; no group is gathered in one task.
+    are one document: its text, if they are equal, is no repeat of itself.
     """
     work = Workspace(docs.sparkSession, "suffixes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     anchored = work.settle(find_anchors(docs), "anchors")
-    retained = anchored.where("until = 0").drop("until")
-    inside = anchored.where("until > 0").select("doc_id", F.col("h").alias("sig"), F.col("pos").cast("long").alias("start"), F.col("until").cast("long").alias("end"), F.col("doc_id").alias("src_doc_id"))
-    groups = retained.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("least"), F.max(F.struct("doc_id", "pos")).alias("most")).where("least <> most").select("h", "least")
-    repeated = retained.join(groups, "h").select("doc_id", F.struct("pos", "h", ((F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.pos") == F.col("pos"))).alias("leads")).alias("one"))
-    found = repeated.groupBy("doc_id").agg(F.collect_list("one").alias("found"))
-    rows = with_context(docs.join(found, "doc_id"))
-    leaders = rows.where("leads").select("h", F.col("doc_id").alias("l_doc_id"), F.col("pos").alias("l_pos"), F.col("right").alias("l_right"), F.col("left").alias("l_left")).dropDuplicates(["h"])
-    ordered = rows.drop("leads").join(leaders, "h").sortWithinPartitions("h", "right", "doc_id", "pos")
-    out = work.settle(merged(extended(ordered).union(inside)), "spans")
-    work.drop("anchors")
+    retained = anchored.where("not inside").drop("inside")
+    inside = anchored.where("inside").select("doc_id", "sig", "start", "end", F.col("doc_id").alias("src_doc_id"))
+    differ = lambda c: F.min(c) != F.max(c)
+    groups = retained.groupBy("h").agg(differ("reach").alias("mixed"), (differ("doc_id") | differ("start")).alias("again")).where("mixed or again").select("h", "mixed")
+    repeated = work.settle(retained.join(groups, "h").drop("h"), "repeated")
+    placed = _with_first(repeated, "reach")
+    whole = placed.where("later").select("doc_id", "sig", "start", "end", F.col("least.doc_id").alias("src_doc_id"))
+    found = placed.where("mixed and not later").groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    some = docs.withColumn("sig", F.xxhash64("text")).join(found, ["doc_id", "sig"])
+    singles = _with_first(work.settle(single_passages(some), "singles"), "passage").where("later")
+    single = singles.select("doc_id", "sig", "start", (F.col("start") + LEAST).alias("end"), F.col("least.doc_id").alias("src_doc_id"))
+    spans = whole.union(single).union(inside)
+    out = work.settle(merged(spans.withColumns({n: F.col(n).cast("long") for n in ("start", "end")})), "spans")
+    work.drop("anchors", "repeated", "singles")
     return out
 
 

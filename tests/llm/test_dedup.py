@@ -220,3 +220,28 @@ def test_decontamination_in_passes(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in items() if t], DOCS)
     found = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()}
     assert {(k, k) for k, t in items() if t and k is not None} <= found and (2, 92) in found
+
+
+def planted_repeats():
+    """Passages whose first K words are first met in other contexts."""
+    rows, passage, common = [], prose(3000, 60).split(), prose(3001, 40)
+    rows.append(f"{prose(3002, 30)} {' '.join(passage[:47])} {prose(3003, 30)}")
+    rows += [f"{prose(3100 + k, 30)} {' '.join(passage)} {prose(3200 + k, 30)}" for k in range(40)]
+    for k in range(60):  # two of these share words to the left of the common ones
+        rows.append(f"{prose(3300 + k, 30)} {prose(3004, 14) if k in (20, 45) else prose(3400 + k, 14)} {common} {prose(3500 + k, 40)}")
+    step, line = prose(3005, 20), prose(3006, 5)  # words that come again within a window
+    rows += [f"{prose(3600 + k, 40)} {' '.join(f'{step} {line} {step} {line} {step}'.split()[5:60])} {prose(3700 + k, 40)}" for k in range(6)]
+    return [(i, t, None, None, None) for i, t in enumerate(rows)]
+
+
+def marked(found):
+    got = defaultdict(set)
+    for r in found.collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    return dict(got)
+
+
+def test_every_repeated_word_is_found(spark, docs):
+    rows = planted_repeats()
+    assert marked(sd.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(3))) == plain_repeats([r[:2] for r in rows])
+    assert marked(sd.repeated_passages(docs)) == plain_repeats([r[:2] for r in corpus()])
