@@ -245,3 +245,21 @@ def test_every_repeated_word_is_found(spark, docs):
     rows = planted_repeats()
     assert marked(sd.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(3))) == plain_repeats([r[:2] for r in rows])
     assert marked(sd.repeated_passages(docs)) == plain_repeats([r[:2] for r in corpus()])
+
+
+def test_repeats_do_not_depend_on_how_rows_are_dealt(spark):
+    """Of the texts with the same K words, which are many, pairs share further ones that the first text has not."""
+    head = prose(4000, 40)
+    rows = [(k, f"{prose(4100 + k, 35)} {head} {prose(4300 + k % 60, 12)} {prose(4400 + k, 35)}", None, None, None) for k in range(120)]
+    docs, found = spark.createDataFrame(rows, DOCS), []
+    skew = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    for conf in ({"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "1"}, {"spark.sql.autoBroadcastJoinThreshold": "60000", "spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, skew | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        before = {k: spark.conf.get(k, None) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            found.append(marked(sd.repeated_passages(docs.repartition(6))))
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == [plain_repeats([r[:2] for r in rows])] * 3
