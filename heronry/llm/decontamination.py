@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact weighted similarity of word shingles.
 
 1. A window as long as an item can only reach the threshold if nearly all its shingles occur in items.  A running count of
-   those that don't leaves few windows to fingerprint; the bound is a proven one and drops none that could match.
+   those that don't leaves few windows to fingerprint; the bound is a proven one and drops none that could match.  A text shorter than an
+   item is one window; items that share enough of its shingles are confirmed as in 3, without fingerprints.
 2. The 128-bit SimHash of a window's shingles, weighted by how often they occur, is looked up in a multi-index: 16 blocks of 8 bits.
    Of a fingerprint within ``RADIUS`` bits at least one block is within RADIUS // 16 bits, and each block's table has the items
    for all such values; so every item within the radius is found.  At the threshold the distance stays within it by five standard deviations.
@@ -47,7 +48,7 @@ class Items:
         self.counts = [Counter(s.tolist()) for s in self.shingles]
         m = self.shingles.shape[1]
         # intersection / union >= p with m shingles each: at least 2pm/(1+p) in common, so at most this many spoilt
-        self.spoilt = m - -(-2 * PERCENT * m // (100 + PERCENT))
+        self.spoilt = m - in_common(m, m)
         self.prints = fingerprints(self.shingles)
         values = np.arange(1 << BLOCK_BITS, dtype=np.uint8)
         blocks = self.prints.view(np.uint8).reshape(len(rows), -1)
@@ -73,7 +74,16 @@ class Items:
     def similarity(self, shingles: np.ndarray, k: int) -> tuple[int, int]:
         a, b = Counter(shingles.tolist()), self.counts[k]
         both = sum((a & b).values())
-        return both, len(shingles) * 2 - both
+        return both, len(shingles) + self.shingles.shape[1] - both
+
+    def sharing(self, shingles: np.ndarray, least: int) -> np.ndarray:
+        """Items of which ``least`` shingles or more are among these."""
+        return np.flatnonzero(np.isin(self.shingles, shingles).sum(axis=1) >= least)
+
+
+def in_common(m: int, n: int) -> int:
+    """Of m and n shingles at least so many are in common where the similarity is at the threshold."""
+    return -(-PERCENT * (m + n) // (100 + PERCENT))
 
 
 class Benchmark:
@@ -91,18 +101,26 @@ class Benchmark:
         #: shingles of items that a text must hold to match any
         self.least = 0 if len(long) < len(self.items) else min((g.shingles.shape[1] - g.spoilt for g in long), default=1 << 30)
 
+    def least_of(self, n_words: int) -> int:
+        """Shingles of items that a text of so many words must hold to match any, longer ones included."""
+        m = n_words - SHINGLE + 1
+        return min([self.least, *(in_common(m, k) for g in self.items if g.n_words > n_words and 100 * m >= PERCENT * (k := g.shingles.shape[1]))])
+
     def matches(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
         """(item_id, start, n_words, in common, in either): each item's best window, the first of equals."""
         get = self.numbers.get
         words = [get(w, -1) for w in text.lower().split()]
+        least = self.least if not self.items or len(words) >= self.items[-1].n_words else self.least_of(len(words))
         numbers = np.array(words, np.int64)
         alien = np.concatenate([[0], np.cumsum(numbers < 0)]).astype(np.int32)
         best: dict[int, tuple[int, int, int, int]] = {}
         at = np.flatnonzero(alien[SHINGLE:] == alien[:-SHINGLE])  # shingles of known words
-        if len(at) >= self.least:
+        known = np.zeros(0, _U)
+        if len(at) >= least:
             hashes = grams(self.by_number[numbers[at + np.arange(SHINGLE)[:, None]]], SHINGLE)[0]
-            at = at[self.shingles[np.minimum(np.searchsorted(self.shingles, hashes), len(self.shingles) - 1)] == hashes]
-        if len(at) < self.least:
+            some = self.shingles[np.minimum(np.searchsorted(self.shingles, hashes), len(self.shingles) - 1)] == hashes
+            at, known = at[some], hashes[some]
+        if len(at) < least:
             return []
         spoilt = np.ones(max(0, len(words) - SHINGLE + 1), np.int32)
         spoilt[at] = 0
@@ -110,7 +128,16 @@ class Benchmark:
         for group in self.items:
             n = group.n_words
             if n > len(words):
-                break
+                m = len(words) - SHINGLE + 1
+                if 100 * m < PERCENT * group.shingles.shape[1]:
+                    break  # and longer items all the more
+                least = in_common(m, group.shingles.shape[1])
+                for k in group.sharing(known, least) if len(known) >= least else ():
+                    both, _ = group.similarity(known, k)
+                    either = m + group.shingles.shape[1] - both
+                    if 100 * both >= PERCENT * either:
+                        best[group.ids[k]] = (0, len(words), both, either)
+                continue
             if n < SHINGLE:
                 starts = np.flatnonzero(alien[n:] == alien[:-n])
             else:
@@ -134,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): each item that a text holds, at its best window.
 
     Words are runs without ASCII white space, A-Z lower-cased.  Items with fewer than 5 words have the whole sequence as one shingle;
-    null or empty items and texts match nothing.  Items of equal text match alike, each under its own id.  The documents are read once for each
+    null or empty items and texts match nothing.  A text shorter than an item is compared with it as a whole.  Items of equal text match alike, each under its own id.  The documents are read once for each
     ``ITEMS_A_PASS`` items; there is no shuffle, and a hot item costs nothing extra.
     """
     benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))

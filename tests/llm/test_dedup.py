@@ -263,3 +263,30 @@ def test_repeats_do_not_depend_on_how_rows_are_dealt(spark):
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert found == [plain_repeats([r[:2] for r in rows])] * 3
+
+
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    item = prose(5000, 59).split()
+    items = [(1, " ".join(item)), (2, " ".join([*item[:-1], "other"])), (3, " ".join(["la la tum"] * 19)), (4, prose(5001, 4)), (5, prose(5002, 6))]
+    rows = [" ".join(item[: 59 - k]) for k in range(16)] + [" ".join(item[k:]) for k in range(1, 16)]
+    rows += [" ".join([*item[:20], "alien", *item[21:57]]), " ".join(["la la tum"] * 17), items[4][1].rsplit(" ", 1)[0], items[3][1].rsplit(" ", 1)[0], "a", " ".join(item[2:57]).upper()]
+
+    def similarity(v, w):
+        a, b = ([tuple(x[i : i + 5]) for i in range(len(x) - 4)] or [tuple(x)] for x in (v, w))
+        both = sum(min(a.count(x), b.count(x)) for x in set(a))
+        return both / (len(a) + len(b) - both)
+
+    want = {}
+    for i, t in enumerate(rows):
+        w = t.lower().split()
+        for k, v in ((k, v.split()) for k, v in items):
+            best = max(similarity(v, w[s : s + len(v)]) for s in range(max(1, len(w) - len(v) + 1)))
+            if best >= 0.8:
+                want[i, k] = best
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(rows)], DOCS)
+    for some in (items, items[:3]):  # with short items and without, as there is a lower bound on what a text must hold
+        ids = {k for k, _ in some}
+        found = dc.contaminated(docs, spark.createDataFrame(some, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id): r.similarity for r in found} == {x: v for x, v in want.items() if x[1] in ids}
+        assert all(r.start_word + r.n_words <= len(rows[r.doc_id].split()) for r in found)
+    assert {(2, 1), (2, 2)} <= set(want) and (15, 1) not in want
