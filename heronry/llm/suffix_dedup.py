@@ -6,7 +6,7 @@
 2. Suffixes whose first K words occur nowhere else are dropped.
 3. Of suffixes with equal reach all but the first are repeats, whole.  Only if the same K words have different reaches, the first of each
    reach has its passages taken singly, each as a hash of its LEAST words; all but the first of equal passages are repeats.
-4. A document's repeats are merged.
+4. A document's repeats of one source are merged.
 
 First occurrences are found by pre-aggregation, so the result does not depend on how rows are dealt, and no group is gathered in one task.
 Words are runs without ASCII white space, compared by case.  Order is by (doc_id, position): of equal passages the first one stays.
@@ -152,7 +152,10 @@ def single_passages(docs: DataFrame) -> DataFrame:
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """(doc_id, sig, spans array<struct<start, end, src_doc_id>>): overlapping and touching repeats as one, with its first part's smallest source."""
+    """(doc_id, sig, spans array<struct<start, end, src_doc_id>>): overlapping and touching repeats of one source as one.
+
+    Of two sources' repeats that overlap, the words in both are given to the one that begins first; the other keeps the rest, which is never empty.
+    """
     listed = spans.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "end", "src_doc_id")).alias("spans"))
 
     def make():
@@ -164,7 +167,9 @@ def merged(spans: DataFrame) -> DataFrame:
             start, end, src, row = start[order], end[order], src[order], row[order]
             far = row << 40  # beyond any position, so that one running maximum does for all documents
             before = np.concatenate([[-1], np.maximum.accumulate(end + far)[:-1]]) - far
-            begins = np.flatnonzero(start > before)
+            new = end > before
+            gap, start, end, src, row = (x[new] for x in (start > before, np.maximum(start, before), end, src, row))
+            begins = np.flatnonzero(gap | np.concatenate([[True], src[1:] != src[:-1]]))
             start, end, src, row = start[begins], np.maximum.reduceat(end, begins), src[begins], row[begins]
             offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in (start, end, src)], ["start", "end", "src_doc_id"]))
@@ -208,7 +213,10 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, src_doc_id): a row for each maximal repeat; src_doc_id holds the same words earlier on."""
+    """(doc_id, start_word, end_word, src_doc_id): a row for each repeat and source; src_doc_id holds the same words earlier on.
+
+    Rows of a document don't overlap; those of adjoining or overlapping repeats touch.
+    """
     one = repeat_spans(docs).select("doc_id", F.explode("spans").alias("s"))
     return one.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), F.col("s.src_doc_id").alias("src_doc_id"))
 

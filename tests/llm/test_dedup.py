@@ -290,3 +290,12 @@ def test_decontamination_of_texts_shorter_than_an_item(spark):
         assert {(r.doc_id, r.item_id): r.similarity for r in found} == {x: v for x, v in want.items() if x[1] in ids}
         assert all(r.start_word + r.n_words <= len(rows[r.doc_id].split()) for r in found)
     assert {(2, 1), (2, 2)} <= set(want) and (15, 1) not in want
+
+
+def test_adjoining_repeats_keep_their_sources(spark):
+    p, q = prose(6000, 60).split(), prose(6001, 70).split()
+    texts = [" ".join(p), " ".join(q), " ".join(p + q), " ".join(p[:55] + p[-5:] + prose(6002, 9).split()), " ".join(p[:55] + q[-60:])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.src_doc_id) for r in sd.repeated_passages(docs).collect())
+    assert got == [(2, 0, 60, 0), (2, 60, 130, 1), (3, 0, 60, 0), (4, 0, 55, 0), (4, 55, 115, 1)]
+    assert {r.doc_id: r.text for r in sd.without_repeats(docs).collect()} == {0: texts[0], 1: texts[1], 3: " ".join(prose(6002, 9).split())}
