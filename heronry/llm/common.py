@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +31,16 @@ def fresh(df: DataFrame, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and runs within one process (tests) a temporary folder is set; on a cluster that raises, since
+    executors wouldn't see it.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[[^,]*(,\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="heronry-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -63,11 +68,6 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """The result of a shuffle in at most three partitions a core: for tables small beside the documents, which would else be written as many tiny files."""
-    return df.coalesce(3 * max(4, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint, in the session's folder or one that is set now."""
     shared_dir(df.sparkSession)
@@ -75,10 +75,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class Workspace:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one that no plan needs any more."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes one that no plan needs any more.
+
+    What a returned frame is read from stays until ``release``.
+    """
+
+    made: list[Workspace] = []
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.made.append(self)
 
     def settle(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = 1000) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -93,6 +99,12 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Removes all tables and files that this driver's operators have left in the shared folder; frames that were returned can't be read after it."""
+    while Workspace.made:
+        Workspace.made.pop().drop()
+
+
 def give_back() -> None:
     """Returns freed memory to the system, so that a Python worker that waits for its next task is small."""
     pa.default_memory_pool().release_unused()
@@ -118,6 +130,26 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """One batch for each run of rows with equal first ``keys`` columns (integers without nulls); holds a run at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = tuple(values[:, lo].tolist())
+            if held and own != last:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list]]:
     """Slices of a text column, each of about ``most`` bytes, as (first row, values): bounds what is in Python at once."""
     start, held = 0, 0

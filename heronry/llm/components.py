@@ -1,31 +1,52 @@
-"""Connected components by minimum-label propagation with pointer jumping, in DataFrames."""
+"""Connected components by randomised contraction, in DataFrames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import checkpointed, few_files
+from heronry.llm.common import Workspace
 
+#: Rounds whose maps are composed in one plan.
+COMPOSED = 6
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for each end of an edge; component is the smallest id reachable.
 
-    ``edges`` must be cut from its lineage (a table or a checkpoint).  Loops and repeated edges are harmless, an edge
-    with a null end is none.  A hub's edges are pre-aggregated before the shuffle, and joins on a hub have
-    one row a key on the other side, so that AQE can split them.  Each round is checkpointed, and each roughly
-    halves the distance to the smallest id; nothing but a count comes to the driver.
+    Loops and repeated edges are harmless, an edge with a null end is none; without edges there are no rows.
+
+    In a round each id moves to the one that comes first, by a hash drawn for the round, of itself and its neighbours; the ids moved to are
+    the next round's, joined as their members were.  Whatever order the ids have, about half of a chain and all but one of a
+    star are gone after a round, so that rounds grow as the logarithm of the ids, and tables shrink from round to round.  There is no cap:
+    a round always joins something, and the last is the one that leaves no edge.  A hub's edges are pre-aggregated before the
+    shuffle, and joins on a hub have one row a key on the other side, so that AQE can split them.  Tables of a round lie in the shared folder
+    until the next has been written; nothing but whether there is an edge comes to the driver.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    links = links.union(links.select("v", "u")).where("u <> v").distinct()
-    state = checkpointed(few_files(links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("lowest")).select("id", F.least("id", "lowest").alias("component"))))
-    for _ in range(rounds):
-        near = links.join(state.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        stepped = state.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("to"))
-        jump = state.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        following = checkpointed(few_files(stepped.join(jump, "to", "left").select("id", "was", F.least("to", F.coalesce("further", "to")).alias("component"))))
-        moved = following.where("was <> component").limit(1).count()
-        state = following.select("id", "component")
-        if not moved:
-            return state
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
+    work = Workspace(edges.sparkSession, "components")
+    links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    links = work.settle(links.union(links.select("v", "u")).distinct(), "links0")
+    rounds = 0
+    while rounds == 0 or not links.isEmpty():
+        order = lambda c, k=rounds: F.xxhash64(F.col(c), F.lit(k))
+        first = links.groupBy("u").agg(F.min_by("v", order("v")).alias("to"))
+        moved = work.settle(first.select(F.col("u").alias("id"), F.when(order("to") < order("u"), F.col("to")).otherwise(F.col("u")).alias("to")), f"moved{rounds}")
+        half = links.join(moved.select(F.col("id").alias("v"), F.col("to").alias("y")), "v").select("u", "y").distinct()
+        both = half.join(moved.select(F.col("id").alias("u"), F.col("to").alias("x")), "u").where("x <> y")
+        rounds += 1
+        links = work.settle(both.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), f"links{rounds}")
+        work.drop(f"links{rounds - 1}")
+    work.drop(f"links{rounds}")
+
+    at = lambda k: work.spark.read.schema("id long, to long").parquet(f"{work.root}/moved{k}")
+    whole, interim = at(rounds - 1), [f"moved{k}" for k in range(rounds)]
+    for k in range(rounds - 2, -1, -1):
+        later = whole.select(F.col("id").alias("to"), F.col("to").alias("last"))
+        whole = at(k).join(later, "to", "left").select("id", F.coalesce("last", "to").alias("to"))
+        if k and (rounds - 1 - k) % COMPOSED == 0:
+            whole = work.settle(whole, f"whole{k}")
+            interim.append(f"whole{k}")
+    least = whole.groupBy("to").agg(F.min("id").alias("component"))
+    out = work.settle(whole.join(least, "to").select("id", "component"), "components")
+    work.drop(*interim)
+    return out

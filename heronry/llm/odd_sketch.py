@@ -7,8 +7,9 @@
 2. Documents of equal sets are one class, its smallest id its representative.
 3. In each bucket every member is paired with the smallest one, the hub (a star, not all pairs).  Sketches drop what lies
    far below the threshold (by more than five standard deviations), full sets confirm the rest.
-4. Components of the confirmed links.  Two documents that share a bucket share its hub; so what is not yet linked to a hub
-   is tested against the other members of that hub's star, in blocks of bounded size, again by sketches and then full sets.
+4. Components of the confirmed links.  Two documents that share a bucket share its hub; so the strangers of a star, which are not in its hub's
+   component, still have to meet its other members.  They do so in cells of bounded size, first by sketches alone; full sets
+   are fetched only for what is near a member of another component.
 5. Components over all links, and the classes' members after them.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^rows)^bands, 6e-7 by default.
@@ -16,19 +17,21 @@ A pair at the threshold shares no bucket with probability (1 - 0.8^rows)^bands,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import Workspace, arrow_map, by_bytes, few_files, pieces
+from heronry.llm.common import Workspace, arrow_map, bound_batches, by_bytes, give_back, pieces, runs_of
 from heronry.llm.components import connected_components
 from heronry.llm.words import STEP, WordHashes, grams, mixed
 
-ROWS, BANDS, SKETCH_BITS, BLOCK = 5, 36, 512, 512
+ROWS, BANDS, SKETCH_BITS = 5, 36, 512
+#: Rows and bytes of a block of full sets, rows of a block of sketches.
+BLOCK, BLOCK_BYTES, SKETCH_BLOCK = 512, 4_000_000, 4096
 _U = np.uint64
 _SEEDS = mixed(np.arange(1, ROWS * BANDS + 1, dtype=_U) * STEP) | _U(1)
 _WORDS = SKETCH_BITS // 64
@@ -93,12 +96,17 @@ def sketch_documents(docs: DataFrame, n: int) -> DataFrame:
                     sizes.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     bands.append(found[i][0] if i in found else None)
-                    sketches.append(found[i][1].tobytes() if i in found else None)
-            return pa.record_batch([batch.column(0), pa.array(sizes, "int64"), pa.array(digests, "binary"), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, "binary")], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                    sketches.append(found[i][1].view(np.int64) if i in found else None)
+            return pa.record_batch([batch.column(0), pa.array(sizes, "int64"), pa.array(digests, "binary"), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
         return step
 
-    return arrow_map(by_bytes(docs.select("doc_id", "text")), make, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return arrow_map(by_bytes(docs.select("doc_id", "text")), make, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+
+
+def flips_between(a: Column, b: Column) -> Column:
+    """The population count of the XOR of two sketches."""
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(1, _WORDS)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -115,91 +123,105 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
 
         return step
 
-    return arrow_map(by_bytes(docs.select("id", "text", "sketch")), make, "id long, sketch binary, full binary")
+    return arrow_map(by_bytes(docs.select("id", "text", "sketch")), make, "id long, sketch array<long>, full binary")
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def dealt(members: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """Members of stars, (hub, id, part, stranger, n_bytes, ...), dealt into cells (hub, i, j) so that each stranger meets each member.
 
+    Strangers (what is not in the hub's component) are cut into blocks i, all members into blocks j, by hash; a stranger is in its row of cells with role
+    0, a member in its column of cells with role 1, or 2 if it is a stranger itself.  A block has about so many rows and bytes at most, so
+    a star with few strangers is read about once, and no cell grows with its star.
+    """
+    mine = lambda what: F.sum(F.when(F.col("stranger"), what).otherwise(0))
+    blocks = lambda rows, size: F.greatest(F.lit(1), F.ceil(rows / most_rows), F.ceil(size / most_bytes)).cast("int")
+    stars = members.groupBy("hub").agg(blocks(mine(F.lit(1)), mine(F.col("n_bytes"))).alias("n_i"), blocks(F.count("*"), F.sum("n_bytes")).alias("n_j"))
+    placed = members.join(stars, "hub").withColumns({"own_i": F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_i")).cast("int"), "own_j": F.pmod(F.xxhash64("id", F.lit(2)), F.col("n_j")).cast("int")})
+    cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.cast("int").alias("role"))
+    row = F.transform(F.sequence(F.lit(0), F.col("n_j") - 1), lambda j: cell(F.col("own_i"), j, F.lit(0)))
+    column = F.transform(F.sequence(F.lit(0), F.col("n_i") - 1), lambda i: cell(i, F.col("own_j"), F.when(F.col("stranger"), 2).otherwise(1)))
+    exploded = placed.withColumn("cell", F.explode(F.when(F.col("stranger"), F.concat(row, column)).otherwise(column)))
+    rest = [c for c in members.columns if c not in ("hub", "stranger", "n_bytes")]
+    return exploded.select("hub", "cell.i", "cell.j", "cell.role", *rest)
 
-def confirm_stars(pairs: DataFrame, percent: int) -> DataFrame:
-    """(hub, id, linked) from (hub, hub_sketch, hub_full, id, sketch, full)."""
-    most = most_flips(percent)
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            linked = []
-            for hs, hf, s, f in zip(*(map(pa.BinaryScalar.as_buffer, batch.column(i)) for i in (1, 2, 4, 5)), strict=True):
-                flips = int(np.bitwise_count(np.frombuffer(hs, _U) ^ np.frombuffer(s, _U)).sum())
-                linked.append(flips <= most and _similar(np.frombuffer(hf, _U), np.frombuffer(f, _U), percent))
-            return pa.record_batch([batch.column(0), batch.column(3), pa.array(linked)], ["hub", "id", "linked"])
+def _sketches(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(_U).reshape(-1, _WORDS)
 
-        return step
 
-    return arrow_map(pairs.select("hub", "hub_sketch", "hub_full", "id", "sketch", "full"), make, "hub long, id long, linked boolean")
+def _by_cell(cells: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``step`` for each cell, its rows in order of role and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, 3):
+            out = step(rows)
+            if out is not None and out.num_rows:
+                yield out
+        give_back()
 
+    bound_batches(cells.sparkSession)
+    return cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "role", "id").mapInArrow(run, schema)
 
-def block_links(ids: np.ndarray, parts: np.ndarray, blocks: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], percent: int, both: bool) -> list[tuple[int, int]]:
-    """Links between members of different components: of the two blocks, or within the one; a spanning set of them.
 
-    Candidates come from the sketches; intersections are counted over an index of the members' shingles.
+def near_any(cells: DataFrame, percent: int) -> DataFrame:
+    """(hub, id) of members of which the sketch is near that of a member of another part, from cells of (hub, i, j, role, id, part, sketch)."""
+    most = most_flips(percent)
+
+    def step(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        role, ids, part = (rows.column(n).to_numpy() for n in ("role", "id", "part"))
+        sketches, n = _sketches(rows.column("sketch")), int((role == 0).sum())
+        alive = np.zeros(len(ids), bool)
+        for x in range(n):
+            some = n + np.flatnonzero((part[n:] != part[x]) & ((role[n:] == 1) | (ids[n:] > ids[x])))
+            near = some[np.bitwise_count(sketches[some] ^ sketches[x]).sum(axis=1) <= most]
+            alive[near] = True
+            alive[x] |= len(near) > 0
+        return pa.record_batch([rows.column("hub").filter(pa.array(alive)), pa.array(ids[alive], "int64")], ["hub", "id"])
+
+    return _by_cell(cells.select("hub", "i", "j", "role", "id", "part", "sketch"), step, "hub long, id long")
+
+
+def cell_links(role: np.ndarray, ids: np.ndarray, parts: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of role 0, which come first, and others of other parts; a spanning set of them.
+
+    Sketches say which to look at; intersections are counted over an index of the others' shingles.
     """
-    most, out = most_flips(percent), []
+    most, out, n = most_flips(percent), [], int((role == 0).sum())
     sizes = np.array([len(s) for s in sets])
-    shingles, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(at, kind="stable")
-    posts, ends = owner[order], np.searchsorted(at[order], np.arange(len(shingles) + 1))
-    first = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate(sets[n:]) if n < len(sets) else np.zeros(0, _U)
+    order = np.argsort(flat, kind="stable")
+    posts, flat = np.repeat(np.arange(n, len(sets)), sizes[n:])[order], flat[order]
     merged = parts.copy()
-    for x in range(len(ids)):
-        near = np.bitwise_count(sketches ^ sketches[x]).sum(axis=1) <= most
-        near &= (blocks != blocks[x]) if both else (np.arange(len(ids)) > x)
-        if both and blocks[x] != blocks.min():
+    for x in range(n):
+        some = (merged[n:] != merged[x]) & ((role[n:] != 2) | (ids[n:] > ids[x]))
+        if not some.any():
             continue
-        if not (near & (merged != merged[x])).any():
+        some = n + np.flatnonzero(some)
+        some = some[np.bitwise_count(sketches[some] ^ sketches[x]).sum(axis=1) <= most]
+        if not len(some):
             continue
-        mine = at[first[x] : first[x + 1]]
-        common = np.bincount(np.concatenate([posts[ends[k] : ends[k + 1]] for k in mine]), minlength=len(ids))
-        for y in np.flatnonzero(near & (100 * common >= percent * (sizes + sizes[x] - common))):
+        lo, hi = np.searchsorted(flat, sets[x]), np.searchsorted(flat, sets[x], "right")
+        held = np.flatnonzero(hi > lo)
+        lo, count = lo[held], (hi - lo)[held]
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(held) else held
+        common = np.bincount(posts[at], minlength=len(ids))[some]
+        for y in some[100 * common >= percent * (sizes[some] + sizes[x] - common)].tolist():
             if merged[y] != merged[x]:
                 out.append((int(ids[x]), int(ids[y])))
                 merged[merged == merged[y]] = merged[x]
     return out
 
 
-def residual_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links between different components within a hub's star, from (hub, i, j, id, block, part, sketch, full).
+def links_in(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links between different parts, from cells of (hub, i, j, role, id, part, sketch, full)."""
 
-    Rows come sorted by (hub, i, j); one block pair, twice ``BLOCK`` members at most, is held at a time.
-    """
+    def step(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        role, ids, part = (rows.column(n).to_numpy() for n in ("role", "id", "part"))
+        sets = [np.frombuffer(b.as_buffer(), _U) for b in rows.column("full")]
+        found = cell_links(role, ids, part, _sketches(rows.column("sketch")), sets, percent)
+        return pa.record_batch([pa.array([x[k] for x in found], "int64") for k in (0, 1)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def links() -> pa.RecordBatch | None:
-            parts = np.array([r[5] for r in held])
-            if len(held) < 2 or (parts == parts[0]).all():
-                return None
-            found = block_links(
-                np.array([r[3] for r in held]), parts, np.array([r[4] for r in held]), np.array([np.frombuffer(r[6], _U) for r in held]),
-                [np.frombuffer(r[7], _U) for r in held], percent, held[0][1] != held[0][2],
-            )
-            return pa.record_batch([pa.array([a for a, _ in found], "int64"), pa.array([b for _, b in found], "int64")], ["a", "b"]) if found else None
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:3] != row[:3]:
-                    if (out := links()) is not None:
-                        yield out
-                    held = []
-                held.append(row)
-        if held and (out := links()) is not None:
-            yield out
-
-    columns = ["hub", "i", "j", "id", "block", "part", "sketch", "full"]
-    return members.select(*columns).repartition(F.col("hub"), F.col("i"), F.col("j")).sortWithinPartitions("hub", "i", "j").mapInArrow(run, "a long, b long")
+    return _by_cell(cells.select("hub", "i", "j", "role", "id", "part", "sketch", "full"), step, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -210,46 +232,56 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     A-Z lower-cased; with fewer than n words the whole sequence is the one shingle.  A null or empty text, or one of white
     space, has no shingle and is linked with nothing.  Rows with a null id are linked with nothing either, and
     are kept.  doc_id is taken as unique: of rows that repeat an id, the texts count as one document's each, and all
-    get the one id's component.  Shingles are compared by 64-bit hashes.
+    get the one id's component.  Shingles are compared by 64-bit hashes.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near")
+    most = most_flips(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = work.settle(sketch_documents(docs, n), "signed")
     known = signed.where("doc_id is not null and n_shingles > 0")
-    classes = work.settle(few_files(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))), "classes")
-    heads = known.join(classes.hint("merge"), (known.set_key == classes.set_key) & (known.doc_id == classes.rep)).select(known.doc_id.alias("id"), "bands", "sketch")
+    classes = work.settle(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    # merge joins at every size: the plan, and what it shuffles, then grows as the input does
+    heads = known.join(classes.hint("merge"), (known.set_key == classes.set_key) & (known.doc_id == classes.rep)).select(known.doc_id.alias("id"), known.set_key, "n_shingles", "bands", "sketch")
+    heads = work.settle(heads.dropDuplicates(["id", "set_key"]).drop("set_key"), "heads")
 
     keyed = heads.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    stars = work.settle(few_files(keyed.join(hubs.hint("merge"), "key").where("id <> hub").select("hub", "id").distinct()), "stars")
-
-    ids = stars.select("id").union(stars.select("hub")).distinct()
-    # merge joins at every size: the plan, and what it shuffles, then grows as the input does
-    texts = docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id")
-    sketched = heads.select("id", "sketch").join(ids.hint("merge"), "id")
-    sets = work.settle(full_sets(texts.join(sketched, "id"), n), "sets", "none")
-    hub_sets = sets.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("full").alias("hub_full"))
-    tried = work.settle(confirm_stars(stars.join(sets.hint("merge"), "id").join(hub_sets.hint("merge"), "hub"), percent).transform(few_files), "tried")
-    direct = tried.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    stars = work.settle(keyed.join(hubs.hint("merge"), "key").where("id <> hub").select("hub", "id").distinct(), "stars")
+    sketches = heads.select("id", (8 * F.col("n_shingles")).alias("n_bytes"), "sketch")
+    hub_sketches = heads.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
+    met = stars.join(sketches.hint("merge"), "id").join(hub_sketches.hint("merge"), "hub")
+    met = work.settle(met.select("hub", "id", "n_bytes", (flips_between(F.col("hub_sketch"), F.col("sketch")) <= most).alias("near")), "met")
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        ids = ids.distinct()
+        texts = docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id")
+        return work.settle(full_sets(texts.join(heads.select("id", "sketch").hint("merge"), "id"), n), name, "none")
+
+    # a star's hub is its one stranger: it meets the members whose sketch is near its own
+    pairs = met.where("near").select("hub", "id", F.col("id").alias("part"), F.lit(False).alias("stranger"), "n_bytes")
+    centres = pairs.select("hub").distinct().select("hub", F.col("hub").alias("id"), F.col("hub").alias("part"), F.lit(True).alias("stranger"), F.lit(0).cast("long").alias("n_bytes"))
+    sets = sets_of(pairs.select("id").union(centres.select("id")), "sets")
+    cells = dealt(pairs.union(centres), BLOCK, BLOCK_BYTES).where("role <> 2").join(sets.hint("merge"), "id")
+    direct = work.settle(links_in(cells, percent), "direct")
     parts = connected_components(direct)
 
-    part_of = lambda df, key: df.join(parts.withColumnRenamed("id", key), key, "left").withColumn("part", F.coalesce("component", key)).drop("component")
-    member = part_of(tried.select("hub", "id"), "id")
-    centre = part_of(tried.select("hub").distinct(), "hub").select("hub", F.col("part").alias("hub_part"))
-    placed = member.join(centre, "hub")
-    open_hubs = placed.groupBy("hub").agg(F.count("*").alias("members"), F.max((F.col("part") != F.col("hub_part")).cast("int")).alias("open"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("open = 1 and p0 < p1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = placed.join(open_hubs.select("hub", blocks.alias("n_blocks")), "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("hub", "id", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = work.settle(few_files(residual_links(paired.join(sets, "id"), percent)), "more")
-
-    links = work.settle(few_files(direct.union(more)), "links")
+    part_of = lambda df, key, name: df.join(parts.select(F.col("id").alias(key), "component"), key, "left").withColumn(name, F.coalesce("component", key)).drop("component")
+    placed = part_of(part_of(met.drop("near"), "id", "part"), "hub", "hub_part").withColumn("stranger", F.col("part") != F.col("hub_part"))
+    placed = work.settle(placed.drop("hub_part"), "placed")
+    unsettled = placed.groupBy("hub").agg(F.max("stranger").alias("open"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("open and p0 < p1").select("hub")
+    members = work.settle(placed.join(unsettled, "hub"), "members")
+    light = dealt(members.withColumn("n_bytes", F.lit(8 * _WORDS)), SKETCH_BLOCK, BLOCK_BYTES).join(sketches.drop("n_bytes").hint("merge"), "id")
+    alive = work.settle(near_any(light, percent).distinct(), "alive")
+    rest = work.settle(members.join(alive.hint("merge"), ["hub", "id"]), "rest")
+    more = links_in(dealt(rest, BLOCK, BLOCK_BYTES).join(sets_of(rest.select("id"), "more_sets").hint("merge"), "id"), percent)
+
+    links = work.settle(direct.union(more), "links")
     whole = connected_components(links)
     final = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     own = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
     out = own.join(final, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    work.drop("stars", "sets", "tried", "more", "links")
+    work.drop("heads", "stars", "met", "sets", "direct", "placed", "members", "alive", "rest", "more_sets", "links")
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 

@@ -72,6 +72,7 @@ def plain_components(rows, n, percent):
 @pytest.mark.parametrize(("n", "block"), [(4, 512), (5, 512), (5, 8)])
 def test_near_duplicates(docs, n, block, monkeypatch):
     monkeypatch.setattr(osk, "BLOCK", block)
+    monkeypatch.setattr(osk, "SKETCH_BLOCK", block)
     want = plain_components([r[:2] for r in corpus()], n, 80)
     got = osk.near_duplicates(with_clashes(docs), n).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(want)
@@ -124,6 +125,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_chains(spark, monkeypatch):
+    """Whatever the order of ids along a chain, rounds grow as the logarithm of its length, and nothing of a round is left behind."""
+    from heronry.llm.common import Workspace, release
+
+    written, settle = [], Workspace.settle
+    monkeypatch.setattr(Workspace, "settle", lambda self, df, name, *a, **b: (written.append(name), settle(self, df, name, *a, **b))[1])
+    mixed = random.Random(3).sample(range(100_000, 900_000), 3000)
+    chains = [list(range(10_000)), [20_000, *range(30_000, 20_000, -1)][:3000], mixed, [9 * 10**6, *range(10**6, 10**6 + 2000)]]
+    edges = [e for c in chains for e in zip(c, c[1:], strict=False)] + [(10**7, 10**7 + k) for k in range(1, 500)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()))
+    assert got == {i: min(c) for c in [*chains, range(10**7, 10**7 + 500)] for i in c}
+    assert len([n for n in written if n.startswith("moved")]) <= 2 * np.log2(10_000)
+    root = Workspace.made[-1].root
+    left = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = left.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert [f.getPath().getName() for f in fs.listStatus(left)] == ["components"]
+    release()
+    assert not fs.exists(left) and not Workspace.made
+
+
 def plain_repeats(rows):
     """Words of each document in a window of LEAST words that occurs before."""
     seen, out = set(), defaultdict(set)
