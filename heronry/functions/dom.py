@@ -1,12 +1,14 @@
 """An HTML tree, a subset of CSS selectors over it, and an indenting serialiser; plain Python, for Arrow batches.
 
-Selectors: types, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]``, descendant, child ``>``, neighbour ``+``, lists with commas.
+Selectors: types, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]`` and ``^= $= *= ~= |=``, ``:not(...)`` of one of these, ``:first-child``, ``:last-child``,
+descendant, child ``>``, neighbour ``+``, later sibling ``~``, lists with commas.  No walk recurses, so that depth is no matter.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -59,11 +61,19 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.counts: Counter[str] = Counter()  # of open tags, so that what isn't open isn't looked for
+
+    def _cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.counts[node.tag] -= 1
+        del self.open[i:]
 
     def _close_until(self, tags: set[str] | frozenset[str], scope: set[str]) -> None:
+        if not any(self.counts[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in scope:
                 return
@@ -82,14 +92,17 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # in HTML a trailing slash means nothing
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.counts[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -104,16 +117,18 @@ def parse(text: str) -> Node:
 
 
 _NAME = r"[A-Za-z_\-\u0080-￿][\w\-\u0080-￿]*"
-_SIMPLE = re.compile(rf"""\*|(?P<tag>{_NAME})|\.(?P<cls>{_NAME})|\#(?P<id>{_NAME})|\[\s*(?P<a>[\w\-:.]+)\s*(?:=\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[^\]\s]+))\s*)?\]""")
+_SIMPLE = re.compile(rf"""\*|(?P<tag>{_NAME})|\.(?P<cls>{_NAME})|\#(?P<id>{_NAME})|\[\s*(?P<a>[\w\-:.]+)\s*(?:(?P<op>[~^$*|]?)=\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[^\]\s]+))\s*)?\]|:(?P<pseudo>first-child|last-child)|:not\(\s*(?P<no>[^()]+?)\s*\)""")
 
 
 @dataclass(frozen=True)
 class Compound:
-    joint: str  # how it follows the one before it: "", " ", ">" or "+"
+    joint: str  # how it follows the one before it: "", " ", ">", "+" or "~"
     tag: str | None
     ids: tuple[str, ...]
     classes: tuple[str, ...]
-    attrs: tuple[tuple[str, str | None], ...]
+    attrs: tuple[tuple[str, str, str | None], ...]
+    places: tuple[str, ...] = ()
+    nots: tuple[Compound, ...] = ()
 
     def fits(self, node: Node) -> bool:
         if self.tag and node.tag != self.tag:
@@ -122,7 +137,19 @@ class Compound:
             return False
         if self.classes and not set(self.classes) <= set(node.attrs.get("class", "").split()):
             return False
-        return all(k in node.attrs and (v is None or node.attrs[k] == v) for k, v in self.attrs)
+        if not all(k in node.attrs and (v is None or _HOLDS[op](node.attrs[k], v)) for k, op, v in self.attrs):
+            return False
+        if self.places:
+            around = node.parent.elements() if node.parent else [node]
+            if any(around[0 if p == "first-child" else -1] is not node for p in self.places):
+                return False
+        return not any(c.fits(node) for c in self.nots)
+
+
+_HOLDS = {
+    "": lambda a, v: a == v, "^": lambda a, v: v != "" and a.startswith(v), "$": lambda a, v: v != "" and a.endswith(v),
+    "*": lambda a, v: v != "" and v in a, "~": lambda a, v: v in a.split(), "|": lambda a, v: a == v or a.startswith(f"{v}-"),
+}
 
 
 class SelectorError(ValueError):
@@ -130,7 +157,7 @@ class SelectorError(ValueError):
 
 
 def _split_list(css: str) -> list[str]:
-    return re.findall(r"""(?:[^,\["']|\[[^\]]*\]|"[^"]*"|'[^']*')+""", css)
+    return re.findall(r"""(?:[^,\[("']|\[[^\]]*\]|\([^)]*\)|"[^"]*"|'[^']*')+""", css)
 
 
 @lru_cache(maxsize=1024)
@@ -140,19 +167,25 @@ def compile_css(css: str) -> tuple[tuple[Compound, ...], ...]:
         chain: list[Compound] = []
         at, joint, part = 0, "", part.strip()
         while at < len(part):
-            tag, ids, classes, attrs, begin = None, [], [], [], at
+            tag, ids, classes, attrs, places, nots, begin = None, [], [], [], [], [], at
             while at < len(part) and (m := _SIMPLE.match(part, at)):
                 if m["tag"] and at > begin:
                     break
                 tag = m["tag"].lower() if m["tag"] else tag
                 ids += [m["id"]] if m["id"] else []
                 classes += [m["cls"]] if m["cls"] else []
-                attrs += [(m["a"].lower(), next((m[k] for k in ("v1", "v2", "v3") if m[k] is not None), None))] if m["a"] else []
+                attrs += [(m["a"].lower(), m["op"] or "", next((m[k] for k in ("v1", "v2", "v3") if m[k] is not None), None))] if m["a"] else []
+                places += [m["pseudo"]] if m["pseudo"] else []
+                if m["no"]:
+                    inner = compile_css(m["no"])
+                    if any(len(c) > 1 for c in inner):
+                        raise SelectorError(css)
+                    nots += [c[0] for c in inner]
                 at = m.end()
             if at == begin:
                 raise SelectorError(css)
-            chain.append(Compound(joint, tag, tuple(ids), tuple(classes), tuple(attrs)))
-            m = re.compile(r"\s*([>+])\s*|\s+").match(part, at)
+            chain.append(Compound(joint, tag, tuple(ids), tuple(classes), tuple(attrs), tuple(places), tuple(nots)))
+            m = re.compile(r"\s*([>+~])\s*|\s+").match(part, at)
             if m:
                 joint, at = m[1] or " ", m.end()
                 if at == len(part):
@@ -167,35 +200,41 @@ def compile_css(css: str) -> tuple[tuple[Compound, ...], ...]:
     return tuple(out)
 
 
-def _matches(node: Node | None, chain: tuple[Compound, ...], k: int) -> bool:
-    if node is None or node.tag == "#document" or not chain[k].fits(node):
-        return False
-    if k == 0:
-        return True
-    joint = chain[k].joint
-    if joint == ">":
-        return _matches(node.parent, chain, k - 1)
-    if joint == "+":
-        around = node.parent.elements() if node.parent else []
-        at = next(i for i, x in enumerate(around) if x is node)
-        return at > 0 and _matches(around[at - 1], chain, k - 1)
-    up = node.parent
-    while up is not None:
-        if _matches(up, chain, k - 1):
-            return True
-        up = up.parent
-    return False
+def _matching(root: Node, css: str) -> Iterator[Node]:
+    """Matching descendants of ``root`` in document order; what matches is carried down, so that the time is linear in the page."""
+    chains = compile_css(css)
+    top = root
+    while top.parent is not None:
+        top = top.parent
+    none = [0] * len(chains)  # a chain's bit k: its first k + 1 compounds fit, the last of them on this node
+    # an element, whether it is below root, bits of its parent, of all above, of the sibling before and of all before
+    stack: list[tuple[Node, bool, list[int], list[int], list[list[int]]]] = []
+
+    def push(node: Node, inside: bool, own: list[int], above: list[int]) -> None:
+        before = [none, none]  # shared by the siblings, which come in order
+        stack.extend((c, inside, own, above, before) for c in reversed(node.children) if isinstance(c, Node))
+
+    push(top, top is root, none, none)
+    while stack:
+        node, inside, parent, above, before = stack.pop()
+        bits = []
+        for c, chain in enumerate(chains):
+            after = {">": parent[c], " ": above[c], "+": before[0][c], "~": before[1][c]}
+            bits.append(sum(1 << k for k, x in enumerate(chain) if (not k or after[x.joint] >> (k - 1) & 1) and x.fits(node)))
+        before[:] = bits, [a | b for a, b in zip(before[1], bits, strict=True)]
+        if inside and any(b >> (len(chain) - 1) & 1 for b, chain in zip(bits, chains, strict=True)):
+            yield node
+        if node.children:
+            push(node, inside or node is root, bits, [a | b for a, b in zip(above, bits, strict=True)])
 
 
 def select(root: Node, css: str) -> list[Node]:
     """Matching descendants of ``root``, in document order."""
-    chains = compile_css(css)
-    return [n for n in root.walk() if n is not root and any(_matches(n, c, len(c) - 1) for c in chains)]
+    return list(_matching(root, css))
 
 
 def select_one(root: Node, css: str) -> Node | None:
-    chains = compile_css(css)
-    return next((n for n in root.walk() if n is not root and any(_matches(n, c, len(c) - 1) for c in chains)), None)
+    return next(_matching(root, css), None)
 
 
 def case_variations(seed: str) -> list[str]:
@@ -212,44 +251,77 @@ def _open_tag(node: Node) -> str:
 
 
 def outer_html(node: Node) -> str:
-    raw = node.tag in ("script", "style")
-    inner = "".join(outer_html(c) if isinstance(c, Node) else c if raw else _html.escape(c, quote=False) for c in node.children)
-    return inner if node.tag == "#document" else _open_tag(node) + ("" if node.tag in VOID else f"{inner}</{node.tag}>")
+    out: list[str] = []
+    stack: list[Node | str] = [node]  # what is still to write; strings are ready
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        if x.tag != "#document":
+            out.append(_open_tag(x))
+            if x.tag in VOID:
+                continue
+            stack.append(f"</{x.tag}>")
+        raw = x.tag in ("script", "style")
+        stack.extend(c if isinstance(c, Node) or raw else _html.escape(c, quote=False) for c in reversed(x.children))
+    return "".join(out)
+
+
+def _with_blocks(root: Node) -> set[int]:
+    """The ids of nodes that are block tags or hold one."""
+    found: set[int] = set()
+    for node in root.walk():
+        up = node if node.tag in BLOCK else None
+        while up is not None and id(up) not in found:
+            found.add(id(up))
+            up = up.parent
+    return found
+
+
+#: Lines are indented no further, so that what is written stays in proportion to the page.
+DEEPEST = 64
 
 
 def tidy(text: str, indent: int = 4) -> str:
     """One line for each block tag and each run of text, indented by depth; a fragment is put into html and body."""
-    out: list[str] = []
-
-    def emit(node: Node, depth: int) -> None:
-        run: list[str] = []
-
-        def flush() -> None:
-            line = re.sub(r"\s+", " ", "".join(run)).strip()
-            if line:
-                out.append(" " * (indent * depth) + line)
-            run.clear()
-
-        for c in node.children:
-            if isinstance(c, str):
-                run.append(_html.escape(c, quote=False))
-            elif c.tag in ("script", "style"):
-                flush()
-                out.append(" " * (indent * depth) + _open_tag(c))
-                out.extend(x for x in "".join(x for x in c.children if isinstance(x, str)).split("\n") if x.strip())
-                out.append(" " * (indent * depth) + f"</{c.tag}>")
-            elif c.tag in BLOCK or any(x.tag in BLOCK for x in c.walk()):
-                flush()
-                out.append(" " * (indent * depth) + _open_tag(c))
-                if c.tag not in VOID:
-                    emit(c, depth + 1)
-                    out.append(" " * (indent * depth) + f"</{c.tag}>")
-            else:
-                run.append(outer_html(c))
-        flush()
-
     root = parse(text)
     if not any(n.tag in ("html", "body") for n in root.elements()):
-        root = Node("#document", children=[Node("html", children=[Node("body", children=root.children)])])
-    emit(root, 0)
+        body = Node("body", children=root.children)
+        root = Node("#document", children=[Node("html", children=[body])])
+        root.children[0].parent, body.parent = root, root.children[0]
+        for c in body.elements():
+            c.parent = body
+    blocks, out, run = _with_blocks(root), [], []
+
+    def flush(depth: int) -> None:
+        line = re.sub(r"\s+", " ", "".join(run)).strip()
+        if line:
+            out.append(" " * (indent * min(depth, DEEPEST)) + line)
+        run.clear()
+
+    stack: list[tuple[Node, int, int]] = [(root, 0, 0)]  # node, its children's depth, the next child
+    while stack:
+        node, depth, k = stack.pop()
+        if k == len(node.children):
+            flush(depth)
+            if node is not root:
+                out.append(" " * (indent * min(depth - 1, DEEPEST)) + f"</{node.tag}>")
+            continue
+        stack.append((node, depth, k + 1))
+        c = node.children[k]
+        if isinstance(c, str):
+            run.append(_html.escape(c, quote=False))
+        elif c.tag in ("script", "style"):
+            flush(depth)
+            out.append(" " * (indent * min(depth, DEEPEST)) + _open_tag(c))
+            out.extend(x for x in "".join(x for x in c.children if isinstance(x, str)).split("\n") if x.strip())
+            out.append(" " * (indent * min(depth, DEEPEST)) + f"</{c.tag}>")
+        elif id(c) in blocks:
+            flush(depth)
+            out.append(" " * (indent * min(depth, DEEPEST)) + _open_tag(c))
+            if c.tag not in VOID:
+                stack.append((c, depth + 1, 0))
+        else:
+            run.append(outer_html(c))
     return "\n".join(out)

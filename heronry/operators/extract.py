@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,9 +14,10 @@ from pyspark.sql.types import ArrayType, StringType
 
 from heronry.functions import dom
 from heronry.functions.urls import resolve, url_evidence
+from heronry.operators.flow import control
 from heronry.plans.rules import GENERAL, RULES, Rule, Spec
 
-CANDIDATES = "array<struct<seq:int,text:string,evidence:array<string>,resolved:string>>"
+CANDIDATES = "struct<candidates:array<struct<seq:int,text:string,evidence:array<string>,resolved:string>>,error:string>"
 
 
 def _brace_json(text: str) -> dict | None:
@@ -144,9 +145,10 @@ def dispatch(url: Column, status: Column, rules: tuple[Rule, ...] = RULES) -> Co
 
 
 def with_candidates(pages: DataFrame, rules: tuple[Rule, ...] = RULES, artifact: str = "response-body") -> DataFrame:
-    """Pages (page_id, url, status, html, ...) of status 200 with ``rule``, ``ambient`` and ``candidates``; the html is dropped.
+    """Pages (page_id, url, status, html, ...) of status 200 with ``rule``, ``ambient``, ``candidates`` and ``control``; the html is dropped.
 
-    One pass in Arrow batches, without a shuffle.  A null html has no candidates; null addresses go to the general rule.
+    One pass in Arrow batches, without a shuffle.  A null html has no candidates; null addresses go to the general rule.  A page that can't be
+    evaluated has no candidates, and a control (``halt`` and the reason) instead of null; the other pages are not affected.
     """
     by_name = {r.name: r for r in (*rules, GENERAL)}
     placed = pages.withColumn("rule", F.coalesce(dispatch(F.coalesce("url", F.lit("")), F.col("status"), rules))).where("rule is not null")
@@ -154,33 +156,78 @@ def with_candidates(pages: DataFrame, rules: tuple[Rule, ...] = RULES, artifact:
     placed = placed.withColumn("ambient", F.when(general, url_evidence(F.coalesce("url", F.lit("")))).otherwise(F.array().cast("array<string>")))
 
     @F.pandas_udf(CANDIDATES)
-    def candidates(html: pd.Series, rule: pd.Series, url: pd.Series, ambient: pd.Series) -> pd.Series:
+    def candidates(html: pd.Series, rule: pd.Series, url: pd.Series, ambient: pd.Series) -> pd.DataFrame:
         out = []
         for h, r, u, a in zip(html, rule, url, ambient, strict=True):
-            before = [*a, f"input:{artifact}"]
-            found = gather(h, by_name[r].specs) if h is not None else []
-            out.append([{"seq": i, "text": t.strip(), "evidence": [*before, e], "resolved": resolve(t.strip(), u)} for i, (t, e) in enumerate(found)])
-        return pd.Series(out)
+            before, rows, error = [*a, f"input:{artifact}"], [], None
+            try:
+                found = gather(h, by_name[r].specs) if h is not None else []
+                rows = [{"seq": i, "text": t.strip(), "evidence": [*before, e], "resolved": resolve(t.strip(), u)} for i, (t, e) in enumerate(found)]
+            except (ArithmeticError, AssertionError, LookupError, RecursionError, ValueError) as e:  # what a hostile page can cause
+                error = f"{type(e).__name__}: {e}"[:500]
+            out.append({"candidates": rows, "error": error})
+        return pd.DataFrame(out, columns=["candidates", "error"])
 
     # not deterministic to the optimiser, so that it is never computed twice for two uses
-    return placed.withColumn("candidates", candidates.asNondeterministic()(F.col("html"), F.col("rule"), F.col("url"), F.col("ambient"))).drop("html")
+    done = placed.withColumn("_found", candidates.asNondeterministic()(F.col("html"), F.col("rule"), F.col("url"), F.col("ambient"))).drop("html")
+    failed = F.when(F.col("_found.error").isNotNull(), control(F.lit("halt"), F.col("_found.error")))
+    return done.withColumns({"candidates": F.col("_found.candidates"), "control": failed}).drop("_found")
+
+
+def _on_pages(html: pd.Series, *others: pd.Series) -> Iterator[tuple]:
+    """(tree, *others) a row, or None for a null page; a page that follows itself is parsed once."""
+    last, tree = None, None
+    for h, *rest in zip(html, *others, strict=True):
+        if h is not None and h != last:
+            last, tree = h, dom.parse(h)
+        yield (tree, *rest) if h is not None else None
+
+
+def _evaluated(rows: Iterator[tuple], step: Callable[..., list[str]]) -> pd.Series:
+    """A bad selector gives null."""
+    out = []
+    for row in rows:
+        try:
+            out.append(step(*row) if row is not None else None)
+        except dom.SelectorError:
+            out.append(None)
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def css_text(html: pd.Series, css: pd.Series) -> pd.Series:
-    """The trimmed text of each match."""
-    return pd.Series([[n.text() for n in dom.select(dom.parse(h), c)] if h is not None else None for h, c in zip(html, css, strict=True)])
+    """The trimmed text of each match; null for a null page or a bad selector (see ``css_control``)."""
+    return _evaluated(_on_pages(html, css), lambda tree, c: [n.text() for n in dom.select(tree, c)])
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def css_attr(html: pd.Series, css: pd.Series, attr: pd.Series) -> pd.Series:
     """The attribute of each match that has it."""
-    return pd.Series([[n.attrs[a] for n in dom.select(dom.parse(h), c) if a in n.attrs] if h is not None else None for h, c, a in zip(html, css, attr, strict=True)])
+    return _evaluated(_on_pages(html, css, attr), lambda tree, c, a: [n.attrs[a] for n in dom.select(tree, c) if a in n.attrs])
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def css_outer(html: pd.Series, css: pd.Series) -> pd.Series:
-    return pd.Series([[dom.outer_html(n) for n in dom.select(dom.parse(h), c)] if h is not None else None for h, c in zip(html, css, strict=True)])
+    return _evaluated(_on_pages(html, css), lambda tree, c: [dom.outer_html(n) for n in dom.select(tree, c)])
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def css_texts(html: pd.Series, css: pd.Series) -> pd.Series:
+    """css_text for each selector of an array, of a page that is parsed once."""
+    return _evaluated(_on_pages(html, css), lambda tree, cs: [[n.text() for n in dom.select(tree, c)] for c in cs])
+
+
+def css_control(css: str) -> Column | None:
+    """The control value of a selector that can't be evaluated, None for a good one."""
+    try:
+        dom.compile_css(css)
+    except dom.SelectorError:
+        return control(F.lit("halt"), F.lit(selection_error(css)))
+    return None
+
+
+def selection_error(css: str, url: str = "") -> str:
+    return f"selection error: {css!r}" + (f" on {url}" if url else "")
 
 
 @F.pandas_udf(StringType())

@@ -45,7 +45,7 @@ def test_implied_ends(tree):
 
 
 def test_bad_selectors(tree):
-    for css in ("", "a >", "a:hover", "[", "a,,b >"):
+    for css in ("", "a >", "a:hover", "[", "a,,b >", ":not(a b)", ":not()"):
         with pytest.raises(dom.SelectorError):
             dom.select(tree, css)
 
@@ -63,3 +63,35 @@ def test_tidy():
 
 def test_outer():
     assert dom.outer_html(dom.parse('<p a="1&amp;2">x<br>y')) == '<p a="1&amp;2">x<br />y</p>'
+
+
+def test_more_selectors():
+    tree = dom.parse("<ul><li a=xy class='c d'>1<li>2<li id=q>3</ul><p lang=en-GB>z")
+    want = {"li:not(.c)": "23", "li ~ li": "23", "li + li": "23", "[a^=x]": "1", "[a$='y']": "1", "[a*=q]": "", "[class~=d]": "1", "li:first-child": "1", "li:last-child": "3", "li:not(#q):not([a])": "2", "ul ~ p": "z", "[lang|=en]": "z", "li:not(.c, #q)": "2"}
+    assert {css: "".join(texts(tree, css)) for css in want} == want
+
+
+def test_deep_pages():
+    """Neither depth nor tags that are never closed cost more than a walk of the page."""
+    n = 100_000
+    page = "<div>" * n + "<p>x</p>" + "<span>" * n + "<a href=y>z"
+    tree = dom.parse(page)
+    assert len(dom.select(tree, "div div > p")) == 1 and len(dom.select(tree, "div span > a, q")) == 1
+    assert dom.outer_html(tree).count("<div>") == n and dom.tidy(page).count("<div>") == n
+    assert len(dom.select(dom.parse("<a><b>" * 20_000), "a > b a b")) == 19_999
+
+
+def test_matches_below_a_node_see_what_is_above(tree):
+    assert [n.text() for n in dom.select(dom.select_one(tree, "section"), "body section > p b")] == ["bold"]
+
+
+def test_pages_that_fail_are_control_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from heronry.operators import extract
+
+    d = spark.createDataFrame([(1, "http://export.arxiv.org/1", "200", "<feed><entry>" * 300 + "x"), (2, "http://a.b/c", "200", "<div>" * 50_000 + '<meta name="citation_title" content="T">'), (3, "http://a.b/d", "200", None)], "page_id long, url string, status string, html string")
+    rows = {r.page_id: r for r in extract.with_candidates(d).collect()}
+    assert len(rows) == 3 and all(r.control is None for r in rows.values()) and rows[2].candidates and not rows[3].candidates
+    bad = spark.range(1).select(extract.css_text(F.lit("<p>x"), F.lit("p >")).alias("t"), extract.css_control("p >").alias("c"), extract.css_texts(F.lit("<p>x<b>y"), F.array(F.lit("p"), F.lit("b"))).alias("m")).first()
+    assert bad.t is None and bad.c.code == "halt" and "p >" in bad.c.msg and extract.css_control("p > a") is None and bad.m == [["xy"], ["y"]]
