@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,46 +12,64 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 
 def diff_chars(a: str, b: str) -> list[tuple[str, str, int]]:
-    """(kind, value, count) of a least edit script, kinds add, remove and same: a greedy search by edit distance."""
+    """(kind, value, count) of a least edit script, kinds add, remove and same: a greedy search by edit distance.
+
+    What both texts begin and end with is set aside; of the rest, time grows with length times distance, and memory with
+    four bytes for each pair of distances.
+    """
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i] != b[i]), least)
+    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+    steps = [("same", a[:head])] * (head > 0) + _middle(a[head : len(a) - tail], b[head : len(b) - tail]) + [("same", a[len(a) - tail :])] * (tail > 0)
+    out: list[tuple[str, list[str]]] = []
+    for kind, text in steps:
+        if out and out[-1][0] == kind:
+            out[-1][1].append(text)
+        else:
+            out.append((kind, [text]))
+    return [(kind, "".join(parts), sum(map(len, parts))) for kind, parts in out]
+
+
+def _middle(a: str, b: str) -> list[tuple[str, str]]:
     n, m = len(a), len(b)
-    reach, history = {1: 0}, []
+    if not n or not m:
+        return [("remove", a)] * (n > 0) + [("add", b)] * (m > 0)
+    # history[d][i]: how far into a the path on diagonal 2i - d comes with d edits
+    history: list[array] = []
     for d in range(n + m + 1):
-        history.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+        was, reach = history[-1] if history else None, array("i", bytes(4 * (d + 1)))
+        for i in range(d + 1):
+            k = 2 * i - d
+            if was is None:
+                x = 0
+            elif i == 0 or (i < d and was[i - 1] < was[i]):
+                x = was[i]
+            else:
+                x = was[i - 1] + 1
             while x < n and x - k < m and a[x] == b[x - k]:
                 x += 1
-            reach[k] = x
+            reach[i] = x
             if x >= n and x - k >= m:
-                return _script(a, b, history)
+                return _script(a, b, [*history, reach])
+        history.append(reach)
     return []
 
 
-def _script(a: str, b: str, history: list[dict[int, int]]) -> list[tuple[str, str, int]]:
+def _script(a: str, b: str, history: list[array]) -> list[tuple[str, str]]:
     x, y, steps = len(a), len(b), []
-    for d in range(len(history) - 1, -1, -1):
-        reach, k = history[d], x - y
-        down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-        before = k + 1 if down else k - 1
-        px = reach[before] if d else 0
-        py = px - before if d else 0
-        while x > px and y > py:
-            x, y = x - 1, y - 1
-            steps.append(("same", a[x]))
-        if d:
-            if down:
-                y -= 1
-                steps.append(("add", b[y]))
-            else:
-                x -= 1
-                steps.append(("remove", a[x]))
-    out: list[tuple[str, str, int]] = []
-    for kind, c in reversed(steps):
-        if out and out[-1][0] == kind:
-            out[-1] = (kind, out[-1][1] + c, out[-1][2] + 1)
-        else:
-            out.append((kind, c, 1))
-    return out
+    for d in range(len(history) - 1, 0, -1):
+        i, was = (x - y + d) // 2, history[d - 1]
+        down = i == 0 or (i < d and was[i - 1] < was[i])
+        px = was[i] if down else was[i - 1]
+        py = px - ((2 * i - d) + (1 if down else -1))
+        same = x - px - (not down)
+        if same > 0:
+            steps.append(("same", a[x - same : x]))
+        steps.append(("add", b[py]) if down else ("remove", a[px]))
+        x, y = px, py
+    if x:
+        steps.append(("same", a[:x]))
+    return steps[::-1]
 
 
 _CHANGES = ArrayType(StructType([StructField("kind", StringType()), StructField("value", StringType()), StructField("count", IntegerType())]))
@@ -74,5 +93,20 @@ def changes(a: Column, b: Column, brief: bool = False) -> Column:
 
 
 def match_offsets(s: Column, pattern: str) -> Column:
-    """[start, end) of every match."""
-    return _offsets(s, F.lit(pattern))
+    """[start, end) of every match: from the lengths of the matches and of what lies between them, in the JVM.
+
+    A pattern that also matches the empty text has matches that ``split`` passes over; such ones go through Python.
+    """
+    if re.compile(pattern).search("") is not None or re.search(r"\(\?<?[=!]|\\b|\^|\$|\\[AZzGB]", pattern):
+        return _offsets(s, F.lit(pattern))
+    found = F.transform(F.regexp_extract_all(s, F.lit(pattern), 0), F.length)
+    between = F.transform(F.split(s, pattern), F.length)
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("spans"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + pair["gap"]
+        end = start + pair["match"]
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.array(start, end))).alias("spans"))
+
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.when(s.isNotNull(), F.aggregate(pairs, nothing, step)["spans"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from heronry.functions import dom
 from heronry.functions.urls import resolve, url_evidence
+from heronry.functions.xml import elements_at, parse_xml
 from heronry.operators.flow import control
 from heronry.plans.rules import GENERAL, RULES, Rule, Spec
 
@@ -43,20 +43,14 @@ def _named(data: dict, names: dict[str, str], authors: str) -> Iterator[tuple[st
 
 
 def _atom(text: str) -> Iterator[tuple[str, str]]:
-    try:
-        root = ElementTree.fromstring(re.sub(r"\A\s*<\?xml[^>]*\?>", "", text))
-    except ElementTree.ParseError:
-        return
-    local = lambda e: e.tag.rpartition("}")[2]
-    entry = next((e for e in root if local(e) == "entry"), None) if local(root) == "feed" else None
-    if entry is None:
+    root = parse_xml(text)
+    if root is None:
         return
     for name in ("summary", "title"):
-        found = next((e for e in entry if local(e) == name), None)
-        if found is not None:
+        for found in elements_at(root, ["feed", "entry", "0", name])[:1]:
             yield "".join(found.itertext()), f"xml:select:'feed.entry.0.{name}'"
-    link = next((e for e in entry if local(e) == "link" and e.get("type") == "application/pdf"), None)
-    if link is not None:
+    links = [e for e in elements_at(root, ["feed", "entry", "0", "link"]) if e.get("type") == "application/pdf"]
+    for link in links[:1]:
         yield link.get("href") or "", "xml:feed.entry[0].link[]"
 
 
@@ -233,3 +227,8 @@ def selection_error(css: str, url: str = "") -> str:
 @F.pandas_udf(StringType())
 def tidy_html(html: pd.Series) -> pd.Series:
     return html.map(lambda h: dom.tidy(h) if h is not None else None)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def tidy_each(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: [dom.tidy(x) for x in b] if b is not None else None)

@@ -34,6 +34,47 @@ def tap(observation: str, *aggregates: Column) -> Transform:
     return lambda df: df.observe(observation, *aggregates)
 
 
+def progress(observation: str, every: int) -> Transform:
+    """Passes rows on and observes how many there are, and how many times ``every``."""
+    return tap(observation, F.count("*").alias("rows"), F.floor(F.count("*") / every).alias("steps"))
+
+
+def tap_either(observation: str, control_col: str) -> Transform:
+    """Passes rows on and observes both sides: how many have failed and how many have not."""
+    failed = F.col(control_col).isNotNull()
+    return tap(observation, F.count_if(failed).alias("failed"), F.count_if(~failed).alias("successful"))
+
+
+def traced(namespace: str, **steps: Transform) -> Transform:
+    """The named steps in turn, each observed as ``namespace/step`` with the rows that leave it; namespaces nest by their names."""
+    return compose(*(f for name, step in steps.items() for f in (step, tap(f"{namespace}/{name}", F.count("*").alias("rows")))))
+
+
+def with_control(value: Column, reason: Column, halt: bool = True) -> Column:
+    """struct<value, control>: a null value has a control, ``halt`` or ``continue``, with the reason."""
+    failed = control(F.lit("halt" if halt else "continue"), reason)
+    return F.struct(value.alias("value"), F.when(value.isNull(), failed).alias("control"))
+
+
+def for_each_until_halt(items: Column, step: Callable[[Column], Column]) -> Column:
+    """struct<values, control> of steps that give struct<value, control>: what continues is dropped, the first that halts ends it and is the whole's control."""
+    done = F.transform(items, step)
+    halts = F.transform(done, lambda x: F.coalesce(x["control"]["code"] == "halt", F.lit(False)))
+    at = F.array_position(halts, True).cast("int")
+    upto = F.when(at > 0, F.slice(done, F.lit(1), at - 1)).otherwise(done)
+    values = F.transform(F.filter(upto, lambda x: x["control"].isNull()), lambda x: x["value"])
+    return F.struct(values.alias("values"), F.get(done, F.when(at > 0, at - 1))["control"].alias("control"))
+
+
+def first_or_halt(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """struct<value, control>: the first step that succeeds, unless one before it halts; the last control if none succeeds."""
+    tried = [f(value) for f in steps]
+    out = tried[-1]
+    for one in reversed(tried[:-1]):
+        out = F.when(one["control"].isNull() | (one["control"]["code"] == "halt"), one).otherwise(out)
+    return out
+
+
 def map_env(**columns: Column) -> Transform:
     """The next stage's columns from this one's."""
     return lambda df: df.select(*(c.alias(n) for n, c in columns.items()))

@@ -1,6 +1,8 @@
 """Operators over ordered sequences: run lengths, chunks, stanzas, slices, folds, request cycles.
 
-All run within a key's partition; a table that is one single sequence is given a constant key by the caller.
+Numbering, runs and chunks cut a sequence into ranges of its first order column and carry counts over the cuts, so that a key with most of the
+rows, or a table that is one single sequence (no keys), is not one task's work.  Where a key's whole sequence is the result
+(``gather``, ``partition_results``, a stanza's text), it is one row and so is put together in one place.
 """
 
 from __future__ import annotations
@@ -11,12 +13,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _range_value(df: DataFrame, column: str) -> Column:
+    """A number that never falls as the column rises."""
+    kind = df.schema[column].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if kind == "date":
+        return F.unix_date(F.col(column)).cast("double")
+    if kind in ("string", "binary"):  # the first six bytes
+        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(column).cast("double")
+
+
+def in_ranges(df: DataFrame, order: list[str], parts: int | None = None, name: str = "_range") -> DataFrame:
+    """``df`` with the number of the range that a row's first order column lies in; ranges have about equally many rows, nulls are in the first.
+
+    The bounds are quantiles, a scalar subquery of one row.
+    """
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    value = _range_value(df, order[0])
+    bounds = df.select(value.alias("x")).agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 50 * parts).alias("b"))
+    below = F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < value))
+    return df.withColumn("_bounds", bounds.scalar()).withColumn(name, F.greatest(F.coalesce(below, F.lit(0)), F.lit(0))).drop("_bounds")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "_i") -> DataFrame:
+    """``df`` with each row's number within its keys, from 0: the number within its range, and how many rows the ranges before have."""
+    d = in_ranges(df, order)
+    counts = d.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = d.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    return _null_safe_join(local, offsets, [*keys, "_range"]).withColumn(name, F.col("_local") - 1 + F.col("_before")).drop("_local", "_before", "_range")
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Equi join in which null keys are equal, with the left side's keys."""
+    named = right.select(*(F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns))
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(named, cond).drop(*(f"_r_{c}" for c in on))
+
+
 def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str, by: Column | None = None) -> DataFrame:
     """(keys, run, value, n): adjacent rows of equal ``by`` (the value itself by default) as one, with the first value."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("_by", by if by is not None else F.col(value)).withColumn("_new", (~F.col("_by").eqNullSafe(F.lag("_by").over(w)) | (F.row_number().over(w) == 1)).cast("long"))
-    d = d.withColumn("run", F.sum("_new").over(w)).withColumn("_n", F.row_number().over(w))
-    return d.groupBy(*keys, "run").agg(F.min_by(value, "_n").alias(value), F.count("*").alias("n"))
+    d = in_ranges(df.withColumn("_by", by if by is not None else F.col(value)), order)
+    w = Window.partitionBy(*keys, "_range").orderBy(*order)
+    d = d.withColumn("_local", F.row_number().over(w)).withColumn("_prev", F.lag("_by").over(w))
+    ends = d.groupBy(*keys, "_range").agg(F.max_by(F.struct("_by"), "_local").alias("_last"))
+    w_ranges = Window.partitionBy(*keys).orderBy("_range")  # a row a range
+    ends = ends.select(*keys, "_range", F.lag("_last").over(w_ranges).alias("_carried"))
+    first = F.when(F.col("_carried").isNull(), True).otherwise(~F.col("_by").eqNullSafe(F.col("_carried._by")))
+    d = _null_safe_join(d, ends, [*keys, "_range"]).withColumn("_new", F.when(F.col("_local") == 1, first).otherwise(~F.col("_by").eqNullSafe(F.col("_prev"))).cast("long"))
+    totals = d.groupBy(*keys, "_range").agg(F.sum("_new").alias("_runs"))
+    totals = totals.select(*keys, "_range", F.coalesce(F.sum("_runs").over(w_ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    d = d.withColumn("_within", F.sum("_new").over(w)).drop("_prev", "_carried")
+    d = _null_safe_join(d, totals, [*keys, "_range"]).withColumn("run", F.col("_within") + F.col("_before"))
+    return d.groupBy(*keys, "run").agg(F.min_by(value, F.struct("_range", "_local")).alias(value), F.count("*").alias("n"))
 
 
 def chunks(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, drop_overflow: bool = False) -> DataFrame:
@@ -25,14 +79,12 @@ def chunks(df: DataFrame, keys: list[str], order: list[str], value: str, n: int,
     ``drop_overflow`` keeps a defect that some callers rely on: the row that meets a full chunk is lost, and a
     sequence that ends with a full chunk is followed by an empty one.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("_i", F.row_number().over(w) - 1)
     stride = n + 1 if drop_overflow else n
-    d = d.withColumn("chunk", F.floor(F.col("_i") / stride).cast("long"))
+    d = numbered(df, keys, order).withColumn("chunk", F.floor(F.col("_i") / stride).cast("long"))
     kept = d.filter(F.col("_i") % stride != n) if drop_overflow else d
     out = kept.groupBy(*keys, "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(value).alias("v")))), lambda x: x["v"]).alias("items"))
     if drop_overflow:
-        total = d.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") % stride == 0)
+        total = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter((F.col("_n") > 0) & (F.col("_n") % stride == 0))
         empty = total.select(*keys, (F.col("_n") / stride).cast("long").alias("chunk"), F.array().cast(out.schema["items"].dataType).alias("items"))
         out = out.unionByName(empty)
     return out
@@ -54,7 +106,8 @@ def slice_rows(df: DataFrame, order: list[str], start: int, length: int) -> Data
 
 
 def zip_with_index(df: DataFrame, keys: list[str], order: list[str], begin: int = 0) -> DataFrame:
-    return df.withColumn("index", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + begin).cast("long"))
+    d = numbered(df, keys, order, "index")
+    return d.withColumn("index", (F.col("index") + begin).cast("long"))
 
 
 def from_batches(df: DataFrame, items: str, order: list[str], limit: int = 0) -> DataFrame:
@@ -101,7 +154,6 @@ def request_cycle(events: DataFrame, key: str, kind: str, message: str | None =
 
 def fetch_pages(notes: DataFrame, number: str, page_size: int, limit: int = 0, after: int = -1) -> DataFrame:
     """(number, page): what a paged source gives from ``after`` on, with the page each note comes in."""
-    d = notes.filter(F.col(number) > after).select(number).orderBy(number)
-    d = d.limit(limit) if limit > 0 else d
-    w = Window.partitionBy(F.lit(0)).orderBy(number)
-    return d.select(number, F.floor((F.row_number().over(w) - 1) / page_size).cast("long").alias("page"))
+    d = notes.filter(F.col(number) > after).select(number)
+    d = d.orderBy(number).limit(limit) if limit > 0 else d
+    return numbered(d, [], [number]).select(number, F.floor(F.col("_i") / page_size).cast("long").alias("page"))

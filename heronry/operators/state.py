@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.urls import is_url
+from heronry.operators.sequences import in_ranges
 
 #: The states, in order, and the cursors' roles.
 WORKFLOW = ("unknown", "processing", "spider:begun", "spider:success", "spider:fail", "extractor:begun", "extractor:success", "extractor:fail", "fields:selected", "fields:posted")
@@ -103,24 +104,22 @@ def prev_valid(notes: DataFrame, before: int, k: int = 1) -> DataFrame:
     return notes.filter((F.col("number") < before) & F.col("validUrl")).orderBy(F.col("number").desc()).offset(k - 1).limit(1)
 
 
-def seek_all(notes: DataFrame, positions: DataFrame, bucket: int = 100_000) -> DataFrame:
+def seek_all(notes: DataFrame, positions: DataFrame) -> DataFrame:
     """(number, next, prev): for each position the nearest numbers with a valid address above and below it.
 
-    Numbers are cut into buckets; a window runs inside a bucket, and the buckets' own bounds, of which there is a row a bucket, carry
-    over the edges.  So no window runs over all rows in one task.
+    Numbers are cut into ranges with about equally many rows; a window runs inside a range, and the ranges' own bounds, of which there is a row a range, carry
+    over the edges.  So no window runs over all rows in one task, however numbers bunch up.
     """
-    b = lambda c: F.floor(F.col(c) / bucket)
     valid = notes.filter("validUrl").select("number").distinct()
     marks = valid.select("number", F.lit(True).alias("valid")).unionByName(positions.select("number", F.lit(False).alias("valid")))
-    marks = marks.withColumn("b", b("number")).withColumn("v", F.when(F.col("valid"), F.col("number")))
+    marks = in_ranges(marks, ["number"], name="b").withColumn("v", F.when(F.col("valid"), F.col("number")))
     up = Window.partitionBy("b").orderBy("number").rangeBetween(1, Window.unboundedFollowing)
     down = Window.partitionBy("b").orderBy("number").rangeBetween(Window.unboundedPreceding, -1)
     local = marks.withColumn("next", F.min("v").over(up)).withColumn("prev", F.max("v").over(down)).filter("not valid")
-    bounds = valid.groupBy(b("number").alias("b")).agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    bounds = marks.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     edge_up, edge_down = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing), Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    # a row a bucket: small enough for one task
-    every = marks.select("b").distinct().join(bounds, "b", "left")
-    edges = every.select("b", F.min("lo").over(edge_up).alias("above"), F.max("hi").over(edge_down).alias("below"))
+    # a row a range: small enough for one task
+    edges = bounds.select("b", F.min("lo").over(edge_up).alias("above"), F.max("hi").over(edge_down).alias("below"))
     return local.join(edges, "b").select("number", F.coalesce("next", "above").alias("next"), F.coalesce("prev", "below").alias("prev"))
 
 

@@ -27,7 +27,7 @@ def count_by(df: DataFrame, key: str | Column, name: str = "key") -> DataFrame:
 def count_by_day(df: DataFrame, ts: str, anchor: Column | None = None, days: int = 7) -> DataFrame:
     """Rows a day from ``days`` days before the anchor on, which is the latest time if none is given."""
     if anchor is None:
-        anchor = F.lit(df.agg(F.max(ts)).first()[0])  # one value
+        anchor = df.agg(F.max(ts)).scalar()
     recent = df.filter(F.col(ts) >= anchor - F.expr(f"INTERVAL {int(days)} DAYS"))
     return recent.groupBy(day(F.col(ts)).alias("day")).agg(F.count("*").alias("n")).orderBy("day")
 

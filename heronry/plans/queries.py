@@ -75,8 +75,8 @@ column_query(
 register("resolve_links", "pages", lambda p: p.select("page_id", urls.to_url(F.concat(lit("/p/"), c("page_id").cast("string")), c("url")).alias("out")), "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/p/' || page_id AS out FROM pages")
 register(
     "fetch_chain", "orders",
-    lambda o: o.select("o_orderkey", F.size(urls.fetch_chain(F.transform(F.sequence(lit(1), (c("o_orderkey") % 5 + 1).cast("int")), lambda i: F.struct(F.when(i % 2 == 0, i.cast("string")).alias("responseUrl"))))).cast("long").alias("n")),
-    "SELECT o_orderkey, CAST((o_orderkey % 5 + 1) // 2 AS BIGINT) AS n FROM orders",
+    lambda o: o.select("o_orderkey", F.array_join(F.transform(urls.fetch_chain(F.transform(F.sequence(lit(1), (c("o_orderkey") % 5 + 1).cast("int")), lambda i: F.struct(F.when(i % 2 == 0, i.cast("string")).alias("responseUrl")))), lambda x: x["responseUrl"]), ",").alias("urls")),
+    "SELECT o_orderkey, array_to_string(list_transform(range(1, (o_orderkey % 5 + 1) // 2 + 1), lambda i: i * 2), ',') AS urls FROM orders",
 )
 
 # --- dataflow ------------------------------------------------------------------------------------
@@ -113,13 +113,20 @@ line_query("multi_take_until", lambda x: lines.multi_take_until(x, ["e", "a"], F
 line_query("multi_take_until_with", lambda x: lines.multi_take_until(x, ["e", "a"], True), f"CASE WHEN {_at} >= 0 THEN list_slice({_l}, 1, {_at} + 2) ELSE [] END")
 _tags = "[' <p>', '<b> </b>', '  <div class=\"x\">', text, '    <a href=\"/p/' || doc_id || '\">x</a>']"
 _tag_lines = lambda: F.array(lit(" <p>"), lit("<b> </b>"), lit('  <div class="x">'), c("text"), F.concat(lit('    <a href="/p/'), c("doc_id").cast("string"), lit('">x</a>')))
-column_query("bare_tag_lines", "documents", "doc_id", lambda: F.size(lines.without_bare_tags(_tag_lines())).cast("long"), f"CAST(len(list_filter({_tags}, lambda x: NOT regexp_matches(x, '^[ ]*(</?\\w{{1,4}}>[ ]*)+$'))) AS BIGINT)")
-column_query("tag_lines", "documents", "doc_id", lambda: F.size(lines.without_tag_lines(_tag_lines())).cast("long"), f"CAST(len(list_filter({_tags}, lambda x: NOT regexp_matches(x, '^[ ]+<.*>[ ]*$'))) AS BIGINT)")
+column_query("bare_tag_lines", "documents", "doc_id", lambda: lines.join_lines(lines.without_bare_tags(_tag_lines()), "\n"), f"array_to_string(list_filter({_tags}, lambda x: NOT regexp_matches(x, '^[ ]*(</?\\w{{1,4}}>[ ]*)+$')), chr(10))")
+column_query("tag_lines", "documents", "doc_id", lambda: lines.join_lines(lines.without_tag_lines(_tag_lines()), "\n"), f"array_to_string(list_filter({_tags}, lambda x: NOT regexp_matches(x, '^[ ]+<.*>[ ]*$')), chr(10))")
 column_query("anchor_href", "documents", "doc_id", lambda: lines.anchor_href(lines.join_lines(lines.anchor_lines(_tag_lines()))), "'/p/' || doc_id")
 _row = lambda: F.array(lit("<tr>"), lit("<th>"), lit("Title"), lit("</th>"), lit("<td>"), F.concat(lit("t"), c("doc_id").cast("string")), lit("</td>"))
 column_query("second_cell", "documents", "doc_id", lambda: lines.join_lines(lines.second_cell(_row(), "Title")), "'t' || doc_id")
-register("match_offsets", "documents", lambda d: d.select("doc_id", F.size(diff.match_offsets(c("text"), "the")).cast("long").alias("n")), "SELECT doc_id, CAST(len(regexp_extract_all(text, 'the')) AS BIGINT) AS n FROM documents")
-register("diff_chars", "region", lambda r: r.select("r_regionkey", F.size(diff.changes(F.lower("r_name"), F.upper("r_name"))).alias("n")), None)
+register(
+    "match_offsets", "documents", lambda d: d.select("doc_id", F.array_join(F.transform(diff.match_offsets(c("text"), "the"), lambda x: F.concat_ws("-", x[0].cast("string"), x[1].cast("string"))), ",").alias("out")),
+    "SELECT doc_id, array_to_string(list_transform(range(1, len(p)), lambda i: (list_sum(list_transform(list_slice(p, 1, i), lambda x: length(x))) + 3 * (i - 1))::BIGINT || '-' || (list_sum(list_transform(list_slice(p, 1, i), lambda x: length(x))) + 3 * i)::BIGINT), ',') AS out FROM (SELECT doc_id, string_split(text, 'the') AS p FROM documents)",
+)
+_changes_text = lambda a, b: F.array_join(F.transform(diff.changes(a, b), lambda x: F.concat_ws(":", x["kind"], x["value"], x["count"].cast("string"))), "|")
+register(
+    "diff_chars", "documents", lambda d: d.select("doc_id", _changes_text(c("text"), F.concat(lit("\x01\x02"), c("text"))).alias("ahead"), _changes_text(F.concat(c("text"), lit("\x01")), c("text")).alias("behind")),
+    "SELECT doc_id, 'add:' || chr(1) || chr(2) || ':2' || CASE WHEN text = '' THEN '' ELSE '|same:' || text || ':' || length(text) END AS ahead, CASE WHEN text = '' THEN '' ELSE 'same:' || text || ':' || length(text) || '|' END || 'remove:' || chr(1) || ':1' AS behind FROM documents",
+)
 
 # --- cleaning -------------------------------------------------------------------------------------
 _AFFIX = ("Abstract ", "motivation", "", "", "-- ", "x Cite This Paper Abstract ", "", "", "", "", "a   b ", "", "", "y Graphical Abstract Download ", "No abstract available ", "Home Archives Abstract ", "")
@@ -158,7 +165,10 @@ _unescape = lambda s: f"replace(replace({s}, '&quot;', '\"'), '&amp;', '&')"  #
 register("css_text", "pages", lambda p: p.select("page_id", F.get(extract.css_text(c("html"), lit("article > h1")), lit(0)).alias("h1")), f"SELECT page_id, trim({_unescape(_H1)}) AS h1 FROM pages")
 register("css_attr", "pages", lambda p: p.select("page_id", F.posexplode(extract.css_attr(c("html"), lit("nav li > a"), lit("href"))).alias("pos", "href")).select("page_id", c("pos").cast("long").alias("pos"), "href"), "SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages))")
 register("css_outer", "pages", lambda p: p.select("page_id", F.get(extract.css_outer(c("html"), lit("title")), lit(0)).alias("out")), "SELECT page_id, replace(regexp_extract(html, '<title>[^<]*</title>'), '&quot;', '\"') AS out FROM pages")
-register("tidy_html", "pages", lambda p: p.select("page_id", F.size(F.split(extract.tidy_html(c("html")), "\n")).alias("n_lines")), None)
+register(
+    "tidy_html", "documents", lambda d: d.select("doc_id", extract.tidy_html(F.concat(lit("<p>t"), c("doc_id").cast("string"), lit(" <b>x\n y</b><div>"), c("lang"), lit("<br>z</div><ul><li>1<li>2</ul>"))).alias("out")),
+    "SELECT doc_id, array_to_string(['<html>', '    <body>', '        <p>', '            t' || doc_id || ' <b>x y</b>', '        </p>', '        <div>', '            ' || lang || '<br />z', '        </div>', '        <ul>', '            <li>', '                1', '            </li>', '            <li>', '                2', '            </li>', '        </ul>', '    </body>', '</html>'], chr(10)) AS out FROM documents",
+)
 register("page_titles", "pages", lambda p: canonical_fields(p).filter("name = 'title'").select("page_id", "value"), f"SELECT page_id, trim({_unescape(_H1)}) AS value FROM pages")
 register("pdf_links", "pages", lambda p: extract_fields(p, (*RULES, EXAMPLE)).filter("name = 'pdf-link'").select("page_id", "value"), "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS value FROM pages")
 register("canonical_fields", "pages", lambda p: canonical_fields(p), None)
@@ -217,7 +227,10 @@ def _example_candidates() -> Column:
 column_query("candidates_for", "documents", "doc_id", lambda: F.array_join(F.transform(evidence.candidates_for(_example_candidates(), lit("abstract")), lambda x: x["text"]), ","), "CASE WHEN doc_id % 2 = 0 THEN n_chars::VARCHAR ELSE lang || ',' || n_chars END")
 column_query("evidence_exists", "documents", "doc_id", lambda: evidence.evidence_exists(_example_candidates(), F.array(lit("creator"), lit("author")), lit(True)), "doc_id % 2 = 0")
 column_query("clear_evidence", "documents", "doc_id", lambda: F.array_join(evidence.clear_evidence(F.array(lit("url:host:x"), lit("input:y"), c("lang")), r"\Aurl:"), " "), "'input:y ' || lang")
-column_query("save_evidence", "documents", "doc_id", lambda: F.size(evidence.save_evidence(_example_candidates(), c("lang"), F.array(lit("input:y")), "z")).cast("long"), "CAST(4 AS BIGINT)")
+column_query(
+    "save_evidence", "documents", "doc_id", lambda: F.array_join(F.transform(evidence.save_evidence(_example_candidates(), F.concat(lit(" "), c("lang")), F.array(lit("input:y")), "z"), lambda x: F.concat(x["text"], lit(":"), F.array_join(x["evidence"], "+"))), ","),
+    "source || ':select:$(meta[name=\"DC.Title\"]),' || lang || CASE WHEN doc_id % 2 = 0 THEN ':citation_author,' ELSE ':url:path1:abstract,' END || n_chars || ':page.$$(.Abstract),' || lang || ':input:y+z'",
+)
 
 
 def _validated(d: DataFrame) -> DataFrame:
@@ -240,7 +253,7 @@ _notes = lambda o: o.select(c("o_orderkey").cast("string").alias("id"), c("o_ord
 _N = "(SELECT o_orderkey::VARCHAR AS id, o_orderkey::BIGINT AS number, o_orderkey % 3 = 0 AS v FROM orders)"
 register("next_valid", "orders", lambda o: state.next_valid(_notes(o), 100).select("number"), f"SELECT number FROM {_N} WHERE v AND number > 100 ORDER BY number LIMIT 1")
 register("prev_valid", "orders", lambda o: state.prev_valid(_notes(o), 100).select("number"), f"SELECT number FROM {_N} WHERE v AND number < 100 ORDER BY number DESC LIMIT 1")
-register("seek_all", "orders", lambda o: state.seek_all(_notes(o), _notes(o).select("number"), bucket=997), f"SELECT number, min(CASE WHEN v THEN number END) OVER (ORDER BY number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next, max(CASE WHEN v THEN number END) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {_N}")
+register("seek_all", "orders", lambda o: state.seek_all(_notes(o), _notes(o).select("number")), f"SELECT number, min(CASE WHEN v THEN number END) OVER (ORDER BY number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next, max(CASE WHEN v THEN number END) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {_N}")
 _cursor = lambda d, at: d.sparkSession.createDataFrame([("extract-fields", at)], "role string, noteNumber long")
 register("move_cursor", "orders", lambda o: state.move_cursor(_notes(o), _cursor(o, 100), 5), f"SELECT 'extract-fields' AS role, number AS noteNumber, true AS moved FROM {_N} WHERE v AND number > 100 ORDER BY number LIMIT 1 OFFSET 4")
 register("move_cursor_back", "orders", lambda o: state.move_cursor(_notes(o), _cursor(o, 100), -3), f"SELECT 'extract-fields' AS role, number AS noteNumber, true AS moved FROM {_N} WHERE v AND number < 100 ORDER BY number DESC LIMIT 1 OFFSET 2")
@@ -337,7 +350,7 @@ register("fetch_pages", "orders", lambda o: sequences.fetch_pages(o, "o_orderkey
 register("char_stream", "benchmark", lambda b: _characters(b), "SELECT item_id, CAST(i - 1 AS BIGINT) AS pos, substr(text, i, 1) AS ch FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark)")
 register("label_report", "documents", lambda d: _label_report(d), "SELECT lang AS kind, 'title' AS field, count(*) AS records, CAST(sum((doc_id % 2 = 0)::INT) AS BIGINT) AS found, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS values FROM documents GROUP BY 1")
 register("markup_check", "pages", lambda p: _markup(p), "SELECT page_id, page_id % 2 = 0 AS ok FROM pages")
-register("outbox", "benchmark", lambda b: _outbox(b), "SELECT item_id::VARCHAR AS noteId, 'abstract' AS fieldType, '{\"noteId\":\"' || item_id || '\",\"field\":{\"name\":\"abstract\",\"value\":\"v' || item_id || '\"},\"signature\":\"me\"}' AS body FROM benchmark")
+register("outbox", "benchmark", lambda b: _outbox(b), "SELECT item_id::VARCHAR AS noteId, 'abstract' AS fieldType, '{\"id\":\"' || sha1(item_id || chr(31) || 'abstract' || chr(31) || 'v' || item_id) || '\",\"noteId\":\"' || item_id || '\",\"field\":{\"name\":\"abstract\",\"value\":\"v' || item_id || '\"},\"signature\":\"me\"}' AS body FROM benchmark")
 register("url_list", "pages", lambda p: _url_list(p), "SELECT url FROM pages WHERE page_id % 3 <> 0")
 
 
@@ -372,3 +385,121 @@ def _url_list(p: DataFrame) -> DataFrame:
     from heronry.sources.corpus import url_list
 
     return url_list(p.select(F.when(c("page_id") % 3 == 0, F.concat(lit("# "), c("url"))).otherwise(F.concat(lit("  "), c("url"), lit(" "))).alias("line")))
+
+
+# --- control values, XML, kinds of files, corpus entries, loops ---------------------------------------
+_step = lambda x: F.when(x % 7 == 0, flow.with_control(lit(None).cast("long"), lit("seven"))).when(x % 2 == 0, flow.with_control(x, lit(""))).otherwise(flow.with_control(lit(None).cast("long"), lit("odd"), halt=False))
+_folded = lambda d: d.select("doc_id", flow.for_each_until_halt(F.sequence(c("doc_id"), c("doc_id") + 5), _step).alias("r")).select("doc_id", F.array_join("r.values", ",").alias("kept"), c("r.control.code").alias("code"))
+register(
+    "for_each_until_halt", "documents", _folded,
+    "SELECT doc_id, array_to_string(list_filter(range(doc_id, least(doc_id + 6, doc_id + (7 - doc_id % 7) % 7)), lambda x: x % 2 = 0), ',') AS kept, CASE WHEN (7 - doc_id % 7) % 7 < 6 THEN 'halt' END AS code FROM documents",
+)
+register(
+    "first_or_halt", "documents", lambda d: d.select("doc_id", flow.first_or_halt(c("doc_id"), _step, lambda x: flow.with_control(F.when(x % 3 == 0, -x), lit("last"), halt=False)).alias("r")).select("doc_id", "r.value", c("r.control.code").alias("code"), c("r.control.msg").alias("msg")),
+    "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN doc_id WHEN doc_id % 3 = 0 THEN -doc_id END AS value, CASE WHEN doc_id % 7 = 0 THEN 'halt' WHEN doc_id % 2 = 1 AND doc_id % 3 <> 0 THEN 'continue' END AS code, CASE WHEN doc_id % 7 = 0 THEN 'seven' WHEN doc_id % 2 = 1 AND doc_id % 3 <> 0 THEN 'last' END AS msg FROM documents",
+)
+register("traced_steps", "documents", lambda d: flow.traced("demo", half=flow.through("half", F.floor(c("n_chars") / 2)), big=flow.keep_if(c("half") > 500), shape=flow.map_env(doc_id=c("doc_id"), half=c("half")))(d), "SELECT doc_id, CAST(n_chars // 2 AS BIGINT) AS half FROM documents WHERE n_chars // 2 > 500")
+_feed = lambda: F.when(c("doc_id") % 11 == 0, lit("no xml <")).when(c("doc_id") % 13 != 0, F.concat(lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><entry><title>t'), c("doc_id").cast("string"), lit("</title>"), F.when(c("doc_id") % 3 == 0, F.concat(lit('<link type="application/pdf" href="/p/'), c("doc_id").cast("string"), lit('"/>'))).otherwise(lit("")), lit("</entry><entry><title>second</title></entry></feed>")))
+
+
+def _xml(d: DataFrame) -> DataFrame:
+    from heronry.functions.xml import select_path, select_tag
+
+    d = d.select("doc_id", select_path(_feed(), ["feed", "entry", "title"]).alias("t"), select_path(_feed(), ["feed", "entry", "0", "link"], "href", {"type": "application/pdf"}).alias("l"), select_tag(_feed(), ["feed", "entry", "0", "title"]).alias("one"))
+    return d.select("doc_id", F.array_join("t.values", ",").alias("titles"), c("t.control.code").alias("code"), F.get("l.values", lit(0)).alias("link"), c("l.control.code").alias("link_code"), c("one.value").alias("first"), c("one.control.code").alias("first_code"))
+
+
+register("xml_path", "documents", _xml, """
+ SELECT doc_id, CASE WHEN ok THEN 't' || doc_id || ',second' END AS titles, CASE WHEN NOT ok THEN 'halt' END AS code, CASE WHEN ok AND doc_id % 3 = 0 THEN '/p/' || doc_id END AS link, CASE WHEN NOT ok THEN 'halt' WHEN doc_id % 3 <> 0 THEN 'continue' END AS link_code,
+   CASE WHEN ok THEN 't' || doc_id END AS first, CASE WHEN NOT ok THEN 'halt' END AS first_code FROM (SELECT doc_id, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS ok FROM documents)""")
+_BODIES = ("%PDF-1.4 x", "  <!DOCTYPE html><p>x", "<!-- a --> <html>é", '<?xml version="1.0"?><feed/>', '<?xml version="1.0"?>\n<html/>', '{"a": 1}', "plain text", "", "<feed><a/></feed>", "0x49013")
+_KINDS = ("application/pdf; charset=binary", "text/html; charset=us-ascii", "text/html; charset=utf-8", "text/xml; charset=us-ascii", "text/html; charset=us-ascii", "application/json; charset=binary", "text/plain; charset=us-ascii", "inode/x-empty; charset=binary", "text/xml; charset=us-ascii", "text/plain; charset=us-ascii")
+
+
+def _mime(d: DataFrame) -> DataFrame:
+    from heronry.sources.corpus import mime_of, verify_type
+
+    d = d.select("doc_id", F.when(c("doc_id") % 17 != 0, _pick(_BODIES)).alias("body"))
+    return d.select("doc_id", mime_of(c("body")).alias("kind"), verify_type(c("body"), "text/(html|xml)").alias("ok"))
+
+
+register("mime_types", "documents", _mime, f"SELECT doc_id, kind, coalesce(regexp_matches(kind, 'text/(html|xml)'), false) AS ok FROM (SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN {_sql_pick(_KINDS)} END AS kind FROM documents)")
+
+
+def _bodies(p: DataFrame) -> DataFrame:
+    from heronry.sources.corpus import normalised_bodies
+
+    d = p.select("page_id", F.when(c("page_id") % 5 == 0, lit("500")).otherwise(lit("200")).alias("status"), F.when(c("page_id") % 3 == 0, F.array(lit("%PDF-"), lit("x"))).otherwise(F.array(lit("<p>a"), lit("no markup"), lit("<div>b"))).alias("bodies"))
+    return normalised_bodies(d).select("page_id", F.size("normalised").alias("n"), F.element_at("normalised", -1).alias("last"), c("control.code").alias("code"))
+
+
+register("normalised_bodies", "pages", _bodies, "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 2 END AS n, CASE WHEN page_id % 3 <> 0 THEN array_to_string(['<html>', '    <body>', '        <div>', '            b', '        </div>', '    </body>', '</html>'], chr(10)) END AS last, CASE WHEN page_id % 3 = 0 THEN 'halt' END AS code FROM pages WHERE page_id % 5 <> 0")
+
+
+def _fetched(p: DataFrame) -> DataFrame:
+    """Pages as a fetcher gives them."""
+    some = F.create_map(lit("content-type"), lit("text/html"))
+    d = p.select("page_id", "url", c("url").alias("response_url"), lit("200").alias("status"), c("html").alias("body"), lit(None).cast("struct<code:string,msg:string>").alias("control"), some.alias("headers"), some.alias("request_headers"))
+    return d.withColumns({"frames": F.when(c("page_id") % 10 == 0, F.array(lit("<p>frame"))).otherwise(F.array().cast("array<string>")), "chain": F.array(c("url")), "fetched_at": lit("2024-01-01").cast("timestamp")})
+
+
+def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as the entries of a corpus in the shared folder, and read back from there."""
+    import uuid
+
+    from heronry.session import shared_folder
+    from heronry.sources import corpus, entries
+
+    root = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    files = entries.save_responses(_fetched(table(spark, sf_dir, "pages")), root)
+    files.agg(F.count_if("written").alias("n")).collect()
+    return corpus.read_pages(spark, root).select(c("page_id").alias("entry"), "url", "status", F.md5("html").alias("md5"))
+
+
+QUERIES["corpus_round_trip"] = corpus_round_trip
+ORACLE_SQL["corpus_round_trip"] = "SELECT sha1(url) AS entry, any_value(url) AS url, '200' AS status, any_value(md5(html)) AS md5 FROM pages GROUP BY sha1(url)"
+register("response_files", "pages", lambda p: _files(p), "SELECT page_id, unnest(CASE WHEN page_id % 10 = 0 THEN ['response-body', 'metadata.json', 'request-headers.json', 'response-headers.json', 'response-frame-0'] ELSE ['response-body', 'metadata.json', 'request-headers.json', 'response-headers.json'] END) AS name FROM pages")
+
+
+def _files(p: DataFrame) -> DataFrame:
+    from heronry.sources.entries import response_files
+
+    return p.select("page_id", F.sha1("url").alias("entry")).join(response_files(_fetched(p)).select(F.regexp_extract("entry", r"([0-9a-f]{40})\.d", 1).alias("entry"), "name"), "entry").select("page_id", "name")
+
+
+def _loop(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The extraction step over all pages but the first ten; a third of them are missing, a fifth answered 404."""
+    from heronry.streaming.loops import extraction_step
+
+    spark = p.sparkSession
+    notes = p.select(c("page_id").cast("string").alias("id"), c("page_id").alias("number"), "url", (c("page_id") % 4 != 1).alias("validUrl"))
+    cursors = spark.createDataFrame([("extract-fields", "10", 10), ("fetch-notes", "99", 99)], "role string, noteId string, noteNumber long")
+    body = F.concat(lit('<meta name="citation_title" content="T"><meta name="citation_author" content="A"><meta name="citation_pdf_url" content="http://x.org/'), c("page_id").cast("string"), lit(f'.pdf"><meta name="description" content="{_LONG}">'))
+    pages = p.where("page_id % 3 <> 0").select("url", c("url").alias("response_url"), F.when(c("page_id") % 5 == 0, lit("404")).otherwise(lit("200")).alias("status"), body.alias("html"))
+    stored = p.where("page_id % 2 = 0").select(c("page_id").cast("string").alias("noteId"), lit("abstract").alias("fieldType"), F.sha1(F.rtrim(lit(_LONG))).alias("contentHash"))
+    return extraction_step(notes, cursors, pages, stored, 0)
+
+
+_LOOPED = "(SELECT page_id, url, page_id % 3 <> 0 AS there, page_id % 3 <> 0 AND page_id % 5 <> 0 AS ok FROM pages WHERE page_id > 10 AND page_id % 4 <> 1)"
+register("loop_cursor", "pages", lambda p: _loop(p)[0], "SELECT 'extract-fields' AS role, max(page_id)::VARCHAR AS noteId, max(page_id) AS noteNumber, 'available' AS lockStatus FROM pages WHERE page_id > 10 AND page_id % 4 <> 1 HAVING count(*) > 0")
+register("loop_status", "pages", lambda p: _loop(p)[1].select("id", "requestUrl", "response", "httpStatus", "hasAbstract", "hasPdfLink", "workflowStatus"), f"SELECT page_id::VARCHAR AS id, url AS requestUrl, CASE WHEN there THEN url END AS response, CASE WHEN there THEN CASE WHEN ok THEN 200 ELSE 404 END END AS httpStatus, CASE WHEN ok THEN true END AS hasAbstract, CASE WHEN ok THEN true END AS hasPdfLink, CASE WHEN ok THEN 'extractor:success' ELSE 'extractor:fail' END AS workflowStatus FROM {_LOOPED}")
+register("loop_fields", "pages", lambda p: _loop(p)[2].select("noteId", "fieldType"), f"SELECT page_id::VARCHAR AS noteId, unnest(CASE WHEN page_id % 2 = 0 THEN ['pdf'] ELSE ['abstract', 'pdf'] END) AS fieldType FROM {_LOOPED} WHERE ok")
+
+
+def _plain(name: str, make: Callable[[SparkSession], DataFrame], sql: str) -> None:
+    """A query that reads no table."""
+    QUERIES[name] = lambda spark, _: make(spark)
+    ORACLE_SQL[name] = sql
+
+
+def _fixture(name: str) -> Callable[..., DataFrame]:
+    from heronry.sources import fixtures
+
+    return getattr(fixtures, name)
+
+
+_plain("random_strings", lambda s: _fixture("random_strings")(s, 500, 7), "SELECT range AS id, substr(sha1('7:' || range), 1, 3) AS value FROM range(500)")
+_plain("count_strings", lambda s: _fixture("count_strings")(_fixture("random_strings")(s, 500, 7)), "SELECT substr(sha1('7:' || range), 1, 3) AS value, count(*) AS n FROM range(500) GROUP BY 1")
+_plain("fake_notes", lambda s: _fixture("fake_notes")(s, 100).select("id", "number", "content.title", "content.html", "content.abstract"), "SELECT 'note#' || i AS id, i AS number, 'Title ' || i AS title, CASE WHEN i % 3 <> 0 THEN 'http://host-' || i % 5 || '/page/' || i END AS html, CASE WHEN i % 4 <> 0 THEN 'Abstract of ' || i END AS abstract FROM (SELECT range AS i FROM range(1, 101))")
+_plain("note_batches", lambda s: _fixture("as_batches")(_fixture("fake_notes")(s, 100), 7).select("batch", F.size("notes").alias("n"), c("notes")[0]["number"].alias("first")), "SELECT range AS batch, CASE WHEN range = 14 THEN 2 ELSE 7 END AS n, range * 7 + 1 AS first FROM range(15)")
+register("first_pages", "orders", lambda o: _fixture("first_pages")(o.select(c("o_orderkey").alias("number")), 5, 10, 100).select("number", "page", "at"), "SELECT number, i // 100 AS page, i % 100 AS at FROM (SELECT o_orderkey AS number, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i < 500 AND i % 100 < 10")

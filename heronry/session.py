@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC everywhere; adaptive execution splits skewed joins and merges small partitions.
@@ -17,3 +20,14 @@ CONF = {
 def session(app: str = "heronry", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=CONF | {k.replace("__", "."): v for k, v in conf.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only within one process (tests)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[[^,]*(,\d+)?\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="heronry-"))
+    return str(spark.sparkContext.getCheckpointDir()).rstrip("/")

@@ -88,6 +88,49 @@ def looks_like_markup(body: Column) -> Column:
     return F.coalesce(F.lower(F.ltrim(body)).rlike(r"\A(<!doctype|<html|<\?xml|<head|<body)"), F.lit(False))
 
 
+def mime_of(body: Column) -> Column:
+    """The kind of a text by how it begins, as ``type/subtype; charset=...``; null for null."""
+    start = F.substring(body, 1, 1024)
+    first = F.lower(F.regexp_replace(start, r"\A[\s\uFEFF]+", ""))
+    bare = F.regexp_replace(first, r"(?s)\A(?:<!--.*?-->\s*)+", "")
+    kinds = (
+        (start.startswith("%PDF-"), "application/pdf"), (start.startswith("PK\x03\x04"), "application/zip"), (start.startswith("GIF8"), "image/gif"), (F.substring(start, 2, 3) == "PNG", "image/png"), (start.startswith("%!PS"), "application/postscript"),
+        (bare.rlike(r"\A<\?xml[^>]*>\s*(?:<!doctype html|<html)") | bare.rlike(r"\A<(?:!doctype html|html|head|body|title|meta|script|style|table|div|p|h[1-6]|a|br)\b"), "text/html"),
+        (bare.rlike(r"\A<(?:\?xml|[a-z_][\w:.-]*(?:\s[^>]*)?>)"), "text/xml"), (first.rlike(r"\A[\[{]") & F.rtrim(body).rlike(r"[\]}]\z"), "application/json"), (body == "", "inode/x-empty"),
+    )
+    kind = F.lit("text/plain")
+    for cond, name in reversed(kinds):
+        kind = F.when(cond, F.lit(name)).otherwise(kind)
+    charset = F.when(kind.startswith("application/") | kind.startswith("image/") | kind.startswith("inode/"), F.lit("binary")).when(body.rlike(r"[^\x00-\x7F]"), F.lit("utf-8")).otherwise(F.lit("us-ascii"))
+    return F.when(body.isNotNull(), F.concat(kind, F.lit("; charset="), charset))
+
+
+def verify_type(body: Column, pattern: str) -> Column:
+    """Whether the kind of the text matches; false for null."""
+    return F.coalesce(mime_of(body).rlike(pattern), F.lit(False))
+
+
+def normalised_bodies(pages: DataFrame, bodies: str = "bodies", pattern: str = r"text/(html|xml)") -> DataFrame:
+    """Pages of status 200 with ``normalised``: the tidy text of each of their bodies that is markup; pages without one have a control instead of null."""
+    from heronry.operators.extract import tidy_each
+    from heronry.operators.flow import control
+
+    out = pages.where("status = '200'").withColumn("normalised", tidy_each(F.filter(bodies, lambda b: verify_type(b, pattern))))
+    none = F.coalesce(F.size("normalised") < 1, F.lit(True))
+    return out.withColumns({"normalised": F.when(~none, F.col("normalised")), "control": F.when(none, control(F.lit("halt"), F.lit("no body could be normalised")))})
+
+
+def expand_dir(spark: SparkSession, folder: str) -> DataFrame:
+    """(dir, files): the names of a folder's regular files, sorted; one row."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    return files.agg(F.array_sort(F.collect_list("name")).alias("files")).select(F.lit(folder).alias("dir"), "files")
+
+
+def list_normalised(spark: SparkSession, root: str) -> DataFrame:
+    """The artefacts that hold normalised text, in the cache folders."""
+    return list_artifacts(spark, root, r"tidy-norm\z", "cache")
+
+
 def existing_entries(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """The rows whose entry is in the corpus."""
     return rows.join(entries.select(key).distinct(), key, "left_semi")

@@ -20,7 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from heronry.functions.urls import ENTRY_QUERY
 
 SCHEMA = "id string, number long, content string"
-FETCHED = "url string, response_url string, status string, body string, control struct<code:string,msg:string>"
+FETCHED = (
+    "url string, response_url string, status string, body string, control struct<code:string,msg:string>, headers map<string,string>, "
+    "request_headers map<string,string>, frames array<string>, chain array<string>, fetched_at timestamp"
+)
 #: Seconds: a page's navigation, and a call of the note service.
 PAGE_TIMEOUT, CALL_TIMEOUT = 10, 60
 
@@ -95,39 +98,119 @@ def rewrite_after_error(message: str) -> str | None:
     return None
 
 
-def fetch_one(url: str, get: Callable[[str], tuple[str, str, str]], tries: int = 3) -> tuple[str | None, str | None, str | None, tuple[str, str] | None]:
-    """(response_url, status, body, control): an error whose message holds a rewritten address leads there; else the fetch halts."""
+def fetch_one(url: str, get: Callable[[str], tuple], tries: int = 3) -> tuple[str | None, str | None, str | None, tuple[str, str] | None, dict]:
+    """(response_url, status, body, control, more): an error whose message holds a rewritten address leads there; else the fetch halts.
+
+    ``get`` gives (response_url, status, body) and, if it likes, a dict of ``headers``, ``request_headers``, ``frames`` and ``chain``.
+    """
     for _ in range(tries):
         try:
-            return (*get(url), None)
+            found = get(url)
+            return (*found[:3], None, found[3] if len(found) > 3 else {})
         except (OSError, ValueError) as e:
             following = rewrite_after_error(f"{e} at {url}")
             if following is None or following == url:
-                return None, None, None, ("halt", str(e))
+                return None, None, None, ("halt", str(e)), {}
             url = following
-    return None, None, None, ("halt", "too many rewritings")
+    return None, None, None, ("halt", "too many rewritings"), {}
+
+
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    def __init__(self) -> None:
+        self.chain: list[str] = []
 
+    def redirect_request(self, req, fp, code, msg, headers, newurl):  # type: ignore[no-untyped-def]
+        self.chain.append(newurl)
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
 
-def http_get(url: str) -> tuple[str, str, str]:
+
+def http_get(url: str) -> tuple[str, str, str, dict]:
+    redirects = _Redirects()
+    request = urllib.request.Request(url)
+    opener = urllib.request.build_opener(redirects)
     try:
-        with urllib.request.urlopen(url, timeout=PAGE_TIMEOUT) as r:
-            return r.url, str(r.status), r.read().decode("utf-8", "replace")
+        answer = opener.open(request, timeout=PAGE_TIMEOUT)
     except urllib.error.HTTPError as e:  # an answer too
-        return e.url, str(e.code), e.read().decode("utf-8", "replace")
+        answer = e
+    with answer:
+        more = {"headers": dict(answer.headers.items()), "request_headers": dict(request.header_items()), "chain": redirects.chain}
+        return answer.url, str(answer.status), answer.read().decode("utf-8", "replace"), more
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[str, str, str]] = http_get) -> DataFrame:
+def fetch(urls: DataFrame, get: Callable[[str], tuple] = http_get) -> DataFrame:
     """Fetched pages of the column ``url``; a failure is a row with its control. Partitions bound how many run at once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(u, *fetch_one(u, get)) for u in frame["url"] if u is not None]
-            yield pd.DataFrame([(*r[:4], None if r[4] is None else {"code": r[4][0], "msg": r[4][1]}) for r in rows], columns=["url", "response_url", "status", "body", "control"])
+            rows = []
+            for u in frame["url"]:
+                if u is not None:
+                    where, status, body, failed, more = fetch_one(u, get)
+                    control = None if failed is None else {"code": failed[0], "msg": failed[1]}
+                    rows.append((u, where, status, body, control, more.get("headers", {}), more.get("request_headers", {}), more.get("frames", []), more.get("chain", []), pd.Timestamp.now("UTC")))
+            columns = "url response_url status body control headers request_headers frames chain fetched_at".split()
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.assign(fetched_at=pd.to_datetime(out["fetched_at"], utc=True))
 
     return urls.select("url").mapInPandas(run, FETCHED)
 
 
+def post(rows: DataFrame, send: Callable[[dict], None], tries: int = 2) -> DataFrame:
+    """(noteId, fieldType, control): hands each row of ``outbox`` to ``send``, again after an error; what still fails has a control.
+
+    The body's ``id`` is a hash of note, field and value, so that a service can tell a repeat; run it once, from a table or a checkpoint.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                failed = None
+                for _ in range(max(1, tries)):
+                    try:
+                        send(json.loads(r["body"]))
+                        failed = None
+                        break
+                    except (OSError, ValueError) as e:
+                        failed = {"code": "continue", "msg": str(e)}
+                out.append((r["noteId"], r["fieldType"], failed))
+            yield pd.DataFrame(out, columns=["noteId", "fieldType", "control"])
+
+    return rows.select("noteId", "fieldType", "body").mapInPandas(run, "noteId string, fieldType string, control struct<code:string,msg:string>")
+
+
+class Service:
+    """A note service: logs in once a worker, and posts JSON with that token; a refused login is no token, as with a service that is open."""
+
+    def __init__(self, url: str, user: str | None = None, password: str | None = None):
+        self.url, self.user, self.password, self.token = url.rstrip("/"), user, password, None
+
+    def call(self, path: str, body: dict | None = None, **query: object) -> dict:
+        address = f"{self.url}/{path}" + (f"?{urllib.parse.urlencode(query)}" if query else "")
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
+        request = urllib.request.Request(address, json.dumps(body).encode() if body is not None else None, headers)
+        with urllib.request.urlopen(request, timeout=CALL_TIMEOUT) as r:
+            return json.loads(r.read() or b"{}")
+
+    def login(self) -> str | None:
+        if self.token is None and self.user:
+            try:
+                self.token = self.call("login", {"id": self.user, "password": self.password}).get("token")
+            except (OSError, ValueError):
+                self.token = None
+        return self.token
+
+    def post_edit(self, body: dict) -> None:
+        self.login()
+        self.call("notes/edits", body)
+
+    def post_message(self, subject: str, text: str, to: list[str]) -> None:
+        self.login()
+        self.call("messages", {"subject": subject, "message": text, "groups": to})
+
+
 def outbox(changed: DataFrame, poster: str) -> DataFrame:
     """The edits to post, a row each, as JSON: what a sink sends or a test reads."""
-    body = F.to_json(F.struct("noteId", F.struct(F.col("fieldType").alias("name"), F.col("value").alias("value")).alias("field"), F.lit(poster).alias("signature")))
+    key = F.sha1(F.concat_ws("\x1f", "noteId", "fieldType", "value"))
+    body = F.to_json(F.struct(key.alias("id"), "noteId", F.struct(F.col("fieldType").alias("name"), F.col("value").alias("value")).alias("field"), F.lit(poster).alias("signature")))
     return changed.select("noteId", "fieldType", body.alias("body"))

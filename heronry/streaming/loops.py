@@ -20,16 +20,108 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     return (writer.trigger(processingTime=period) if period else writer.trigger(availableNow=True)).start()
 
 
-def fetch_loop(spark: SparkSession, feed: str, schema: str, table: str, checkpoint: str, page_files: int = 1) -> StreamingQuery:
-    """Notes that arrive as Parquet files in ``feed`` are saved once each; ``page_files`` of them a micro-batch."""
+class Log:
+    """A keyed table as a log of changes: batches are appended, each under its own number, and ``now`` merges them.
+
+    A batch that is run again replaces itself, so that nothing is counted twice; columns that a change leaves null keep their value.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
+
+    def append(self, changes: DataFrame, batch: int) -> None:
+        kinds = dict(self.spark.createDataFrame([], self.schema).dtypes)
+        columns = [(F.col(c) if c in changes.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+        changes.select(*columns).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def rows(self) -> DataFrame:
+        """All changes with the number of their ``batch``."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+            return self.spark.createDataFrame([], f"{self.schema}, batch long")
+        return self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
+
+    def now(self, before: int | None = None) -> DataFrame:
+        """A row a key: of each column the last value that isn't null; with ``before``, as it was before that batch, which a run that is done again starts from."""
+        d = self.rows()
+        d = d if before is None else d.where(F.col("batch") < before)
+        others = [c for c in d.columns if c not in (*self.keys, "batch")]
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c)  # noqa: E731  a null order is never the greatest
+        return d.groupBy(*self.keys).agg(*(last(c) for c in others)).select(*self.keys, *others)
+
+
+CURSORS = "role string, noteId string, noteNumber long, lockStatus string"
+URL_STATUS = "id string, requestUrl string, response string, responseHost string, httpStatus int, hasAbstract boolean, hasPdfLink boolean, workflowStatus string"
+FIELD_STATUS = "noteId string, fieldType string, contentHash string"
+
+
+def fetch_loop(spark: SparkSession, feed: str, schema: str, table: str, checkpoint: str, page_files: int = 1, cursors: str | None = None) -> StreamingQuery:
+    """Notes that arrive as Parquet files in ``feed`` are saved once each; ``page_files`` of them a micro-batch.
+
+    With ``cursors``, the log of the cursors, the ``fetch-notes`` cursor stands on the last note of each batch.
+    """
     from heronry.sources.corpus import write_once
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", page_files).parquet(feed)
-    return run_available(stream, lambda batch, _: _save(batch, table, write_once), checkpoint)
+
+    def each(batch: DataFrame, number: int) -> None:
+        write_once(batch, table, ["id"])  # a batch that is run again finds its rows there
+        if cursors:
+            last = batch.groupBy(F.lit("fetch-notes").alias("role")).agg(F.max_by("id", "number").alias("noteId"), F.max("number").alias("noteNumber"))
+            Log(batch.sparkSession, cursors, CURSORS, ["role"]).append(last, number)
+
+    return run_available(stream, each, checkpoint)
 
 
-def _save(batch: DataFrame, table: str, write_once: Callable[[DataFrame, str, list[str]], int]) -> None:
-    write_once(batch, table, ["id"])  # a batch that is run again finds its rows there
+def last_fetched(cursors: DataFrame) -> DataFrame:
+    """The note that the fetch loop has come to: no row, or one."""
+    return cursors.where("role = 'fetch-notes'").select("noteId", "noteNumber")
+
+
+def extraction_step(notes: DataFrame, cursors: DataFrame, pages: DataFrame, fields: DataFrame, limit: int, posted: bool = False, role: str = "extract-fields") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cursor, url status, changed fields) after the next ``limit`` notes with a valid address, 0 for all that are left.
+
+    ``notes`` (id, number, url, validUrl), ``pages`` (url, response_url, status, html, a row an address), ``fields`` the stored (noteId, fieldType, contentHash).
+    A note whose page is missing or not of status 200 ends in ``extractor:fail``, another in ``extractor:success``, or ``fields:posted`` if its
+    fields are posted.  The cursor ends ``available`` on the last note, and is left where it was if there is none.
+    """
+    from heronry.functions.urls import host
+    from heronry.operators.evidence import canonical_abstract, canonical_array, canonical_pdf_link, field_arrays
+    from heronry.operators.extract import with_candidates
+    from heronry.operators.state import changed_fields
+    from heronry.plans.rules import GENERAL, RULES
+
+    at = cursors.where(F.col("role") == role).agg(F.max("noteNumber")).scalar()  # one value
+    todo = notes.where(F.col("validUrl") & (F.col("number") > F.coalesce(at, F.lit(-1))))
+    todo = todo.orderBy("number").limit(limit) if limit > 0 else todo
+    fetched = todo.select(F.col("id").alias("page_id"), "number", F.col("url").alias("asked")).join(pages.select(F.col("url").alias("asked"), F.coalesce("response_url", "url").alias("url"), "status", "html"), "asked", "left")
+    found = field_arrays(with_candidates(fetched.where("status = '200'").select("page_id", "url", "status", "html"), RULES), (*RULES, GENERAL))
+    found = found.withColumn("best", F.transform(canonical_array(F.col("fields")), lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"))))
+    found = found.select("page_id", canonical_abstract(F.col("best")).alias("abstract"), canonical_pdf_link(F.col("best")).alias("pdf"))
+    judged = fetched.join(found, "page_id", "left").withColumn("ok", F.coalesce(F.col("status") == "200", F.lit(False)))
+    state = F.when(~F.col("ok"), F.lit("extractor:fail")).otherwise(F.lit("fields:posted" if posted else "extractor:success"))
+    has = lambda c: F.when(F.col("ok"), F.col(c).isNotNull())
+    status = judged.select(F.col("page_id").alias("id"), F.col("asked").alias("requestUrl"), F.col("url").alias("response"), host(F.col("url")).alias("responseHost"), F.expr("try_cast(status as int)").alias("httpStatus"), has("abstract").alias("hasAbstract"), has("pdf").alias("hasPdfLink"), state.alias("workflowStatus"))
+    values = judged.select(F.col("page_id").alias("noteId"), F.explode(F.array(*(F.struct(F.lit(k).alias("fieldType"), F.col(k).alias("value")) for k in ("abstract", "pdf")))).alias("f")).select("noteId", "f.*")
+    last = todo.groupBy(F.lit(role).alias("role")).agg(F.max_by("id", "number").alias("noteId"), F.max("number").alias("noteNumber"))
+    return last.withColumn("lockStatus", F.lit("available")), status, changed_fields(fields, values)
+
+
+def extraction_run(spark: SparkSession, notes: DataFrame, pages: DataFrame, root: str, limit: int, batch: int, posted: bool = False) -> DataFrame:
+    """One step over the logs below ``root`` (cursors, url_status, field_status); returns the fields to post.
+
+    The fields are written first and the cursor last, so that a step that is lost halfway is done again, with the same result.
+    """
+    cursors, urls, fields = Log(spark, f"{root}/cursors", CURSORS, ["role"]), Log(spark, f"{root}/url_status", URL_STATUS, ["id"]), Log(spark, f"{root}/field_status", FIELD_STATUS, ["noteId", "fieldType"])
+    cursor, status, changed = extraction_step(notes, cursors.now(batch), pages, fields.now(batch), limit, posted)
+    out = f"{root}/changed/batch={batch}"
+    changed.write.mode("overwrite").parquet(out)
+    kept = spark.read.parquet(out)
+    if posted:
+        fields.append(kept, batch)
+    urls.append(status, batch)
+    cursors.append(cursor, batch)
+    return kept
 
 
 def extraction_loop(spark: SparkSession, pages: str, schema: str, out: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
