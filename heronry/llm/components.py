@@ -25,16 +25,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     work = Workspace(edges.sparkSession, "components")
     links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    links = work.settle(links.union(links.select("v", "u")).distinct(), "links0")
+    links = work.settle(links.union(links.select("v", "u")).distinct(), "links0", few=True)
     rounds = 0
     while rounds == 0 or not links.isEmpty():
         order = lambda c, k=rounds: F.xxhash64(F.col(c), F.lit(k))
         first = links.groupBy("u").agg(F.min_by("v", order("v")).alias("to"))
-        moved = work.settle(first.select(F.col("u").alias("id"), F.when(order("to") < order("u"), F.col("to")).otherwise(F.col("u")).alias("to")), f"moved{rounds}")
+        moved = work.settle(first.select(F.col("u").alias("id"), F.when(order("to") < order("u"), F.col("to")).otherwise(F.col("u")).alias("to")), f"moved{rounds}", few=True)
         half = links.join(moved.select(F.col("id").alias("v"), F.col("to").alias("y")), "v").select("u", "y").distinct()
         both = half.join(moved.select(F.col("id").alias("u"), F.col("to").alias("x")), "u").where("x <> y")
         rounds += 1
-        links = work.settle(both.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), f"links{rounds}")
+        links = work.settle(both.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), f"links{rounds}", few=True)
         work.drop(f"links{rounds - 1}")
     work.drop(f"links{rounds}")
 
@@ -44,9 +44,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         later = whole.select(F.col("id").alias("to"), F.col("to").alias("last"))
         whole = at(k).join(later, "to", "left").select("id", F.coalesce("last", "to").alias("to"))
         if k and (rounds - 1 - k) % COMPOSED == 0:
-            whole = work.settle(whole, f"whole{k}")
+            whole = work.settle(whole, f"whole{k}", few=True)
             interim.append(f"whole{k}")
     least = whole.groupBy("to").agg(F.min("id").alias("component"))
-    out = work.settle(whole.join(least, "to").select("id", "component"), "components")
+    out = work.settle(whole.join(least, "to").select("id", "component"), "components", few=True)
     work.drop(*interim)
     return out

@@ -31,7 +31,7 @@ from heronry.llm.words import STEP, WordHashes, grams, mixed
 
 ROWS, BANDS, SKETCH_BITS = 5, 36, 512
 #: Rows and bytes of a block of full sets, rows of a block of sketches.
-BLOCK, BLOCK_BYTES, SKETCH_BLOCK = 512, 4_000_000, 4096
+BLOCK, BLOCK_BYTES, SKETCH_BLOCK = 512, 4_000_000, 512
 _U = np.uint64
 _SEEDS = mixed(np.arange(1, ROWS * BANDS + 1, dtype=_U) * STEP) | _U(1)
 _WORDS = SKETCH_BITS // 64
@@ -247,11 +247,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     keyed = heads.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    stars = work.settle(keyed.join(hubs.hint("merge"), "key").where("id <> hub").select("hub", "id").distinct(), "stars")
+    stars = work.settle(keyed.join(hubs.hint("merge"), "key").where("id <> hub").select("hub", "id").distinct(), "stars", few=True)
     sketches = heads.select("id", (8 * F.col("n_shingles")).alias("n_bytes"), "sketch")
     hub_sketches = heads.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
     met = stars.join(sketches.hint("merge"), "id").join(hub_sketches.hint("merge"), "hub")
-    met = work.settle(met.select("hub", "id", "n_bytes", (flips_between(F.col("hub_sketch"), F.col("sketch")) <= most).alias("near")), "met")
+    met = work.settle(met.select("hub", "id", "n_bytes", (flips_between(F.col("hub_sketch"), F.col("sketch")) <= most).alias("near")), "met", few=True)
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         ids = ids.distinct()
@@ -263,20 +263,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     centres = pairs.select("hub").distinct().select("hub", F.col("hub").alias("id"), F.col("hub").alias("part"), F.lit(True).alias("stranger"), F.lit(0).cast("long").alias("n_bytes"))
     sets = sets_of(pairs.select("id").union(centres.select("id")), "sets")
     cells = dealt(pairs.union(centres), BLOCK, BLOCK_BYTES).where("role <> 2").join(sets.hint("merge"), "id")
-    direct = work.settle(links_in(cells, percent), "direct")
+    direct = work.settle(links_in(cells, percent), "direct", few=True)
     parts = connected_components(direct)
 
     part_of = lambda df, key, name: df.join(parts.select(F.col("id").alias(key), "component"), key, "left").withColumn(name, F.coalesce("component", key)).drop("component")
     placed = part_of(part_of(met.drop("near"), "id", "part"), "hub", "hub_part").withColumn("stranger", F.col("part") != F.col("hub_part"))
-    placed = work.settle(placed.drop("hub_part"), "placed")
+    placed = work.settle(placed.drop("hub_part"), "placed", few=True)
     unsettled = placed.groupBy("hub").agg(F.max("stranger").alias("open"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("open and p0 < p1").select("hub")
-    members = work.settle(placed.join(unsettled, "hub"), "members")
+    members = work.settle(placed.join(unsettled, "hub"), "members", few=True)
     light = dealt(members.withColumn("n_bytes", F.lit(8 * _WORDS)), SKETCH_BLOCK, BLOCK_BYTES).join(sketches.drop("n_bytes").hint("merge"), "id")
-    alive = work.settle(near_any(light, percent).distinct(), "alive")
-    rest = work.settle(members.join(alive.hint("merge"), ["hub", "id"]), "rest")
+    alive = work.settle(near_any(light, percent).distinct(), "alive", few=True)
+    rest = work.settle(members.join(alive.hint("merge"), ["hub", "id"]), "rest", few=True)
     more = links_in(dealt(rest, BLOCK, BLOCK_BYTES).join(sets_of(rest.select("id"), "more_sets").hint("merge"), "id"), percent)
 
-    links = work.settle(direct.union(more), "links")
+    links = work.settle(direct.union(more), "links", few=True)
     whole = connected_components(links)
     final = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     own = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
