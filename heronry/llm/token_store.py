@@ -14,6 +14,7 @@ Ids come from the tokenizers library through a memo of words (see ``heronry.llm.
 
 from __future__ import annotations
 
+import array
 import math
 import struct
 import uuid
@@ -28,15 +29,20 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import checkpointed, pieces, shared_dir
+from heronry.llm.common import Workspace, checkpointed, pieces
 from heronry.llm.word_memo import word_ids
 
 END_ID = 1
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
 
-def seek_table(entries: list[tuple[int, int, int]]) -> bytes:
-    body = b"".join(struct.pack("<III", *e) for e in entries) + struct.pack("<IBI", len(entries), 0x80, FOOTER_MAGIC)
+#: About as many bytes of text go to a shard, unless there are too few for all cores.
+BYTES_PER_SHARD = 1_000_000_000
+
+
+def seek_table(entries: np.ndarray) -> bytes:
+    """Rows of compressed size, plain size and checksum."""
+    body = entries.astype("<u4").tobytes() + struct.pack("<IBI", len(entries), 0x80, FOOTER_MAGIC)
     return struct.pack("<II", SEEK_MAGIC, len(body)) + body
 
 
@@ -72,6 +78,12 @@ class ShardReader:
         return data
 
 
+def shards_for(docs: DataFrame, bytes_per_shard: int) -> int:
+    """From the size that the optimizer knows or estimates of the texts, without reading them; at least three a core and at most one a document."""
+    size = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, min(docs.select("doc_id").count(), max(-(-size // bytes_per_shard), 3 * docs.sparkSession.sparkContext.defaultParallelism)))
+
+
 def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
     """doc_ids that part the documents into about equal shards, from a read of the id column alone."""
     return sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
@@ -89,27 +101,27 @@ def shard_of(doc_id: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.when(doc_id.isNotNull(), F.when(coarse < len(groups), coarse * step + fine).otherwise(len(bounds))), F.lit(0))
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, shards: int | None = None, level: int = 1) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, shards: int | None = None, level: int = 1, bytes_per_shard: int = BYTES_PER_SHARD) -> DataFrame:
     """Encode (doc_id, text) and write shards to ``folder``; returns (shard, path, n_docs, n_tokens), one row a file.
 
     A null text is an empty document (only the end id).  Null ids go to the first shard, before all others;
     rows of equal id lie side by side.  Each task writes under a name of its own and the row it returns
     names that file, so a task that is run again leaves nothing half-written in the result.
-    Texts are dealt out by id once, before encoding; no stage holds more than a slice of a batch and the open shard's frame table.
+    Texts are dealt out by id once, before encoding; no stage holds more than a slice of a batch and the open shard's frame table, of 21 bytes a document.
+    The number of shards follows the size of the texts (``bytes_per_shard``) unless it is given.  An empty table writes nothing.
     """
-    spark = docs.sparkSession
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or shards_for(docs, bytes_per_shard)
     bounds = shard_bounds(docs, shards)
     place = shard_of(F.col("doc_id"), bounds)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, pack = word_ids(tokenizer_path), zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
         fs, root = pafs.FileSystem.from_uri(folder)
-        shard, out, path, table, ids, tokens = -1, None, "", [], [], 0
+        shard, out, path, table, ids, nulls, tokens = -1, None, "", array.array("I"), array.array("q"), bytearray(), 0
 
         def close() -> pa.RecordBatch:
-            index = np.array([i or 0 for i in ids], "<i8").tobytes() + bytes(i is None for i in ids)
-            out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index + seek_table(table))
+            index = np.array(ids, "<i8").tobytes() + bytes(nulls)
+            out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index + seek_table(np.array(table).reshape(-1, 3)))
             out.close()
             return pa.record_batch([pa.array([shard], "int32"), pa.array([path]), pa.array([len(ids)], "int64"), pa.array([tokens], "int64")], ["shard", "path", "n_docs", "n_tokens"])
 
@@ -120,14 +132,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, shards: int
                     if places[k] != shard:
                         if out is not None:
                             yield close()
-                        shard, table, ids, tokens = places[k], [], [], 0
+                        shard, table, ids, nulls, tokens = places[k], array.array("I"), array.array("q"), bytearray(), 0
                         path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
                         out = fs.open_output_stream(path, compression=None)
                     data += struct.pack("<I", END_ID)
                     frame = pack.compress(data)
                     out.write(frame)
-                    table.append((len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
-                    ids.append(doc_ids[k])
+                    table.extend((len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
+                    ids.append(doc_ids[k] or 0)
+                    nulls.append(doc_ids[k] is None)
                     tokens += len(data) // 4
         if out is not None:
             yield close()
@@ -164,9 +177,12 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Write all documents below the shared folder and read them back."""
+    """Write all documents below the shared folder and read them back: ``read_tokens`` of ``write_tokens``, with nulls, empty texts, repeated rows and empty tables as there.
+
+    The files stay in the shared folder until ``heronry.llm.common.release``.
+    """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = Workspace(spark, "tokens").root
     if "://" not in folder:  # a plain path, or file:/path
         folder = "file://" + folder.removeprefix("file:")
     fs, root = pafs.FileSystem.from_uri(folder)

@@ -1,7 +1,7 @@
 """Token ids through a memo of words.
 
 The tokenizers library encodes a word once, not each time it occurs; texts for which a split into words could differ from
-the library's own go to it whole.
+the library's own go to it whole.  So do all texts where the tokenizer's own steps are not the ones that the split stands for.
 """
 
 from __future__ import annotations
@@ -19,6 +19,21 @@ LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 #: A text with any other character, or with what may be a special token, is left to the library.
 ODD = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-\xff–—‘’“”•…€]|<\\|")
+#: The steps before the model, and its settings, under which words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_alike(spec: dict) -> bool:
+    """Whether ``WORD`` over the lower-cased text gives what the tokenizer of this specification splits a text into."""
+    marked = all(t["content"].startswith("<|") for t in spec.get("added_tokens") or ())
+    return spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER and marked and not spec["model"].get("dropout")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -35,7 +50,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         # words are normalised and split already; for them the same model does without either step
-        spec = json.loads(tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        own = json.loads(tokenizer.to_str())
+        self.alike = splits_alike(own)
+        spec = own | {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.tokenizer, self.words, self.most = tokenizer, Tokenizer.from_str(json.dumps(spec)), most
 
     def learn(self, words: set[str]) -> None:
@@ -47,7 +64,7 @@ class WordIds(dict):
                 self[word] = _packed(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [t is not None and ODD.search(t) is None for t in texts]
+        plain = [self.alike and t is not None and ODD.search(t) is None for t in texts]
         split = [WORD.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
         self.learn(set().union(*split))
         whole = iter(self.tokenizer.encode_batch_fast([t or "" for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))

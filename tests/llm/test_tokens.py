@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 
 from heronry.llm.byte_bpe import encode_documents, load_bpe
 from heronry.llm.token_counts import load_tokenizer, spliced_ids, token_counts
-from heronry.llm.token_store import SEEK_MAGIC, ShardReader, seek_table, shard_of, store_and_read, write_tokens
+from heronry.llm.token_store import SEEK_MAGIC, ShardReader, seek_table, shard_of, shards_for, store_and_read, write_tokens
 from heronry.llm.word_memo import WordIds
 
 from .conftest import DOCS, odd_rows, prose, with_clashes
@@ -128,7 +128,7 @@ def test_files_are_seekable_zstandard(spark, tmp_path, library):
     with pytest.raises((ValueError, zstandard.ZstdError)):
         ShardReader(io.BytesIO(bytes(broken))).document(k)
     with pytest.raises(ValueError):
-        ShardReader(io.BytesIO(seek_table([]) + b"x"))
+        ShardReader(io.BytesIO(seek_table(np.zeros((0, 3))) + b"x"))
 
 
 def test_shard_of(spark):
@@ -136,3 +136,19 @@ def test_shard_of(spark):
     rows = spark.range(25)
     got = {r.id: r.s for r in rows.select("id", shard_of(rows.id, bounds).alias("s")).collect()}
     assert got == {i: sum(b < i for b in bounds) for i in range(25)}
+
+
+def test_shards_follow_the_bytes(spark, tmp_path):
+    spark.range(2000).selectExpr("id as doc_id", "repeat('word ', 200) as text").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    least = 3 * spark.sparkContext.defaultParallelism
+    assert shards_for(docs, 10**12) == least and shards_for(docs.limit(2), 10**12) == 2
+    assert shards_for(docs, 100) > least and shards_for(docs, 1) == 2000 and shards_for(docs.limit(0), 10) == 1
+
+
+def test_other_tokenizers_are_asked_themselves(spark, odd_docs):
+    """The memo's split stands for one kind of tokenizer only; with another, texts of any length go to the library."""
+    path = P.path("byte_bpe_50k.json")
+    tokenizer = load_tokenizer(path)
+    got = [(r.doc_id, r.n_tokens) for r in token_counts(odd_docs, path).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids))) for i, t, *_ in odd_rows())
