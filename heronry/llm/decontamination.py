@@ -1,17 +1,22 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact weighted similarity of word shingles.
 
-1. A window as long as an item can only reach the threshold if nearly all its shingles occur in items.  A running count of
-   those that don't leaves few windows to fingerprint; the bound is a proven one and drops none that could match.  A text shorter than an
-   item is one window; items that share enough of its shingles are confirmed as in 3, without fingerprints.
-2. The 128-bit SimHash of a window's shingles, weighted by how often they occur, is looked up in a multi-index: 16 blocks of 8 bits.
-   Of a fingerprint within ``RADIUS`` bits at least one block is within RADIUS // 16 bits, and each block's table has the items
-   for all such values; so every item within the radius is found.  At the threshold the distance stays within it by five standard deviations.
+1. A window as long as an item can only reach the threshold if nearly all its shingles occur in items of that length.  A running count of
+   those that don't leaves few windows; the bound is a proven one and drops none that could match.  A text shorter than an
+   item is one window, with the bound for the two sizes.  What occurs in items is asked of a bitmap of bounded size, which
+   may say yes too often, and so lets a few windows more through, but never no.
+2. Windows meet the items of their length in cells of bounded size.  There the 128-bit SimHash of a window's shingles, weighted by how often they
+   occur, is looked up in a multi-index: 16 blocks of 8 bits.  Of a fingerprint within ``RADIUS`` bits at least one block is within
+   RADIUS // 16 bits, and each block's table has the items for all such values; so every item within the radius is found.  At the threshold the distance
+   stays within it by five standard deviations.
 3. The weighted Jaccard similarity (sum of least over sum of greatest counts) of 5-word shingles confirms a match.
+
+The documents are read once, whatever the number of items; only the bitmap and the items' lengths come to the driver.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,42 +24,228 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import arrow_map, by_bytes, checkpointed, fresh, pieces
-from heronry.llm.words import STEP, grams, mixed
+from heronry.llm.common import Workspace, arrow_map, bound_batches, by_bytes, checkpointed, fresh, give_back, pieces, runs_of
+from heronry.llm.words import STEP, WordHashes, grams, mixed
 
 SHINGLE, PERCENT, BITS, RADIUS, BLOCK_BITS = 5, 80, 128, 40, 8
-#: Items that one pass takes; more are taken in as many passes, so that what is sent to executors is bounded.
-ITEMS_A_PASS = 5_000
+#: A bitmap has about so many bits for each entry, and at most 2 ** MOST_BITS (32 MB).
+BITS_A_KEY, MOST_BITS = 16, 28
+#: Bits of a bitmap that one row holds on their way to the driver.
+CHUNK_BITS = 1 << 15
 _U = np.uint64
+_LONGS = BITS // 64
+#: About so many items and windows meet in a cell.
+ITEMS, WINDOWS = 2048, 8192
 
 
 def fingerprints(shingles: np.ndarray) -> np.ndarray:
     """128-bit SimHashes, as two words, of rows of equally many shingle hashes."""
-    out = np.empty((len(shingles), BITS // 64), _U)
-    for half in range(BITS // 64):
+    out = np.empty((len(shingles), _LONGS), _U)
+    for half in range(_LONGS):
         h = mixed(np.ascontiguousarray(shingles) + np.array(half + 1, _U) * STEP)
         bits = np.unpackbits(h.view(np.uint8).reshape(*h.shape, 8), axis=-1, bitorder="little")
         out[:, half] = np.packbits(bits.sum(axis=1, dtype=np.int32) * 2 > shingles.shape[1], axis=-1, bitorder="little").view(_U)[:, 0]
     return out
 
 
-class Items:
-    """The index of the items of one word count."""
+def in_common(m: int, n: int) -> int:
+    """Of m and n shingles at least so many are in common where the similarity is at the threshold."""
+    return -(-PERCENT * (m + n) // (100 + PERCENT))
+
+
+def n_shingles(n_words: int) -> int:
+    return max(1, n_words - SHINGLE + 1)
+
+
+def of_length(shingles: np.ndarray, n_words: int) -> np.ndarray:
+    """A key for a shingle in items of so many words."""
+    return mixed(shingles + _U(n_words) * STEP)
+
+
+class Bitmap:
+    def __init__(self, bits: bytes):
+        self.bytes, self.mask = np.frombuffer(bits, np.uint8), _U(8 * len(bits) - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & self.mask
+        return (self.bytes[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+class KnownWords(WordHashes):
+    """Word hashes, 0 for a word that is in no item."""
+
+    def __init__(self, words: Bitmap):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word)
+        value = self[word] = value if self.words.has(np.array([value], _U))[0] else 0
+        return value
+
+
+class Sieve:
+    """Which windows of a text could match an item."""
+
+    def __init__(self, words: bytes, shingles: bytes, lengths: list[int]):
+        self.words, self.shingles, self.lengths = KnownWords(Bitmap(words)), Bitmap(shingles), sorted(lengths)
+        self.short = [n for n in self.lengths if n < SHINGLE]
+        self.long = [n for n in self.lengths if n >= SHINGLE]
+
+    def least(self, n_words: int) -> int:
+        """Shingles of items that a text of so many words must hold to match any item of SHINGLE words or more."""
+        mine = n_shingles(n_words)
+        return min((in_common(min(mine, m), m) for n in self.long if 100 * mine >= PERCENT * (m := n_shingles(n))), default=1 << 30)
+
+    def windows(self, text: bytes) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+        """(item's words, starts, window's words, shingles a row a window), equal windows of a text only once."""
+        hashes = self.words.of(text.lower().split())
+        n_words = len(hashes)
+        alien = np.concatenate([[0], np.cumsum(hashes == 0)])
+        for n in self.short:
+            starts = np.flatnonzero(alien[n:] == alien[:-n]) if n_words >= n else np.zeros(0, np.int64)
+            if len(starts):
+                found = grams(hashes[starts + np.arange(n)[:, None]], n)[0]
+                some = self.shingles.has(of_length(found, n))
+                yield from self._rows(n, starts[some], n, hashes)
+        at = np.flatnonzero(alien[SHINGLE:] == alien[:-SHINGLE])
+        least = self.least(n_words)
+        if len(at) < least:
+            return
+        found = grams(hashes[at + np.arange(SHINGLE)[:, None]], SHINGLE)[0]
+        some = self.shingles.has(of_length(found, 0))
+        at, found = at[some], found[some]
+        if len(at) < least:
+            return
+        for n in self.long:
+            m, mine = n_shingles(n), n_shingles(n_words)
+            if 100 * mine < PERCENT * m:
+                break  # and longer items all the more
+            here = at[self.shingles.has(of_length(found, n))]
+            if len(here) < in_common(min(mine, m), m):
+                continue
+            if n > n_words:
+                yield from self._rows(n, np.zeros(1, np.int64), n_words, hashes)
+                continue
+            # intersection / union >= p with m shingles each: at least 2pm/(1+p) in common, so at most this many spoilt
+            spoilt = np.ones(mine, np.int32)
+            spoilt[here] = 0
+            spoilt = np.concatenate([[0], np.cumsum(spoilt)])
+            yield from self._rows(n, np.flatnonzero(spoilt[m:] - spoilt[:-m] <= m - in_common(m, m)), n, hashes)
+
+    def _rows(self, n: int, starts: np.ndarray, width: int, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+        seen: set[int] = set()
+        for lo in range(0, len(starts), 4096):
+            some = starts[lo : lo + 4096]
+            held = hashes[some[:, None] + np.arange(width)]
+            held = np.where(held == 0, np.arange(width, dtype=_U) * STEP + _U(12345), held)  # a word of no item matches none
+            whole = grams(held.T, width)[0].tolist()
+            new = np.array([w not in seen and not seen.add(w) for w in whole], bool)
+            if new.any():
+                yield n, some[new], width, grams(held[new].T, SHINGLE).T
+
+
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_words, words, shingles, print) of the items with a word; words and shingles as hashes."""
+
+    def make():
+        memo = WordHashes()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = memo.of(text.lower().split())
+                if len(hashes):
+                    shingles = grams(hashes, SHINGLE)
+                    rows.append((item, len(hashes), np.unique(hashes).view(np.int64), shingles.view(np.int64), fingerprints(shingles[None, :])[0].view(np.int64)))
+            if not rows:
+                return None
+            kinds = (pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["item_id", "n_words", "words", "shingles", "print"])
 
-    def __init__(self, rows: list[tuple[int, list[bytes]]], hashes: dict[bytes, int]):
-        self.ids = [i for i, _ in rows]
-        self.n_words = len(rows[0][1])
-        self.shingles = np.array([grams(np.array([hashes[w] for w in words], _U), SHINGLE) for _, words in rows])
-        self.counts = [Counter(s.tolist()) for s in self.shingles]
-        m = self.shingles.shape[1]
-        # intersection / union >= p with m shingles each: at least 2pm/(1+p) in common, so at most this many spoilt
-        self.spoilt = m - in_common(m, m)
-        self.prints = fingerprints(self.shingles)
+        return step
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    return arrow_map(items, make, "item_id long, n_words int, words array<long>, shingles array<long>, print array<long>")
+
+
+def bitmap(keys: DataFrame) -> bytes:
+    """The bitmap of the column ``key``; not over 2 ** MOST_BITS bits come to the driver."""
+    n = keys.agg(F.approx_count_distinct("key")).first()[0]
+    bits = min(MOST_BITS, max(16, (BITS_A_KEY * n - 1).bit_length() if n else 0))
+    at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    placed = keys.select(F.shiftright(at, CHUNK_BITS.bit_length() - 1).alias("chunk"), at.bitwiseAND(F.lit(CHUNK_BITS - 1)).cast("int").alias("bit"))
+    chunks = placed.groupBy("chunk").agg(F.collect_set("bit").alias("bits"))  # at most CHUNK_BITS of them
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for row in batch.column(1):
+                flags = np.zeros(CHUNK_BITS, np.uint8)
+                flags[row.values.to_numpy()] = 1
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            return pa.record_batch([batch.column(0), pa.array(out, "binary")], ["chunk", "bytes"])
+
+        return step
+
+    whole = bytearray((1 << bits) // 8)
+    for r in arrow_map(chunks, make, "chunk long, bytes binary").toLocalIterator():
+        whole[r.chunk * CHUNK_BITS // 8 : (r.chunk + 1) * CHUNK_BITS // 8] = r.bytes
+    return bytes(whole)
+
+
+def find_windows(docs: DataFrame, words: bytes, shingles: bytes, lengths: list[int]) -> DataFrame:
+    """(row, doc_id, n, start, n_words, shingles, print) from (row, doc_id, text); n is the word count of the items to look for."""
+    names = ["row", "doc_id", "n", "start", "n_words", "shingles", "print"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, held, size = Sieve(words, shingles, lengths), [[] for _ in names], 0
+
+        def flush() -> pa.RecordBatch:
+            counts = [len(x) for x in held[3]]
+            many = lambda c: np.repeat(np.array(held[c], np.int64), counts)
+            widths = np.repeat([x.shape[1] for x in held[5]], counts)
+            sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32), np.concatenate([x.ravel() for x in held[5]]).view(np.int64))
+            prints = np.concatenate(held[6]).view(np.int64)
+            prints = pa.ListArray.from_arrays(np.arange(0, prints.size + 1, _LONGS, dtype=np.int32), prints.ravel())
+            ids = pa.array([i for i, n in zip(held[1], counts, strict=True) for _ in range(n)], "int64")
+            columns = [pa.array(many(0)), ids, pa.array(many(2).astype(np.int32)), pa.array(np.concatenate(held[3]).astype(np.int32)), pa.array(many(4).astype(np.int32)), sets, prints]
+            for c in held:
+                c.clear()
+            return pa.record_batch(columns, names)
+
+        for batch in batches:
+            rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, texts in pieces(batch.column(2)):
+                for i, text in enumerate(texts, first):
+                    for n, starts, width, found in sieve.windows(text):
+                        for c, v in zip(held, (rows[i], ids[i], n, starts, width, found, fingerprints(found)), strict=True):
+                            c.append(v)
+                        size += found.size
+                        if size > 500_000:
+                            yield flush()
+                            size = 0
+        if size:
+            yield flush()
+        del sieve
+        give_back()
+
+    bound_batches(docs.sparkSession)
+    return by_bytes(docs.select("row", "doc_id", "text")).mapInArrow(run, "row long, doc_id long, n int, start int, n_words int, shingles array<long>, print array<long>")
+
+
+class Index:
+    """Items of one length, by the blocks of their fingerprints."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
         values = np.arange(1 << BLOCK_BITS, dtype=np.uint8)
-        blocks = self.prints.view(np.uint8).reshape(len(rows), -1)
+        blocks = prints.view(np.uint8).reshape(len(prints), -1)
         reach = RADIUS // blocks.shape[1]
         #: for each 64 items, block and value of the block: a bit for each item within reach of the value
-        self.tables = np.zeros((-(-len(rows) // 64), blocks.shape[1], len(values)), _U)
+        self.tables = np.zeros((-(-len(prints) // 64), blocks.shape[1], len(values)), _U)
         for k, own in enumerate(blocks):
             near = np.bitwise_count(values[None, :] ^ own[:, None]) <= reach
             self.tables[k // 64][near] |= _U(1 << k % 64)
@@ -65,136 +256,111 @@ class Items:
         mine = prints.view(np.uint8).reshape(len(prints), -1)
         for chunk, table in enumerate(self.tables):
             some = np.bitwise_or.reduce(table[np.arange(mine.shape[1])[None, :], mine], axis=1)
-            for k in range(chunk * 64, min(len(self.ids), chunk * 64 + 64)):
+            for k in range(chunk * 64, min(len(self.prints), chunk * 64 + 64)):
                 w = np.flatnonzero(some & _U(1 << k % 64))
                 far = np.bitwise_count(prints[w] ^ self.prints[k]).sum(axis=1)
                 out += [(int(x), k) for x in w[far <= RADIUS]]
         return out
 
-    def similarity(self, shingles: np.ndarray, k: int) -> tuple[int, int]:
-        a, b = Counter(shingles.tolist()), self.counts[k]
-        both = sum((a & b).values())
-        return both, len(shingles) + self.shingles.shape[1] - both
 
-    def sharing(self, shingles: np.ndarray, least: int) -> np.ndarray:
-        """Items of which ``least`` shingles or more are among these."""
-        return np.flatnonzero(np.isin(self.shingles, shingles).sum(axis=1) >= least)
+def dealt(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows and the items of their length, each window with each item, in cells (n, i, w) of bounded size; role 0 are items, 1 windows."""
+    blocks = lambda df, most, name: F.broadcast(df.groupBy("n").agg(F.ceil(F.count("*") / most).cast("int").alias(name)))  # noqa: E731  a row a length, of which there are no more than words in the longest item
+    items = items.withColumnRenamed("n_words", "n").join(blocks(windows, WINDOWS, "n_w"), "n")
+    windows = windows.join(blocks(windows, WINDOWS, "n_w"), "n").join(blocks(items, ITEMS, "n_i"), "n")
+    items = items.join(blocks(items, ITEMS, "n_i"), "n")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda key, c: F.pmod(F.xxhash64(*key), F.col(c)).cast("int")
+    none = F.lit(None).cast("long")
+    left = items.select("n", mine(["item_id"], "n_i").alias("i"), every("n_w").alias("w"), F.lit(0).alias("role"), "item_id", none.alias("row"), none.alias("doc_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), "shingles", "print")
+    right = windows.select("n", every("n_i").alias("i"), mine(["row", "start"], "n_w").alias("w"), F.lit(1).alias("role"), none.alias("item_id"), "row", "doc_id", "start", "n_words", "shingles", "print")
+    return left.union(right)
 
 
-def in_common(m: int, n: int) -> int:
-    """Of m and n shingles at least so many are in common where the similarity is at the threshold."""
-    return -(-PERCENT * (m + n) // (100 + PERCENT))
+def matches(cells: DataFrame) -> DataFrame:
+    """(row, doc_id, item_id, start, n_words, similarity) of the windows and items at the threshold or above."""
 
+    def step(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        n = int((rows.column("role").to_numpy() == 0).sum())
+        if not 0 < n < rows.num_rows:
+            return None
+        prints = rows.column("print").flatten().to_numpy().view(_U).reshape(-1, _LONGS)
+        sets, counts = rows.column("shingles"), {}
 
-class Benchmark:
-    """All items of a pass, by word count; words in no item have the number -1."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        split = [(i, t.lower().split()) for i, t in items]
-        self.hashes = {w: xxhash.xxh64_intdigest(w) for _, words in split for w in words}
-        self.numbers = {w: n for n, w in enumerate(self.hashes)}
-        self.by_number = np.array([*self.hashes.values()], _U)
-        lengths = sorted({len(words) for _, words in split} - {0})
-        self.items = [Items([x for x in split if len(x[1]) == n], self.hashes) for n in lengths]
-        long = [g for g in self.items if g.n_words >= SHINGLE]
-        self.shingles = np.unique(np.concatenate([g.shingles.ravel() for g in long])) if long else np.zeros(1, _U)
-        #: shingles of items that a text must hold to match any
-        self.least = 0 if len(long) < len(self.items) else min((g.shingles.shape[1] - g.spoilt for g in long), default=1 << 30)
-
-    def least_of(self, n_words: int) -> int:
-        """Shingles of items that a text of so many words must hold to match any, longer ones included."""
-        m = n_words - SHINGLE + 1
-        return min([self.least, *(in_common(m, k) for g in self.items if g.n_words > n_words and 100 * m >= PERCENT * (k := g.shingles.shape[1]))])
-
-    def matches(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, start, n_words, in common, in either): each item's best window, the first of equals."""
-        get = self.numbers.get
-        words = [get(w, -1) for w in text.lower().split()]
-        least = self.least if not self.items or len(words) >= self.items[-1].n_words else self.least_of(len(words))
-        numbers = np.array(words, np.int64)
-        alien = np.concatenate([[0], np.cumsum(numbers < 0)]).astype(np.int32)
-        best: dict[int, tuple[int, int, int, int]] = {}
-        at = np.flatnonzero(alien[SHINGLE:] == alien[:-SHINGLE])  # shingles of known words
-        known = np.zeros(0, _U)
-        if len(at) >= least:
-            hashes = grams(self.by_number[numbers[at + np.arange(SHINGLE)[:, None]]], SHINGLE)[0]
-            some = self.shingles[np.minimum(np.searchsorted(self.shingles, hashes), len(self.shingles) - 1)] == hashes
-            at, known = at[some], hashes[some]
-        if len(at) < least:
-            return []
-        spoilt = np.ones(max(0, len(words) - SHINGLE + 1), np.int32)
-        spoilt[at] = 0
-        spoilt = np.concatenate([[0], np.cumsum(spoilt)])
-        for group in self.items:
-            n = group.n_words
-            if n > len(words):
-                m = len(words) - SHINGLE + 1
-                if 100 * m < PERCENT * group.shingles.shape[1]:
-                    break  # and longer items all the more
-                least = in_common(m, group.shingles.shape[1])
-                for k in group.sharing(known, least) if len(known) >= least else ():
-                    both, _ = group.similarity(known, k)
-                    either = m + group.shingles.shape[1] - both
-                    if 100 * both >= PERCENT * either:
-                        best[group.ids[k]] = (0, len(words), both, either)
-                continue
-            if n < SHINGLE:
-                starts = np.flatnonzero(alien[n:] == alien[:-n])
-            else:
-                m = n - SHINGLE + 1
-                starts = np.flatnonzero(spoilt[m:] - spoilt[:-m] <= group.spoilt)
-            for lo in range(0, len(starts), 4096):
-                some = starts[lo : lo + 4096]
-                held = numbers[some[:, None] + np.arange(n)]
-                hashes = np.where(held < 0, np.arange(n, dtype=_U) * STEP + _U(12345), self.by_number[held])  # a word of no item matches none
-                shingles = grams(hashes.T, SHINGLE).T
-                for w, k in group.near(fingerprints(shingles)):
-                    both, either = group.similarity(shingles[w], k)
-                    if 100 * both >= PERCENT * either:
-                        old = best.get(group.ids[k])
-                        if old is None or both * old[3] > old[2] * either:
-                            best[group.ids[k]] = (int(some[w]), n, both, either)
-        return [(i, *v) for i, v in sorted(best.items())]
+        def count(k: int) -> Counter:
+            if k not in counts:
+                counts[k] = Counter(sets[k].values.to_pylist())
+            return counts[k]
+
+        index, found = Index(prints[:n]), []
+        for lo in range(n, rows.num_rows, 4096):
+            for x, k in index.near(prints[lo : lo + 4096]):
+                a, b = Counter(sets[lo + x].values.to_pylist()), count(k)
+                both = sum((a & b).values())
+                either = a.total() + b.total() - both
+                if 100 * both >= PERCENT * either:
+                    found.append((lo + x, k, both / either))
+        if not found:
+            return None
+        w, k, share = (np.array(c) for c in zip(*found, strict=True))
+        take = lambda name, at: rows.column(name).take(pa.array(at))
+        columns = [take("row", w), take("doc_id", w), take("item_id", k), take("start", w), take("n_words", w), pa.array(share)]
+        return pa.record_batch(columns, ["row", "doc_id", "item_id", "start", "n_words", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, 3):
+            out = step(rows)
+            if out is not None:
+                yield out
+        give_back()
+
+    bound_batches(cells.sparkSession)
+    return cells.repartition("n", "i", "w").sortWithinPartitions("n", "i", "w", "role").mapInArrow(run, "row long, doc_id long, item_id long, start int, n_words int, similarity double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, similarity): each item that a text holds, at its best window.
+    """(doc_id, item_id, start_word, n_words, similarity): each item that a text holds, at its best window, the first of equals.
 
     Words are runs without ASCII white space, A-Z lower-cased.  Items with fewer than 5 words have the whole sequence as one shingle;
-    null or empty items and texts match nothing.  A text shorter than an item is compared with it as a whole.  Items of equal text match alike, each under its own id.  The documents are read once for each
-    ``ITEMS_A_PASS`` items; there is no shuffle, and a hot item costs nothing extra.
+    null or empty items and texts match nothing, and so it is with empty tables.  A text shorter than an item is compared with it as a whole.  Items of equal text match alike, each
+    under its own id; items with a null id are left out.  A row in gives its own matches, its id repeated or null.
+    An item that many texts hold costs no task more than another: its windows are dealt over cells by hash.
     """
-    benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    n_items = benchmark.count()
-    passes = max(1, -(-n_items // ITEMS_A_PASS))
-    texts, out = by_bytes(docs.select("doc_id", "text")), None
-    for k in range(passes):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else benchmark
-        items = sorted((r.item_id, bytes(r.text)) for r in part.collect())  # one pass's items
-
-        def make(items=items):
-            bench = Benchmark(items)
-
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows: list[tuple] = []
-                ids = batch.column(0).to_pylist()
-                for first, part in pieces(batch.column(1)):
-                    for i, text in enumerate(part, first):
-                        rows += [(ids[i], item, start, n, both / either) for item, start, n, both, either in bench.matches(text)]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                return pa.record_batch([pa.array(c, t) for c, t in zip(columns, ("int64", "int64", "int64", "int64", "float64"), strict=True)], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
-
-            return step
-
-        found = arrow_map(texts, make, "doc_id long, item_id long, start_word long, n_words long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return out
+    spark = docs.sparkSession
+    work = Workspace(spark, "decontamination")
+    items = work.settle(item_table(benchmark), "items")
+    lengths = [r.n_words for r in items.select("n_words").distinct().collect()]  # not more than the longest item has words
+    if not lengths:
+        return spark.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, similarity double")
+    words = bitmap(items.select(F.explode("words").alias("key")))
+    shingles = bitmap(_shingle_keys(items))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    windows = work.settle(find_windows(docs, words, shingles, lengths), "windows")
+    found = matches(dealt(windows, items))
+    best = found.groupBy("row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("late"), "n_words", "doc_id")).alias("b"))
+    return best.select("b.doc_id", "item_id", (-F.col("b.late")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"), "b.similarity")
+
+
+def _shingle_keys(items: DataFrame) -> DataFrame:
+    """(key) of all shingles: for items of their length, and, from SHINGLE words on, for any."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = []
+            for n, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = row.values.to_numpy().view(_U)
+                keys += [of_length(values, k) for k in ({n, 0} if n >= SHINGLE else {n})]
+            return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
+
+        return step
+
+    return arrow_map(items.select("n_words", "shingles"), make, "key long")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; rows with a null id go if their text holds one.
+    """The rows of ``docs`` that hold no item, with all their columns; rows with a null id go if the text of any of them holds one.
 
-    Rows of one id go together.
+    Rows of one id go together.  Null and empty texts hold nothing and stay.
     """
     hit = checkpointed(contaminated(docs, benchmark).select("doc_id").distinct())
     name = fresh(docs, "_hit")
