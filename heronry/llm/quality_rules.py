@@ -52,9 +52,14 @@ RULES = (
 )
 
 
+def _twice(pairs: str) -> Column:
+    """Of sorted (w, i) pairs those whose w is met twice or more."""
+    return F.filter(F.col(pairs), lambda x, j: (F.get(F.col(pairs), j - 1)["w"] == x["w"]) | (F.get(F.col(pairs), j + 1)["w"] == x["w"]))
+
+
 def _repeat_words() -> Column:
     """Words covered by windows that are found twice or more, from the sorted (window, position) pairs."""
-    twice = F.filter(F.col("sorted_windows"), lambda x, j: (F.get(F.col("sorted_windows"), j - 1)["w"] == x["w"]) | (F.get(F.col("sorted_windows"), j + 1)["w"] == x["w"]))
+    twice = _twice("sorted_windows")
     starts = F.array_sort(F.transform(twice, lambda x: x["i"]))
     nothing = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate(starts, nothing, lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
@@ -68,7 +73,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("words", F.filter(F.split("text", SPACES), lambda w: w != ""))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("n_words", F.size("words").cast("long"))
-    windows = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), (F.col("n_words") - WINDOW + 1).cast("int")), lambda i: F.array_join(F.slice(F.col("words"), i, WINDOW), " ")))
+    # hashes first: windows are written out only where their hash is met again
+    heads = F.slice("words", F.lit(1), F.greatest(F.size("words") - WINDOW + 1, F.lit(0)))
+    windows = F.transform(heads, lambda w, i: F.xxhash64(w, *(F.get(F.col("words"), i + k) for k in range(1, WINDOW))))
     d = d.select(
         "doc_id",
         "n_words",
@@ -78,12 +85,15 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter("words", lambda w, i: (i > 0) & (w == F.get(F.col("words"), i - 1)))).cast("long").alias("n_echoes"),
+        "words",
         windows.alias("windows"),
     )
     # most texts repeat no window: only the others pay for the sort
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     pairs = F.transform(F.col("windows"), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    d = d.withColumn("sorted_windows", F.when(repeats, F.sort_array(pairs))).drop("windows")
+    d = d.withColumn("sorted_hashes", F.when(repeats, F.sort_array(pairs))).drop("windows")
+    written = F.transform(_twice("sorted_hashes"), lambda x: F.struct(F.array_join(F.slice("words", x["i"] + 1, F.lit(WINDOW)), " ").alias("w"), x["i"].alias("i")))
+    d = d.withColumn("sorted_windows", F.sort_array(written)).drop("sorted_hashes", "words")
     return d.withColumn("n_repeat_words", _repeat_words()).drop("sorted_windows").withColumn("one", F.lit(1).cast("long"))
 
 
