@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from heronry.llm.common import checkpointed
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Suffixes of more than one label under which names are registered; others are the last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Suffixes of more than one label under which names are registered, as a pattern; others are the last label.  Country codes part their
+#: names by kind, and some hosters give each customer a name of its own.
+LONG_SUFFIXES = r"(?:ac|asn|co|com|ed|edu|gen|go|gob|gouv|gov|govt|gv|id|ltd|me|mil|ne|net|nom|or|org|plc|res|sch|school)\.[a-z][a-z]|(?:github|gitlab|netlify|web)\.(?:io|app)|(?:blogspot|wordpress|tumblr|appspot|herokuapp|weebly|wixsite)\.com|(?:pages|workers|vercel)\.(?:dev|app)|cloudfront\.net|s3\.amazonaws\.com"
+#: A port at a host's end, and hosts that are addresses, which stand alone.
+_PORT, _ADDRESS = r":[0-9]*$", r"^([0-9.]+|\[.*)$"
 Z, BLOCK_ABOVE = 1.645, 0.3
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 10000.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,14 +47,20 @@ def match_rules(host: Column, path: Column, rules: tuple[tuple[str, str], ...] =
     return rule, verdict
 
 
+def _bare(host: Column) -> Column:
+    return F.regexp_replace(host, _PORT, "")
+
+
 def suffix_of(host: Column) -> Column:
-    long = "|".join(s.replace(".", r"\.") for s in LONG_SUFFIXES)
-    return F.regexp_extract(host, rf"(?:^|\.)({long}|[^.]*)$", 1)
+    """What the host's domain is registered under; empty for an address."""
+    bare = _bare(host)
+    return F.when(bare.rlike(_ADDRESS), F.lit("")).otherwise(F.regexp_extract(bare, rf"(?:^|\.)({LONG_SUFFIXES}|[^.]*)$", 1))
 
 
 def domain_of(host: Column) -> Column:
-    long = "|".join(s.replace(".", r"\.") for s in LONG_SUFFIXES)
-    return F.regexp_extract(host, rf"([^.]*\.(?:{long})|[^.]*\.[^.]*|[^.]*)$", 1)
+    """The suffix with one label more, or an address itself."""
+    bare = _bare(host)
+    return F.when(bare.rlike(_ADDRESS), bare).otherwise(F.regexp_extract(bare, rf"([^.]*\.(?:{LONG_SUFFIXES})|[^.]*\.[^.]*|[^.]*)$", 1))
 
 
 def _weight(children: DataFrame) -> float:
@@ -96,7 +105,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, st
     """(page_id, host, path, rule, verdict, mean, bound) for each row of (page_id, url).
 
     A rule's verdict goes first; else a host is blocked if its posterior bound is above ``block_above``.  A null url, or one without ://,
-    has an empty host and path, which is judged as any other host.  A row in gives a row out, ids repeated or null.  The join on the
+    has an empty host and path, which is judged as any other host.  A row in gives a row out, ids repeated or null; an empty table gives an empty one.  The join on the
     host has one row a host on the other side: Spark broadcasts that if it measures it below its own limit, and splits a hot host's rows if not.
     """
     placed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
@@ -117,7 +126,7 @@ def outcomes_from_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    long = "|".join(s.replace(".", r"\.") for s in LONG_SUFFIXES)
+    bare = f"regexp_replace(host, '{_PORT}', '')"
     fits = lambda t: f"((host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}'))"
     ordered = sorted(RULES, key=lambda r: (-len(r[1]), r[0] != "block"))
     rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in ordered) + " END"
@@ -133,7 +142,8 @@ WITH p AS (
 l AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
 o AS (SELECT host, bad FROM (SELECT host, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})([^0-9]|$)', 1), '') AS BIGINT) AS doc_id FROM p) JOIN l USING (doc_id)),
 h AS (SELECT host, coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad,
-        regexp_extract(host, '(?:^|\\.)({long}|[^.]*)$', 1) AS suffix, regexp_extract(host, '([^.]*\\.(?:{long})|[^.]*\\.[^.]*|[^.]*)$', 1) AS domain
+        CASE WHEN regexp_matches({bare}, '{_ADDRESS}') THEN '' ELSE regexp_extract({bare}, '(?:^|\\.)({LONG_SUFFIXES}|[^.]*)$', 1) END AS suffix,
+        CASE WHEN regexp_matches({bare}, '{_ADDRESS}') THEN {bare} ELSE regexp_extract({bare}, '([^.]*\\.(?:{LONG_SUFFIXES})|[^.]*\\.[^.]*|[^.]*)$', 1) END AS domain
       FROM (SELECT DISTINCT host FROM p) LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS bad FROM o GROUP BY 1) USING (host)),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM h) AS prior FROM h GROUP BY 1),
 sw AS (SELECT {weight} AS w FROM s WHERE n > 0),

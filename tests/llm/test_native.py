@@ -72,9 +72,11 @@ def test_reputation_shrinks(spark):
 
 
 def test_domains(spark):
-    d = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("a.b.com",), ("com",), ("",), ("co.uk",)], "h string")
+    d = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "b.co.uk", "a.b.com", "com", "", "co.uk", "x.y.gov.uk:8080", "me.github.io", "a.com.mx", "192.0.2.7:80", "192.0.2.8", "[2001:db8::1]:80", "a.example.com:443")], "h string")
     got = {r.h: (r.d, r.s) for r in d.select("h", hr.domain_of(d.h).alias("d"), hr.suffix_of(d.h).alias("s")).collect()}
     assert got["a.b.co.uk"] == ("b.co.uk", "co.uk") == got["b.co.uk"] and got["a.b.com"] == ("b.com", "com") and got["com"] == ("com", "com") and got[""] == ("", "")
+    assert got["x.y.gov.uk:8080"] == ("y.gov.uk", "gov.uk") and got["me.github.io"] == ("me.github.io", "github.io") and got["a.com.mx"] == ("a.com.mx", "com.mx") and got["a.example.com:443"] == ("example.com", "com")
+    assert got["192.0.2.7:80"] == ("192.0.2.7", "") and got["192.0.2.8"] == ("192.0.2.8", "") and got["[2001:db8::1]:80"] == ("[2001:db8::1]", "")
 
 
 def test_outcomes(spark):
