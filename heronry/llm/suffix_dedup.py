@@ -180,9 +180,12 @@ def merged(spans: DataFrame) -> DataFrame:
     return arrow_map(listed, make, "doc_id long, sig long, spans array<struct<start:long,end:long,src_doc_id:long>>")
 
 
-def _with_first(rows: DataFrame, key: str) -> DataFrame:
-    """The rows with the first place (``least``) of their key, and whether their own is a later one."""
-    firsts = rows.groupBy(key).agg(F.min(F.struct("doc_id", "start")).alias("least"))
+def _with_first(work: Workspace, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows with the first place (``least``) of their key, and whether their own is a later one.
+
+    First places are written, so that the join has a row a key on its other side and nothing else in its stage, and AQE can split a hot key.
+    """
+    firsts = work.settle(rows.groupBy(key).agg(F.min(F.struct("doc_id", "start")).alias("least")), name)
     return rows.join(firsts, key).withColumn("later", F.struct("doc_id", "start") > F.col("least"))
 
 
@@ -199,16 +202,17 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
     inside = anchored.where("inside").select("doc_id", "sig", "start", "end", F.col("doc_id").alias("src_doc_id"))
     differ = lambda c: F.min(c) != F.max(c)
     groups = retained.groupBy("h").agg(differ("reach").alias("mixed"), (differ("doc_id") | differ("start")).alias("again")).where("mixed or again").select("h", "mixed")
+    groups = work.settle(groups, "groups")
     repeated = work.settle(retained.join(groups, "h").drop("h"), "repeated")
-    placed = _with_first(repeated, "reach")
+    placed = _with_first(work, repeated, "reach", "first_reaches")
     whole = placed.where("later").select("doc_id", "sig", "start", "end", F.col("least.doc_id").alias("src_doc_id"))
     found = placed.where("mixed and not later").groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     some = docs.withColumn("sig", F.xxhash64("text")).join(found, ["doc_id", "sig"])
-    singles = _with_first(work.settle(single_passages(some), "singles"), "passage").where("later")
+    singles = _with_first(work, work.settle(single_passages(some), "singles"), "passage", "first_passages").where("later")
     single = singles.select("doc_id", "sig", "start", (F.col("start") + LEAST).alias("end"), F.col("least.doc_id").alias("src_doc_id"))
     spans = whole.union(single).union(inside)
     out = work.settle(merged(spans.withColumns({n: F.col(n).cast("long") for n in ("start", "end")})), "spans")
-    work.drop("anchors", "repeated", "singles")
+    work.drop("anchors", "groups", "repeated", "first_reaches", "singles", "first_passages")
     return out
 
 

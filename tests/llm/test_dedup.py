@@ -235,12 +235,17 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert dc.decontaminated(odd_docs, bench).count() == len(odd_rows())
 
 
-def test_decontamination_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(dc, "ITEMS_A_PASS", 2)
+def test_decontamination_in_cells(spark, monkeypatch):
+    """Small cells, and a bitmap that lets everything through, give the same rows."""
     bench = spark.createDataFrame(items(), "item_id long, text string")
-    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in items() if t], DOCS)
-    found = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()}
-    assert {(k, k) for k, t in items() if t and k is not None} <= found and (2, 92) in found
+    docs = spark.createDataFrame([(i, f"{t} {prose(i, 20)} {t}", None, None, None) for i, t in items() if t] * 3, DOCS)
+    rows = lambda: sorted(map(str, dc.contaminated(docs, bench).collect()))
+    want = rows()
+    monkeypatch.setattr(dc, "ITEMS", 1)
+    monkeypatch.setattr(dc, "WINDOWS", 2)
+    assert rows() == want and len(want) >= 24
+    monkeypatch.setattr(dc, "bitmap", lambda keys: b"\xff" * 8192)
+    assert rows() == want
 
 
 def planted_repeats():
