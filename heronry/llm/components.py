@@ -16,19 +16,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Loops and repeated edges are harmless, an edge with a null end is none; without edges there are no rows.
 
-    In a round each id moves to the one that comes first, by a hash drawn for the round, of itself and its neighbours; the ids moved to are
-    the next round's, joined as their members were.  Whatever order the ids have, about half of a chain and all but one of a
-    star are gone after a round, so that rounds grow as the logarithm of the ids, and tables shrink from round to round.  There is no cap:
-    a round always joins something, and the last is the one that leaves no edge.  A hub's edges are pre-aggregated before the
-    shuffle, and joins on a hub have one row a key on the other side, so that AQE can split them.  Tables of a round lie in the shared folder
-    until the next has been written; nothing but whether there is an edge comes to the driver.
+    In a round each id moves to the one that comes first of itself and its neighbours; the ids moved to are the next round's, joined as their members were.
+    Most rounds order ids by a hash drawn for the round: whatever order they have themselves, about half of a chain or of a star are then
+    gone in expectation, so that rounds grow as the logarithm of the ids.  The first rounds, and some later ones, order them as they are, since stars are mostly made
+    around their smallest id, and such a star is one id after a round.  There is no cap: a round always joins something, and the last is the one that leaves no
+    edge.  A hub's edges are pre-aggregated before the shuffle, and joins on a hub have one row a key on the other side, so that AQE can split
+    them.  Tables of a round lie in the shared folder until the end; nothing but whether there is an edge comes to the driver.
     """
     work = Workspace(edges.sparkSession, "components")
     links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     links = work.settle(links.union(links.select("v", "u")).distinct(), "links0", few=True)
     rounds = 0
     while rounds == 0 or not links.isEmpty():
-        order = lambda c, k=rounds: F.xxhash64(F.col(c), F.lit(k))
+        order = lambda c, k=rounds: F.col(c) if k < 2 or k % 4 == 0 else F.xxhash64(F.col(c), F.lit(k))
         first = links.groupBy("u").agg(F.min_by("v", order("v")).alias("to"))
         moved = work.settle(first.select(F.col("u").alias("id"), F.when(order("to") < order("u"), F.col("to")).otherwise(F.col("u")).alias("to")), f"moved{rounds}", few=True)
         half = links.join(moved.select(F.col("id").alias("v"), F.col("to").alias("y")), "v").select("u", "y").distinct()

@@ -31,7 +31,7 @@ from heronry.llm.words import STEP, WordHashes, grams, mixed
 
 ROWS, BANDS, SKETCH_BITS = 5, 36, 512
 #: Rows and bytes of a block of full sets, rows of a block of sketches.
-BLOCK, BLOCK_BYTES, SKETCH_BLOCK = 512, 4_000_000, 512
+BLOCK, BLOCK_BYTES, SKETCH_BLOCK = 512, 4_000_000, 256
 _U = np.uint64
 _SEEDS = mixed(np.arange(1, ROWS * BANDS + 1, dtype=_U) * STEP) | _U(1)
 _WORDS = SKETCH_BITS // 64

@@ -78,3 +78,17 @@ def test_columns_that_clash(spark, folder):
     for _, f in cp.STAGES[:-1]:
         out = f(spark, docs, folder)
         assert out.columns == docs.columns and out.count() > 0
+
+
+def test_odd_rows(spark, folder, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows and empty tables go through every stage but the one whose decision they are."""
+    docs = odd_docs.union(odd_docs.where("doc_id = 50"))
+    for _, f in cp.STAGES[:-1]:
+        out = f(spark, docs, folder)
+        assert out.columns == docs.columns
+        none = f(spark, no_docs, folder)
+        assert none.columns == no_docs.columns and none.count() == 0
+    once = cp.near_dedup(spark, docs, folder).collect()
+    assert sorted(str(r.doc_id) for r in once) == sorted(str(i) for i in [*range(10), 50, None, None])  # (3, one) and (50, ...) came twice
+    assert cp.passage_dedup(spark, docs.drop("n_chars"), folder).columns == ["doc_id", "text", "lang", "source"]
+    assert cp.encode(spark, no_docs, folder).count() == 0
