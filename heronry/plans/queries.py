@@ -171,9 +171,20 @@ register(
 )
 register("page_titles", "pages", lambda p: canonical_fields(p).filter("name = 'title'").select("page_id", "value"), f"SELECT page_id, trim({_unescape(_H1)}) AS value FROM pages")
 register("pdf_links", "pages", lambda p: extract_fields(p, (*RULES, EXAMPLE)).filter("name = 'pdf-link'").select("page_id", "value"), "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS value FROM pages")
-register("canonical_fields", "pages", lambda p: canonical_fields(p), None)
+_ARTICLE = "list_transform(string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')[2:], lambda x: trim(" + _unescape("regexp_replace(x, '<[^>]*>', '', 'g')") + ", ' ' || chr(10)))"
+_paper = [f"s0 AS (SELECT page_id, url, html, trim(array_to_string({_ARTICLE}, chr(10)), ' ' || chr(10)) AS s, '' AS fired FROM pages)"]
+for _i, _r in enumerate(cleaning.ABSTRACT_RULES):
+    _name = _r.name.replace("'", "''")
+    _paper.append(f"s{_i + 1} AS (SELECT page_id, url, html, v AS s, CASE WHEN v <> s THEN fired || ' | clean: {_name}' ELSE fired END AS fired FROM (SELECT page_id, url, html, s, fired, {_CLEAN_SQL[_i]} AS v FROM s{_i}))")
+_label = "article > h1 ++ article p ++ nav a?"
+_paper.append(f"""f AS (
+ SELECT page_id, 1 AS place, 'title' AS name, trim({_unescape(_H1)}) AS value, 'input:response-body | select:$(article > h1) | {_label}' AS evidence FROM pages UNION ALL
+ SELECT page_id, 2, 'abstract', s, 'input:response-body | page.$$(article p) | {_label}' || fired FROM s{len(cleaning.ABSTRACT_RULES)} UNION ALL
+ SELECT page_id, 3, 'pdf-link', regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)), 'input:response-body | select-all:$(nav a).attr(href) | {_label}' FROM pages)""")
+_first = "SELECT page_id, place, name, any_value(value) AS value, any_value(evidence) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY page_id, place ORDER BY i) AS k FROM (SELECT *, row_number() OVER () AS i FROM f WHERE value <> '')) WHERE k = 1 GROUP BY 1, 2, 3"
+register("canonical_fields", "pages", lambda p: canonical_fields(p).withColumn("evidence", F.array_join("evidence", " | ")), f"WITH {', '.join(_paper)} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY place) AS seq, name, value, evidence FROM ({_first})")
 register("canonical_rows", "pages", lambda p: evidence.canonical(extract_fields(p, (*RULES, EXAMPLE))).filter("name = 'title'").select("page_id", "seq", "name"), "SELECT page_id, CAST(1 AS BIGINT) AS seq, 'title' AS name FROM pages")
-register("field_counts", "pages", lambda p: extract_fields(p, (*RULES, EXAMPLE)).groupBy("name").agg(F.count("*").alias("n")), None)
+register("field_counts", "pages", lambda p: extract_fields(p, (*RULES, EXAMPLE)).groupBy("name").agg(F.count("*").alias("n")), f"WITH {', '.join(_paper)} SELECT name, count(*) AS n FROM f WHERE value <> '' GROUP BY 1")
 register("field_map", "pages", lambda p: evidence.field_map(extract_fields(p, (*RULES, EXAMPLE))).filter("name = 'pdf-link'").select("page_id", F.size("values").cast("long").alias("n")), "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"')) AS BIGINT) AS n FROM pages")
 register("evidence_summary", "pages", lambda p: evidence.evidence_summary(extract_fields(p, (*RULES, EXAMPLE)).filter("name = 'title'")), "SELECT 'title' AS name, unnest(['input:response-body', 'select:$(article > h1)', 'article > h1 ++ article p ++ nav a?']) AS evidence, (SELECT count(*) FROM pages) AS n")
 
