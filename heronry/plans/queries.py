@@ -192,36 +192,45 @@ register("evidence_summary", "pages", lambda p: evidence.evidence_summary(extrac
 _LONG = "We study a thing. " * 15 + "@"
 _META = '<meta name="citation_title" content="T@"><meta name="citation_author" content="A@"><meta name="citation_author" content="B"><meta name="citation_pdf_url" content="/x@.pdf">'
 _DC = '<meta name="DC.Title" content="T@"><meta name="dc.Creator" content="A@"><meta name="dc.creator" content="B">'
-_FULL = (("title", "T@"), ("author", "A@"), ("author", "B"), ("abstract", _LONG))
-_PDF = (("pdf-link", "/x@.pdf"),)
-#: rule -> (address, page, fields); @ stands for the document's number, and links are relative to the address.
+_CITED = {"title": (("title", "T@", 'select:$(meta[name="citation_title"])'),), "author": (("author", "A@", 'select-all:$(meta[name="citation_author"])'), ("author", "B", 'select-all:$(meta[name="citation_author"])')), "pdf": (("pdf-link", "/x@.pdf", 'select:$(meta[name="citation_pdf_url"])'),)}
+_CORE = {"title": (("title", "T@", 'select:$(meta[name="DC.Title"])'),), "author": (("author", "A@", 'select-all:$(meta[name="DC.Creator"])'), ("author", "B", 'select-all:$(meta[name="DC.Creator"])'))}
+_JSON = (("title", "T@", "metadata:title"), ("abstract", _LONG, "metadata:abstract"), ("author", "A@", "metadata:author"), ("author", "B", "metadata:author"))
+_all_cited = lambda source: (*_CITED["title"], *_CITED["author"], *_CITED["pdf"], ("abstract", _LONG, source))
+#: rule -> (address, page, (field, value, the evidence it was found by) in order); @ stands for the document's number, and links are relative to the host.
 RULE_PAGES: dict[str, tuple[str, str, tuple[tuple[str, str], ...]]] = {
-    "arxiv": ("http://export.arxiv.org", f'<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T@</title><summary>{_LONG}</summary><link href="/y"/><link type="application/pdf" href="/x@.pdf"/></entry></feed>', (("title", "T@"), ("abstract", _LONG), *_PDF)),
-    "sciencedirect": ("https://www.sciencedirect.com", f'{_META}<meta property="og:description" content="cut @"><div class="Abstracts">{_LONG}</div><a class="author">C@</a>', (("title", "T@"), ("abstract-clipped", "cut @"), ("abstract", _LONG), ("author", "C@"))),
-    "acm": ("https://dl.acm.org", f'{_DC}<div class="abstractInFull">{_LONG}</div><a title="PDF" href="/x@.pdf">p</a>', (*_FULL, *_PDF)),
-    "aclweb": ("https://www.aclweb.org", f'{_META}<div class="acl-abstract">{_LONG}</div>', (*_FULL, *_PDF)),
-    "ijcai": ("https://www.ijcai.org", f'{_META}<div class="col-md-12">{_LONG}</div>', _FULL),
-    "mitpress": ("https://www.mitpressjournals.org", f'{_DC}<a class="show-pdf" href="/x@.pdf">p</a><p class="abstractInFull">{_LONG}</p>', (*_FULL, *_PDF)),
-    "oup": ("https://academic.oup.com", f'{_META}<section class="abstract"><p class="chapter-para">{_LONG}</p></section>', (*_FULL, *_PDF)),
-    "nips": ("https://papers.nips.cc", f"{_META}<h4>Abstract</h4><p>{_LONG}</p>", (*_FULL, *_PDF)),
-    "iospress": ("https://content.iospress.com", f'{_META}<div data-abstract="{_LONG}"></div>', (*_FULL, *_PDF)),
-    "digitalhumanities": ("http://digitalhumanities.org", f'<h1 class="articleTitle">T@</h1><div class="author">A@</div><div class="author">B</div><div id="abstract">{_LONG}</div>', _FULL),
-    "kybernetika": ("https://www.kybernetika.cz", f'<div class="ar_title">T@</div><div class="authors"><a>A@</a><a>B</a></div><p class="abstract">{_LONG}</p>', _FULL),
-    "ieee": ("https://ieeexplore.ieee.org", f'<script>\nx.global.document.metadata={{"title":"T@","abstract":"{_LONG}","authors":[{{"name":"A@"}},{{"name":"B"}}],"pdfPath":"/x@.pdf"}};\n</script>', (*_FULL, *_PDF)),
-    "springer": ("https://link.springer.com", f'{_META}<script type="application/ld+json">{{"headline":"T@","description":"{_LONG}","author":[{{"name":"A@"}},{{"name":"B"}}]}}</script>', _FULL),
-    "neurips": ("https://proceedings.neurips.cc", f"{_META}<div><h4>Abstract</h4><p></p><p>{_LONG}</p></div><div>other</div>", (*_FULL, *_PDF)),
-    "isca": ("https://www.isca-speech.org", f'<div class="w3-card"><h3>T@</h3><h5>A@, B</h5><p>{_LONG}</p><a href="/x@.pdf">pdf</a></div>', (("title", "T@"), ("authors", "A@, B"), ("abstract", _LONG), *_PDF)),
-    "lrec": ("http://www.lrec-conf.org", f'<table><tr><th>Title</th><td>T@</td></tr><tr><th>Authors</th><td>A@, B</td></tr><tr><th>Abstract</th><td>{_LONG}</td></tr><tr><th>Full Paper</th><td><a href="/x@.pdf"><b>x</b></a></td></tr></table>', (("title", "T@"), ("authors-block", "A@, B"), ("abstract", _LONG), *_PDF)),
-    "cogsci": ("https://cogsci.mindmodeling.org", f"<h2>Abstract</h2><blockquote><p>{_LONG}</p></blockquote>", (("abstract", f"<p>{_LONG}</p>"[3:-4]),)),
-    "general": ("https://somewhere.org", f'{_DC}<meta name="description" content="{_LONG}"><meta name="citation_pdf_url" content="/x@.pdf">', (*_FULL, *_PDF)),
+    "arxiv": ("http://export.arxiv.org", f'<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T@</title><summary>{_LONG}</summary><link href="/y"/><link type="application/pdf" href="/x@.pdf"/></entry></feed>', (("abstract", _LONG, "xml:select:'feed.entry.0.summary'"), ("title", "T@", "xml:select:'feed.entry.0.title'"), ("pdf-link", "/x@.pdf", "xml:feed.entry[0].link[]"))),
+    "sciencedirect": ("https://www.sciencedirect.com", f'{_META}<meta property="og:description" content="cut @"><div class="Abstracts">{_LONG}</div><a class="author">C@</a>', (*_CITED["title"], ("abstract-clipped", "cut @", 'select:$(meta[property="og:description"])'), ("abstract", _LONG, "select:$(.Abstracts)"), ("author", "C@", "select:$(a.author)"))),
+    "acm": ("https://dl.acm.org", f'{_DC}<div class="abstractInFull">{_LONG}</div><a title="PDF" href="/x@.pdf">p</a>', (*_CORE["title"], ("abstract", _LONG, "select:$(.abstractInFull)"), *_CORE["author"], ("pdf-link", "/x@.pdf", 'page.$(a[title="PDF"]).attr(href)'))),
+    "aclweb": ("https://www.aclweb.org", f'{_META}<div class="acl-abstract">{_LONG}</div>', _all_cited("select:$(.acl-abstract)")),
+    "ijcai": ("https://www.ijcai.org", f'{_META}<div class="col-md-12">{_LONG}</div>', (*_CITED["title"], *_CITED["author"], ("abstract", _LONG, "select:$(div.col-md-12)"))),
+    "mitpress": ("https://www.mitpressjournals.org", f'{_DC}<a class="show-pdf" href="/x@.pdf">p</a><p class="abstractInFull">{_LONG}</p>', (*_CORE["title"], *_CORE["author"], ("abstract", _LONG, "select:$(.abstractInFull)"), ("pdf-link", "/x@.pdf", 'page.$(a[class="show-pdf"]).attr(href)'))),
+    "oup": ("https://academic.oup.com", f'{_META}<section class="abstract"><p class="chapter-para">{_LONG}</p></section>', _all_cited('select:$(section[class="abstract"] p[class="chapter-para"])')),
+    "nips": ("https://papers.nips.cc", f"{_META}<h4>Abstract</h4><p>{_LONG}</p>", _all_cited("select:$(h4 + p)")),
+    "iospress": ("https://content.iospress.com", f'{_META}<div data-abstract="{_LONG}"></div>', _all_cited("page.$([data-abstract]).attr(data-abstract)")),
+    "digitalhumanities": ("http://digitalhumanities.org", f'<h1 class="articleTitle">T@</h1><div class="author">A@</div><div class="author">B</div><div id="abstract">{_LONG}</div>', (("abstract", _LONG, "select:$(#abstract)"), ("title", "T@", "select:$(.articleTitle)"), ("author", "A@", "page.$$(.author)"), ("author", "B", "page.$$(.author)"))),
+    "kybernetika": ("https://www.kybernetika.cz", f'<div class="ar_title">T@</div><div class="authors"><a>A@</a><a>B</a></div><p class="abstract">{_LONG}</p>', (("abstract", _LONG, "select:$(.abstract)"), ("title", "T@", "select:$(.ar_title)"), ("author", "A@", "page.$$(.authors a)"), ("author", "B", "page.$$(.authors a)"))),
+    "ieee": ("https://ieeexplore.ieee.org", f'<script>\nx.global.document.metadata={{"title":"T@","abstract":"{_LONG}","authors":[{{"name":"A@"}},{{"name":"B"}}],"pdfPath":"/x@.pdf"}};\n</script>', (*_JSON, ("pdf-link", "/x@.pdf", "metadata:pdf-link"))),
+    "springer": ("https://link.springer.com", f'{_META}<script type="application/ld+json">{{"headline":"T@","description":"{_LONG}","author":[{{"name":"A@"}},{{"name":"B"}}]}}</script>', _JSON),
+    "springer_chapter": ("https://link.springer.com/chapter", f'{_META}<section id="Abs1"><p class="Para">{_LONG}</p></section><meta property="og:description" content="cut @">', (*_CITED["title"], *_CITED["author"], *_CITED["pdf"], ("abstract-clipped", "cut @", 'select:$(meta[property="og:description"])'), ("abstract", _LONG, "select:$(section#Abs1 > p.Para)"))),
+    "springer_entry": ("https://link.springer.com/referenceworkentry", f'{_META}<meta property="og:description" content="cut @"><div id="body"><div class="content">{_LONG}</div></div>', (*_CITED["title"], *_CITED["author"], *_CITED["pdf"], ("abstract-clipped", "cut @", 'select:$(meta[property="og:description"])'), ("abstract", _LONG, "page.$$(#body div.content)"))),
+    "springer_article": ("https://link.springer.com/article", f'{_META}<meta property="og:description" content="{_LONG}">', (*_CITED["title"], *_CITED["author"], *_CITED["pdf"], ("abstract", _LONG, 'select:$(meta[property="og:description"])'))),
+    "neurips": ("https://proceedings.neurips.cc", f"{_META}<div><h4>Abstract</h4><p></p><p>{_LONG}</p></div><div>other</div>", _all_cited("neurips.cc.abstract")),
+    "isca": ("https://www.isca-speech.org", f'<div class="w3-card"><h3>T@</h3><h5>A@, B</h5><p>{_LONG}</p><a href="/x@.pdf">pdf</a></div>', (("title", "T@", "isca.title"), ("authors", "A@, B", "isca.authors"), ("pdf-link", "/x@.pdf", "pdf-link"), ("abstract", _LONG, "isca.abstract"))),
+    "lrec": ("http://www.lrec-conf.org", f'<table><tr><th>Title</th><td>T@</td></tr><tr><th>Authors</th><td>A@, B</td></tr><tr><th>Abstract</th><td>{_LONG}</td></tr><tr><th>Full Paper</th><td><a href="/x@.pdf"><b>x</b></a></td></tr></table>', (("abstract", _LONG, "abstract"), ("title", "T@", "title"), ("authors-block", "A@, B", "authors-block"), ("pdf-link", "/x@.pdf", "pdf-link"))),
+    "cogsci": ("https://cogsci.mindmodeling.org", f"<h2>Abstract</h2><blockquote><p>{_LONG}</p></blockquote>", (("abstract", _LONG, "grepped.abstract"),)),
+    "general": ("https://somewhere.org", f'{_DC}<meta name="description" content="{_LONG}"><meta name="citation_pdf_url" content="/x@.pdf">', (*_CORE["title"], ("abstract", _LONG, 'select:$(meta[name="description"])'), *_CORE["author"], *_CITED["pdf"])),
 }
 
 
 def _rule_query(name: str) -> None:
     address, page, fields = RULE_PAGES[name]
     fill = lambda t: F.replace(lit(t), lit("@"), c("doc_id").cast("string"))
-    make = lambda d: extract_fields(d.select(c("doc_id").alias("page_id"), fill(f"{address}/p/@").alias("url"), fill(page).alias("html"))).select("page_id", "name", "value").distinct()
-    rows = " UNION ".join(f"SELECT doc_id AS page_id, '{f}' AS name, replace('{(address if f == 'pdf-link' else '') + v}', '@', doc_id::VARCHAR) AS value FROM documents" for f, v in fields)
+    own = lambda e: F.get(F.filter(e, lambda x: ~x.startswith("url:") & ~x.startswith("input:")), lit(0))
+    pages = lambda d: d.select(c("doc_id").alias("page_id"), fill(f"{address}/p/@").alias("url"), fill(page).alias("html"))
+    make = lambda d: extract_fields(pages(d)).select("page_id", c("seq").cast("long").alias("seq"), "name", "value", own(c("evidence")).alias("source"))
+    quoted = lambda x: x.replace("'", "''")
+    host = "/".join(address.split("/")[:3])
+    rows = " UNION ALL ".join(f"SELECT doc_id AS page_id, CAST({i} AS BIGINT) AS seq, '{f}' AS name, replace('{(host if f == 'pdf-link' else '') + v}', '@', doc_id::VARCHAR) AS value, '{quoted(e)}' AS source FROM documents" for i, (f, v, e) in enumerate(fields))
     register(f"rule_{name}", "documents", make, rows)
 
 
