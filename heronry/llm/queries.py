@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import host_reputation, odd_sketch, quality_rules
+from heronry.llm import host_reputation, license_scan, odd_sketch, quality_rules
 from heronry.llm.common import table
 
 
@@ -81,4 +81,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op4_license_scan, op5_suffix_dedup, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op9_decontamination, op10_token_store)}
-ORACLE_SQL: dict[str, str] = {"op2_host_reputation": host_reputation.SQL, "op3_near_duplicates": odd_sketch.sql(4, 80), "op6_quality_rules": quality_rules.SQL}
+_SQL: dict[str, Callable[[], str]] = {"op2_host_reputation": lambda: host_reputation.SQL, "op3_near_duplicates": lambda: odd_sketch.sql(4, 80), "op4_license_scan": license_scan.sql, "op6_quality_rules": lambda: quality_rules.SQL}
+
+
+class _Written(Mapping):
+    """SQL that is written when it is asked for, as one query's holds a model that is fitted first."""
+
+    def __getitem__(self, name: str) -> str:
+        return _SQL[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_SQL)
+
+    def __len__(self) -> int:
+        return len(_SQL)
+
+
+ORACLE_SQL: Mapping[str, str] = _Written()
