@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
 
         feeds.register_note_feed(spark)
         stream = spark.readStream.format("notes").option("url", args.feed).option("pageSize", args.page_size).load()
-        run_available(stream, lambda batch, _: corpus.write_once(batch, args.table, ["id"]), args.checkpoint).awaitTermination()
+        run_available(stream, lambda batch, number: corpus.write_once(batch, args.table, ["id"], number), args.checkpoint).awaitTermination()
     elif args.command == "move-cursor":
         cursors = spark.read.parquet(args.cursors).filter(F.col("role") == args.role)
         state.move_cursor(spark.read.parquet(args.notes), cursors, args.by).show()

@@ -90,3 +90,8 @@ def status_class(status: Column) -> Column:
 
 def try_int(s: Column) -> Column:
     return s.try_cast("int")
+
+
+def pretty(value: Column) -> Column:
+    """A struct, map or array as indented JSON."""
+    return F.to_json(value, {"pretty": "true"})

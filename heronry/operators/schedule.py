@@ -7,7 +7,8 @@ A clause is one of ``every N units``, ``every weekday|weekend|<day>``, ``at hh:m
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -118,6 +119,16 @@ def explain(text: str) -> list[str]:
     return [] if at < 0 else ["Syntax error in schedule:", f">  {text}", f">  {' ' * at}^"]
 
 
+def run_on_schedule(text: str, job: Callable[[], object], runs: int, now: Callable[[], datetime] = datetime.now, sleep: Callable[[float], None] = time.sleep) -> list[datetime]:
+    """Runs the job at the schedule's next ``runs`` times, one after another; times that pass while it runs are left out.  Returns when it was due."""
+    schedule, due = parse_schedule(text), []
+    while len(due) < runs and (following := schedule.next_times(now() + timedelta(microseconds=1))):
+        due += following
+        sleep(max(0.0, (following[0] - now()).total_seconds()))
+        job()
+    return due
+
+
 def trigger_period(text: str) -> str | None:
     """The ``processingTime`` of a streaming query that runs every so often; None for other schedules."""
     found = parse_schedule(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ def entry_dir(url: Column, root: str = "") -> Column:
     return F.concat_ws("/", F.lit(root), hash_path(url, 3)) if root else hash_path(url, 3)
 
 
+def with_entries(urls: DataFrame, root: str) -> DataFrame:
+    """``urls`` with what a fetch of each needs: ``initial_url``, ``entry`` and ``entry_path``, the entry's folder below the root."""
+    return urls.withColumns({"initial_url": F.col("url"), "entry": entry_dir(F.col("url")), "entry_path": entry_dir(F.col("url"), root.rstrip("/"))})
+
+
 def valid_entry_path(path: Column) -> Column:
     return F.coalesce(path.rlike(ENTRY_PATH), F.lit(False))
 
@@ -147,18 +153,23 @@ def notes_after(notes: DataFrame, after: int | None, page: int) -> DataFrame:
     return d.orderBy("number").limit(page)
 
 
-def write_once(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the rows whose keys the table at ``path`` lacks; returns how many. Rows of equal keys count once."""
+def write_once(df: DataFrame, path: str, keys: list[str], batch: int | str | None = None) -> int:
+    """Adds the rows whose keys the table at ``path`` lacks; returns how many. Rows of equal keys count once.
+
+    Rows go to a partition ``batch=<batch>`` of their own, which replaces what an earlier run of the same batch wrote there, so that a run that is lost halfway
+    or done again adds nothing twice; without a number each call is a batch.  Of several writers at once, each must have its own batches, and a key
+    that two of them bring in the same moment is kept twice.
+    """
     spark = df.sparkSession
+    batch = uuid.uuid4().hex if batch is None else batch
     new = df.dropDuplicates(keys)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+        there = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.select(*keys).schema)}, batch string").parquet(path)
+        new = new.join(there.where(F.col("batch") != str(batch)).select(*keys), keys, "left_anti")
+    own = f"{path}/batch={batch}"
+    new.write.mode("overwrite").parquet(own)
+    return spark.read.schema(df.schema).parquet(own).count()
 
 
 def guarded_table_name(name: str) -> str:

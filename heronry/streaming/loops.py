@@ -65,7 +65,7 @@ def fetch_loop(spark: SparkSession, feed: str, schema: str, table: str, checkpoi
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", page_files).parquet(feed)
 
     def each(batch: DataFrame, number: int) -> None:
-        write_once(batch, table, ["id"])  # a batch that is run again finds its rows there
+        write_once(batch, table, ["id"], number)
         if cursors:
             last = batch.groupBy(F.lit("fetch-notes").alias("role")).agg(F.max_by("id", "number").alias("noteId"), F.max("number").alias("noteNumber"))
             Log(batch.sparkSession, cursors, CURSORS, ["role"]).append(last, number)

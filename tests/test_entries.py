@@ -2,7 +2,7 @@
 
 import json
 import os
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +114,9 @@ def test_schedules():
     for text, at in (("", 0), ("never", 0), ("every 5 minutes or so", 16), ("at 25:00", 0), ("at 13:00 pm", 0)):
         assert sc.parse_schedule(text).error == at and sc.explain(text)[1] == f">  {text}"
     assert sc.explain("every hour") == []
+    clock, ran = [start], []
+    due = sc.run_on_schedule("every 5 minutes", lambda: ran.append(clock[0]), 2, lambda: clock[0], lambda s: clock.append(clock.pop() + timedelta(seconds=s)))
+    assert ran == due == sc.parse_schedule("every 5 minutes").next_times(start, 2)
 
 
 def test_settings(tmp_path):
@@ -134,3 +137,20 @@ def test_fixtures(spark):
     times = [r.updatedAt for r in fixtures.write_times(notes, ["number"], "2024-02-01").orderBy("number").collect()]
     assert times == sorted(times) and (times[0] - datetime(2024, 1, 18)).total_seconds() < 3 * 3600 and all((b - a).total_seconds() < 3 * 3600 for a, b in zip(times, times[1:], strict=False))
     assert sorted(r.status for r in fixtures.responses(spark, "http://x/").collect()) == ["200", "200", "404", "500"]
+
+
+def test_commands(spark):
+    from heronry.functions.process import piped, run_one
+
+    d = spark.createDataFrame([("b\na",), (None,)], "t string")
+    got = d.select(piped(F.col("t"), ["sort"]).alias("r")).collect()
+    assert tuple(got[0].r) == (["a", "b"], [], 0) and got[1].r is None
+    assert run_one(["sh", "-c", "echo x >&2; exit 3"], "", 5) == ([], ["x"], 3)
+    assert run_one(["sleep", "9"], "", 0.2)[2] is None and run_one(["no-such-command"], "", 1)[2] is None
+
+
+def test_no_fetch(spark):
+    urls = corpus.with_entries(spark.createDataFrame([("http://a.b/c",)], "url string"), "/r/")
+    row = feeds.fetch(urls, feeds.no_fetch).first()
+    assert (row.response_url, row.status, row.body, row.control) == ("http://a.b/c", "", "", None)
+    assert urls.first().entry_path == f"/r/{urls.first().entry}" and urls.first().initial_url == "http://a.b/c"
