@@ -19,7 +19,8 @@ def run_one(command: list[str], text: str, seconds: float) -> tuple[list[str], l
         return [], [f"took over {seconds:g} seconds"], None
     except OSError as e:
         return [], [str(e)], None
-    return done.stdout.decode("utf-8", "replace").splitlines(), done.stderr.decode("utf-8", "replace").splitlines(), done.returncode
+    lines = lambda raw: raw.decode("utf-8", "replace").removesuffix("\n").split("\n") if raw else []
+    return lines(done.stdout), lines(done.stderr), done.returncode
 
 
 def piped(text: Column, command: list[str], seconds: float = 60) -> Column:
