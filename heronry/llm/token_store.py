@@ -37,7 +37,7 @@ INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
 
 #: About as many bytes of text go to a shard, unless there are too few for all cores.
-BYTES_PER_SHARD = 1_000_000_000
+BYTES_PER_SHARD = 256_000_000
 
 
 def seek_table(entries: np.ndarray) -> bytes:
