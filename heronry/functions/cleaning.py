@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.scalars import js_trim
@@ -102,5 +102,17 @@ def _record(rule: CleaningRule) -> Callable[[Column], Column]:
     return lambda x: F.struct(x["value"].alias("value"), F.when(x["value"] == x["was"], x["fired"]).otherwise(F.array_append(x["fired"], F.lit(rule.name))).alias("fired"))
 
 
+def with_cleaned(df: DataFrame, text: str, value: str = "value", fired: str = "fired", rules: tuple[CleaningRule, ...] = ABSTRACT_RULES) -> DataFrame:
+    """``df`` with the cleaned text and the names of the rules that changed it: as ``apply_rules``, for a column that stands by itself.
+
+    Each rule is a projection of plain columns, which is compiled, where a fold over an array is not.
+    """
+    names = [text, *(f"_{value}_{i}" for i in range(len(rules)))]
+    for rule, before, after in zip(rules, names, names[1:], strict=False):
+        df = df.withColumn(after, rule.apply(F.col(before)))
+    changed = (F.when(F.col(after) != F.col(before), F.lit(rule.name)) for rule, before, after in zip(rules, names, names[1:], strict=False))
+    return df.withColumns({value: F.col(names[-1]), fired: F.array_compact(F.array(*changed))}).drop(*names[1:])
+
+
 def clean_abstract(s: Column) -> Column:
     return apply_rules(s)["value"]

@@ -157,7 +157,7 @@ _steps = [f"s0 AS (SELECT doc_id, {_sql_dirty} AS s, '' AS fired FROM documents)
 for _i, _r in enumerate(cleaning.ABSTRACT_RULES):
     _name = _r.name.replace("'", "''")
     _steps.append(f"s{_i + 1} AS (SELECT doc_id, v AS s, CASE WHEN v <> s THEN fired || '{_name};' ELSE fired END AS fired FROM (SELECT doc_id, s, fired, {_CLEAN_SQL[_i]} AS v FROM s{_i}))")
-register("clean_abstract", "documents", lambda d: d.select("doc_id", cleaning.apply_rules(_dirty()).alias("r")).select("doc_id", c("r.value").alias("value"), F.concat(F.array_join("r.fired", ";"), F.when(F.size("r.fired") > 0, lit(";")).otherwise(lit(""))).alias("fired")), f"WITH {', '.join(_steps)} SELECT doc_id, s AS value, fired FROM s{len(cleaning.ABSTRACT_RULES)}")
+register("clean_abstract", "documents", lambda d: cleaning.with_cleaned(d.select("doc_id", _dirty().alias("dirty")), "dirty").select("doc_id", "value", F.concat(F.array_join("fired", ";"), F.when(F.size("fired") > 0, lit(";")).otherwise(lit(""))).alias("fired")), f"WITH {', '.join(_steps)} SELECT doc_id, s AS value, fired FROM s{len(cleaning.ABSTRACT_RULES)}")
 
 # --- documents as trees, evidence -----------------------------------------------------------------
 _H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"

@@ -139,3 +139,11 @@ def test_write_once(spark, tmp_path):
     assert corpus.write_once(rows, str(tmp_path / "t"), ["id"]) == 2
     assert corpus.write_once(rows, str(tmp_path / "t"), ["id"]) == 0
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_cleaning_a_column_is_cleaning_in_a_fold(spark):
+    texts = ["Abstract -- We study. " + "x " * 200 + "Keywords a b", "No abstract available " + "y" * 300, "short", None, "a   b\n" + "z " * 300 + " Full Text: PDF", "Graphical Abstract Download " * 2]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    one = {r.i: (r.value, r.fired) for r in cleaning.with_cleaned(d, "t").collect()}
+    two = {r.i: (r.r.value, r.r.fired) for r in d.select("i", cleaning.apply_rules(F.col("t")).alias("r")).collect()}
+    assert {i: v for i, v in one.items() if texts[i] is not None} == {i: v for i, v in two.items() if texts[i] is not None} and one[3][0] is None
