@@ -59,12 +59,16 @@ def n_shingles(n_words: int) -> int:
 
 def of_length(shingles: np.ndarray, n_words: int) -> np.ndarray:
     """A key for a shingle in items of so many words."""
-    return mixed(shingles + _U(n_words) * STEP)
+    return mixed(shingles + _U(n_words * int(STEP) & 0xFFFFFFFFFFFFFFFF))
 
 
 class Bitmap:
     def __init__(self, bits: bytes):
-        self.bytes, self.mask = np.frombuffer(bits, np.uint8), _U(8 * len(bits) - 1)
+        self.raw, self.bytes, self.mask = bits, np.frombuffer(bits, np.uint8), _U(8 * len(bits) - 1)
+
+    def has_one(self, key: int) -> int:
+        at = key & 8 * len(self.raw) - 1
+        return self.raw[at >> 3] >> (at & 7) & 1
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys & self.mask
@@ -82,7 +86,7 @@ class KnownWords(WordHashes):
         if len(self) >= self.most:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
-        value = self[word] = value if self.words.has(np.array([value], _U))[0] else 0
+        value = self[word] = value if self.words.has_one(value) else 0
         return value
 
 
@@ -93,11 +97,15 @@ class Sieve:
         self.words, self.shingles, self.lengths = KnownWords(Bitmap(words)), Bitmap(shingles), sorted(lengths)
         self.short = [n for n in self.lengths if n < SHINGLE]
         self.long = [n for n in self.lengths if n >= SHINGLE]
+        self.bounds: dict[int, int] = {}
 
     def least(self, n_words: int) -> int:
         """Shingles of items that a text of so many words must hold to match any item of SHINGLE words or more."""
-        mine = n_shingles(n_words)
-        return min((in_common(min(mine, m), m) for n in self.long if 100 * mine >= PERCENT * (m := n_shingles(n))), default=1 << 30)
+        n_words = min(n_words, self.lengths[-1])  # beyond the longest item all texts are alike
+        if n_words not in self.bounds:
+            mine = n_shingles(n_words)
+            self.bounds[n_words] = min((in_common(min(mine, m), m) for n in self.long if 100 * mine >= PERCENT * (m := n_shingles(n))), default=1 << 30)
+        return self.bounds[n_words]
 
     def windows(self, text: bytes) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
         """(item's words, starts, window's words, shingles a row a window), equal windows of a text only once."""
