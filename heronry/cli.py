@@ -19,6 +19,8 @@ def _parser() -> argparse.ArgumentParser:
 
     need = {"required": True}
     command("extract", "fields of stored pages (Parquet with page_id, url, html, or a corpus folder)", ("--pages", need), ("--out", need), ("--corpus", {"action": "store_true"}), ("--canonical", {"action": "store_true"}))
+    command("extract-url", "fetch one address and print its fields", ("--url", need))
+    command("extract-urls", "fetch the addresses in a text file and write their fields", ("--file", need), ("--out", need))
     command("list-urls", "the addresses in a text file", ("--file", need))
     command("spider", "fetch the addresses in a text file, into a table or the entries of a corpus", ("--file", need), ("--out", need), ("--corpus", {"action": "store_true"}), ("--overwrite", {"action": "store_true"}))
     command("clean", "empty the corpus entries of the addresses in a text file", ("--file", need), ("--corpus", need))
@@ -48,6 +50,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "extract":
         pages = corpus.read_pages(spark, args.pages) if args.corpus else spark.read.parquet(args.pages)
         (canonical_fields if args.canonical else extract_fields)(pages).write.mode("overwrite").parquet(args.out)
+    elif args.command in ("extract-url", "extract-urls"):
+        urls = spark.createDataFrame([(args.url,)], "url string") if args.command == "extract-url" else corpus.url_list(corpus.read_lines(spark, args.file))
+        fetched = feeds.fetch(urls).select(F.monotonically_increasing_id().alias("page_id"), F.coalesce("response_url", "url").alias("url"), "status", F.col("body").alias("html"))
+        if args.command == "extract-urls":
+            canonical_fields(fetched).write.mode("overwrite").parquet(args.out)
+        else:
+            for row in canonical_fields(fetched).toLocalIterator():
+                print(row["name"], row.value, sep="\t")
     elif args.command == "list-urls":
         for row in corpus.url_list(corpus.read_lines(spark, args.file)).toLocalIterator():
             print(row.url)

@@ -154,3 +154,28 @@ def test_no_fetch(spark):
     row = feeds.fetch(urls, feeds.no_fetch).first()
     assert (row.response_url, row.status, row.body, row.control) == ("http://a.b/c", "", "", None)
     assert urls.first().entry_path == f"/r/{urls.first().entry}" and urls.first().initial_url == "http://a.b/c"
+
+
+def test_command_line(spark, server, tmp_path, capsys):  # noqa: F811
+    from heronry.cli import main
+
+    url, _ = server
+    (tmp_path / "urls.txt").write_text(f"{url}/a\n# no\n{url}/b\n")
+    said = lambda *args: (main([str(a) for a in args]), capsys.readouterr().out)
+    assert said("list-urls", "--file", tmp_path / "urls.txt") == (0, f"{url}/a\n{url}/b\n")
+    assert said("spider", "--file", tmp_path / "urls.txt", "--out", tmp_path / "corpus", "--corpus") == (0, "8 files written\n")
+    assert main(["extract", "--pages", str(tmp_path / "corpus"), "--corpus", "--out", str(tmp_path / "fields")]) == 0
+    assert said("clean", "--file", tmp_path / "urls.txt", "--corpus", tmp_path / "corpus")[1] == "2 entries emptied\n"
+    assert said("extract-url", "--url", f"{url}/a") == (0, "")  # a page without fields
+    assert said("schedule", "every so often")[0] == 1 and len(said("schedule", "every 5 minutes", "--count", "3")[1].split("\n")) == 4
+    root = tmp_path / "logs"
+    assert said("set-cursor", "--root", root, "--role", "extract-fields", "--note", "n1", "--number", "1")[1] == "extract-fields\tn1\t1\tavailable\n"
+    assert said("lock-cursor", "--root", root, "--role", "extract-fields")[1] == "extract-fields\tn1\t1\tlocked\n"
+    notes = spark.createDataFrame([(f"n{i}", i, f"http://a.org/{i}", True) for i in (1, 2)], "id string, number long, url string, validUrl boolean")
+    pages = spark.createDataFrame([("http://a.org/2", None, "200", '<meta name="citation_title" content="T"><meta name="description" content="%s">' % ("We study a thing. " * 15))], "url string, response_url string, status string, html string")
+    notes.write.parquet(str(tmp_path / "notes"))
+    pages.write.parquet(str(tmp_path / "pages"))
+    assert said("run-extraction", "--notes", tmp_path / "notes", "--pages", tmp_path / "pages", "--root", root)[1] == "1 fields changed\n"
+    assert said("show-cursors", "--root", root)[1] == "extract-fields\tn2\t2\tavailable\n"
+    report = said("monitor", "--root", root)[1]
+    assert "Recorded Note Count: 1" in report and "extractor:success: 1" in report
