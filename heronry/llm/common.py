@@ -87,10 +87,10 @@ class Workspace:
         self.made.append(self)
 
     def settle(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = 1000, few: bool = False) -> DataFrame:
-        """The table, read back.  ``few``: narrow rows are dealt anew to three tasks a core, which write a file each; what comes before keeps its own tasks."""
+        """The table, read back.  ``few``: narrow rows are dealt anew to two tasks a core, which write a file each; what comes before keeps its own tasks."""
         path = f"{self.root}/{name}"
         if few:
-            df = df.repartition(3 * max(4, self.spark.sparkContext.defaultParallelism))
+            df = df.repartition(2 * max(4, self.spark.sparkContext.defaultParallelism))
         with small_batches(self.spark, rows):
             df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

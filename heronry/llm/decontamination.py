@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import Workspace, arrow_map, bound_batches, by_bytes, checkpointed, fresh, give_back, pieces, runs_of
+from heronry.llm.common import Workspace, arrow_map, bound_batches, by_bytes, fresh, give_back, pieces, runs_of
 from heronry.llm.words import STEP, WordHashes, grams, mixed
 
 SHINGLE, PERCENT, BITS, RADIUS, BLOCK_BITS = 5, 80, 128, 40, 8
@@ -370,6 +370,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows of one id go together.  Null and empty texts hold nothing and stay.
     """
-    hit = checkpointed(contaminated(docs, benchmark).select("doc_id").distinct())
+    # a written table, whose size is known: a small one spares the documents a shuffle
+    hit = Workspace(docs.sparkSession, "hit").settle(contaminated(docs, benchmark).select("doc_id").distinct(), "hit")
     name = fresh(docs, "_hit")
     return docs.join(hit.withColumnRenamed("doc_id", name), docs.doc_id.eqNullSafe(F.col(name)), "left_anti")

@@ -30,8 +30,8 @@ from heronry.llm.components import connected_components
 from heronry.llm.words import STEP, WordHashes, grams, mixed
 
 ROWS, BANDS, SKETCH_BITS = 5, 36, 512
-#: Rows and bytes of a block of full sets, rows of a block of sketches.
-BLOCK, BLOCK_BYTES, SKETCH_BLOCK = 512, 4_000_000, 256
+#: Rows and bytes of a block of full sets, rows of a block that meets one hub, and of a block of sketches.
+BLOCK, BLOCK_BYTES, HUB_BLOCK, SKETCH_BLOCK = 256, 4_000_000, 128, 256
 _U = np.uint64
 _SEEDS = mixed(np.arange(1, ROWS * BANDS + 1, dtype=_U) * STEP) | _U(1)
 _WORDS = SKETCH_BITS // 64
@@ -253,16 +253,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     met = stars.join(sketches.hint("merge"), "id").join(hub_sketches.hint("merge"), "hub")
     met = work.settle(met.select("hub", "id", "n_bytes", (flips_between(F.col("hub_sketch"), F.col("sketch")) <= most).alias("near")), "met", few=True)
 
-    def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        ids = ids.distinct()
-        texts = docs.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id")
-        return work.settle(full_sets(texts.join(heads.select("id", "sketch").hint("merge"), "id"), n), name, "none")
+    def sets_of(ids: DataFrame, name: str, *hint: str) -> DataFrame:
+        ids = work.settle(ids.distinct(), f"{name}_ids", few=True)
+        for h in hint:
+            ids = ids.hint(h)
+        sketched = heads.select("id", "sketch").join(ids, "id")
+        texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id")
+        return work.settle(full_sets(texts.join(sketched, "id"), n), name, "none")
 
     # a star's hub is its one stranger: it meets the members whose sketch is near its own
     pairs = met.where("near").select("hub", "id", F.col("id").alias("part"), F.lit(False).alias("stranger"), "n_bytes")
     centres = pairs.select("hub").distinct().select("hub", F.col("hub").alias("id"), F.col("hub").alias("part"), F.lit(True).alias("stranger"), F.lit(0).cast("long").alias("n_bytes"))
-    sets = sets_of(pairs.select("id").union(centres.select("id")), "sets")
-    cells = dealt(pairs.union(centres), BLOCK, BLOCK_BYTES).where("role <> 2").join(sets.hint("merge"), "id")
+    sets = sets_of(pairs.select("id").union(centres.select("id")), "sets", "merge")
+    cells = dealt(pairs.union(centres), HUB_BLOCK, BLOCK_BYTES).where("role <> 2").join(sets.hint("merge"), "id")
     direct = work.settle(links_in(cells, percent), "direct", few=True)
     parts = connected_components(direct)
 
@@ -274,14 +277,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     light = dealt(members.withColumn("n_bytes", F.lit(8 * _WORDS)), SKETCH_BLOCK, BLOCK_BYTES).join(sketches.drop("n_bytes").hint("merge"), "id")
     alive = work.settle(near_any(light, percent).distinct(), "alive", few=True)
     rest = work.settle(members.join(alive.hint("merge"), ["hub", "id"]), "rest", few=True)
+    # few ids, most often: without a hint their written size decides whether the texts are shuffled for them
     more = links_in(dealt(rest, BLOCK, BLOCK_BYTES).join(sets_of(rest.select("id"), "more_sets").hint("merge"), "id"), percent)
-
-    links = work.settle(direct.union(more), "links", few=True)
-    whole = connected_components(links)
+    more = work.settle(more, "more", few=True)
+    whole = parts if more.isEmpty() else connected_components(direct.union(more))
     final = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     own = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
     out = own.join(final, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    work.drop("heads", "stars", "met", "sets", "direct", "placed", "members", "alive", "rest", "more_sets", "links")
+    work.drop("heads", "stars", "met", "sets_ids", "sets", "direct", "placed", "members", "alive", "rest", "more_sets_ids", "more_sets", "more")
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
