@@ -207,7 +207,8 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
     placed = _with_first(work, repeated, "reach", "first_reaches")
     whole = placed.where("later").select("doc_id", "sig", "start", "end", F.col("least.doc_id").alias("src_doc_id"))
     found = placed.where("mixed and not later").groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    some = docs.withColumn("sig", F.xxhash64("text")).join(found, ["doc_id", "sig"])
+    # a merge join at every size, here and for the cuts: what is shuffled then grows as the input does
+    some = docs.withColumn("sig", F.xxhash64("text")).join(found.hint("merge"), ["doc_id", "sig"])
     singles = _with_first(work, work.settle(single_passages(some), "singles"), "passage", "first_passages").where("later")
     single = singles.select("doc_id", "sig", "start", (F.col("start") + LEAST).alias("end"), F.col("least.doc_id").alias("src_doc_id"))
     spans = whole.union(single).union(inside)
@@ -242,7 +243,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     schema, names = docs.schema, docs.columns
     cut_id, cut_sig, cut_spans = (fresh(docs, n) for n in ("_cut_id", "_cut_sig", "_cut_spans"))
-    spans = repeat_spans(docs).toDF(cut_id, cut_sig, cut_spans)
+    spans = repeat_spans(docs).toDF(cut_id, cut_sig, cut_spans).hint("merge")
     joined = docs.join(spans, (docs.doc_id.cast("long") == F.col(cut_id)) & (F.xxhash64(docs.text) == F.col(cut_sig)), "left")
 
     def make():
