@@ -113,7 +113,8 @@ def seek_all(notes: DataFrame, positions: DataFrame) -> DataFrame:
     valid = notes.filter("validUrl").select("number").distinct()
     marks = valid.select("number", F.lit(True).alias("valid")).unionByName(positions.select("number", F.lit(False).alias("valid")))
     marks = in_ranges(marks, ["number"], name="b").withColumn("v", F.when(F.col("valid"), F.col("number")))
-    up = Window.partitionBy("b").orderBy("number").rangeBetween(1, Window.unboundedFollowing)
+    # running frames both ways: one that ends with the partition would be gone through anew for each row
+    up = Window.partitionBy("b").orderBy(F.col("number").desc()).rangeBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("b").orderBy("number").rangeBetween(Window.unboundedPreceding, -1)
     local = marks.withColumn("next", F.min("v").over(up)).withColumn("prev", F.max("v").over(down)).filter("not valid")
     bounds = marks.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
