@@ -1,6 +1,6 @@
 """Operators over ordered sequences: run lengths, chunks, stanzas, slices, folds, request cycles.
 
-Numbering, runs and chunks cut a sequence into ranges of its first order column and carry counts over the cuts, so that a key with most of the
+Numbering, runs, chunks and stanzas cut a sequence into ranges of its whole order and carry counts or states over the cuts (see ``ranges``), so that a key with most of the
 rows, or a table that is one single sequence (no keys), is not one task's work.  Where a key's whole sequence is the result
 (``gather``, ``partition_results``, a stanza's text), it is one row and so is put together in one place.
 """
@@ -12,64 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _range_value(df: DataFrame, column: str) -> Column:
-    """A number that never falls as the column rises."""
-    kind = df.schema[column].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(F.col(column)).cast("double")
-    if kind in ("string", "binary"):  # the first six bytes
-        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(column).cast("double")
-
-
-def in_ranges(df: DataFrame, order: list[str], parts: int | None = None, name: str = "_range") -> DataFrame:
-    """``df`` with the number of the range that a row's first order column lies in; ranges have about equally many rows, nulls are in the first.
-
-    The bounds are quantiles, a scalar subquery of one row.
-    """
-    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    value = _range_value(df, order[0])
-    bounds = df.select(value.alias("x")).agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 50 * parts).alias("b"))
-    below = F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < value))
-    return df.withColumn("_bounds", bounds.scalar()).withColumn(name, F.greatest(F.coalesce(below, F.lit(0)), F.lit(0))).drop("_bounds")
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "_i") -> DataFrame:
-    """``df`` with each row's number within its keys, from 0: the number within its range, and how many rows the ranges before have."""
-    d = in_ranges(df, order)
-    counts = d.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = d.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
-    return _null_safe_join(local, offsets, [*keys, "_range"]).withColumn(name, F.col("_local") - 1 + F.col("_before")).drop("_local", "_before", "_range")
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Equi join in which null keys are equal, with the left side's keys."""
-    named = right.select(*(F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns))
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(named, cond).drop(*(f"_r_{c}" for c in on))
+from heronry.operators.ranges import Ranges, numbered
 
 
 def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str, by: Column | None = None) -> DataFrame:
     """(keys, run, value, n): adjacent rows of equal ``by`` (the value itself by default) as one, with the first value."""
-    d = in_ranges(df.withColumn("_by", by if by is not None else F.col(value)), order)
-    w = Window.partitionBy(*keys, "_range").orderBy(*order)
-    d = d.withColumn("_local", F.row_number().over(w)).withColumn("_prev", F.lag("_by").over(w))
-    ends = d.groupBy(*keys, "_range").agg(F.max_by(F.struct("_by"), "_local").alias("_last"))
-    w_ranges = Window.partitionBy(*keys).orderBy("_range")  # a row a range
-    ends = ends.select(*keys, "_range", F.lag("_last").over(w_ranges).alias("_carried"))
+    ranges = Ranges(df.withColumn("_by", by if by is not None else F.col(value)), keys, order)
+    w = ranges.window()
+    d = ranges.rows.withColumn("_local", F.row_number().over(w)).withColumn("_prev", F.lag("_by").over(w))
+    d = ranges.with_carried(d, [F.max_by(F.struct("_by"), "_local").alias("_last")], {"_carried": F.last("_last")})
     first = F.when(F.col("_carried").isNull(), True).otherwise(~F.col("_by").eqNullSafe(F.col("_carried._by")))
-    d = _null_safe_join(d, ends, [*keys, "_range"]).withColumn("_new", F.when(F.col("_local") == 1, first).otherwise(~F.col("_by").eqNullSafe(F.col("_prev"))).cast("long"))
-    totals = d.groupBy(*keys, "_range").agg(F.sum("_new").alias("_runs"))
-    totals = totals.select(*keys, "_range", F.coalesce(F.sum("_runs").over(w_ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    d = d.withColumn("_within", F.sum("_new").over(w)).drop("_prev", "_carried")
-    d = _null_safe_join(d, totals, [*keys, "_range"]).withColumn("run", F.col("_within") + F.col("_before"))
+    d = d.withColumn("_new", F.when(F.col("_local") == 1, first).otherwise(~F.col("_by").eqNullSafe(F.col("_prev"))).cast("long"))
+    d = ranges.with_carried(d.drop("_prev", "_carried"), [F.sum("_new").alias("_runs")], {"_before": F.sum("_runs")})
+    d = d.withColumn("run", F.sum("_new").over(w) + F.coalesce("_before", F.lit(0)))
     return d.groupBy(*keys, "run").agg(F.min_by(value, F.struct("_range", "_local")).alias(value), F.count("*").alias("n"))
 
 
@@ -91,14 +46,22 @@ def chunks(df: DataFrame, keys: list[str], order: list[str], value: str, n: int,
 
 
 def stanzas(df: DataFrame, keys: list[str], order: list[str], value: str, starts: Column, ends: Column) -> DataFrame:
-    """(keys, stanza, text): rows from a start to the next end, joined; rows outside are dropped, an end alone gives an empty text, an open tail none."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("_i", F.row_number().over(w)).withColumn("_s", starts).withColumn("_e", ends)
-    d = d.withColumn("stanza", F.coalesce(F.sum(F.col("_e").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy(*keys, "stanza").orderBy("_i")
-    d = d.withColumn("_in", F.max(F.col("_s").cast("int")).over(inner)).withColumn("_closed", F.max(F.col("_e").cast("int")).over(Window.partitionBy(*keys, "stanza")))
-    d = d.filter("_closed = 1")
-    return d.groupBy(*keys, "stanza").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_in") == 1, F.struct("_i", F.col(value).alias("v"))))), lambda x: x["v"]), "").alias("text"))
+    """(keys, stanza, text): rows from a start to the next end, joined; rows outside are dropped, an end alone gives an empty text, an open tail none.
+
+    The machine has two states, outside and inside a stanza.  A start leads inside, an end outside, any other row changes nothing; so the rows of a range, whatever
+    their number, are one function of the state: the last start or end among them, or no change.  These are composed over the ranges of a
+    key, of which there is a row each, and what comes out is the state in which a range begins.  Numbers of stanzas are carried in the same way, as counts of ends.
+    """
+    ranges = Ranges(df.withColumn("_s", F.coalesce(starts, F.lit(False))).withColumn("_e", F.coalesce(ends, F.lit(False))), keys, order)
+    earlier = ranges.window().rowsBetween(Window.unboundedPreceding, -1)
+    d = ranges.rows.withColumn("_leads", F.when(F.col("_e"), F.lit(False)).when(F.col("_s"), F.lit(True)))
+    d = d.withColumns({"_at": F.row_number().over(ranges.window()), "_inside": F.last("_leads", ignorenulls=True).over(earlier), "_ends": F.sum(F.col("_e").cast("long")).over(earlier)})
+    totals = [F.max_by("_leads", F.when(F.col("_leads").isNotNull(), F.col("_at"))).alias("_state"), F.sum(F.col("_e").cast("long")).alias("_n")]
+    d = ranges.with_carried(d, totals, {"_begins": F.last("_state", ignorenulls=True), "_before": F.sum("_n")})
+    kept = F.coalesce("_inside", "_begins", F.lit(False)) | F.col("_s")
+    d = d.select(*keys, (F.coalesce("_ends", F.lit(0)) + F.coalesce("_before", F.lit(0))).alias("stanza"), F.when(kept, F.struct("_range", "_at", F.col(value).alias("v"))).alias("_row"), "_e").filter("_e or _row is not null")
+    out = d.groupBy(*keys, "stanza").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_row")), lambda x: x["v"]), "").alias("text"), F.max("_e").alias("_closed"))
+    return out.filter("_closed").drop("_closed")
 
 
 def slice_rows(df: DataFrame, order: list[str], start: int, length: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.urls import is_url
-from heronry.operators.sequences import in_ranges
+from heronry.operators.ranges import Ranges
 
 #: The states, in order, and the cursors' roles.
 WORKFLOW = ("unknown", "processing", "spider:begun", "spider:success", "spider:fail", "extractor:begun", "extractor:success", "extractor:fail", "fields:selected", "fields:posted")
@@ -112,7 +112,7 @@ def seek_all(notes: DataFrame, positions: DataFrame) -> DataFrame:
     """
     valid = notes.filter("validUrl").select("number").distinct()
     marks = valid.select("number", F.lit(True).alias("valid")).unionByName(positions.select("number", F.lit(False).alias("valid")))
-    marks = in_ranges(marks, ["number"], name="b").withColumn("v", F.when(F.col("valid"), F.col("number")))
+    marks = Ranges(marks, [], ["number"], name="b", like=positions).rows.withColumn("v", F.when(F.col("valid"), F.col("number")))
     # running frames both ways: one that ends with the partition would be gone through anew for each row
     up = Window.partitionBy("b").orderBy(F.col("number").desc()).rangeBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("b").orderBy("number").rangeBetween(Window.unboundedPreceding, -1)

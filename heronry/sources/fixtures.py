@@ -35,7 +35,7 @@ def as_batches(notes: DataFrame, size: int) -> DataFrame:
 
 def first_pages(feed: DataFrame, pages: int = 5, each: int = 10, page_size: int = 100) -> DataFrame:
     """The first ``each`` notes of the first ``pages`` pages."""
-    from heronry.operators.sequences import numbered
+    from heronry.operators.ranges import numbered
 
     d = numbered(feed, [], ["number"]).withColumns({"page": F.floor(F.col("_i") / page_size), "at": F.col("_i") % page_size})
     return d.where((F.col("page") < pages) & (F.col("at") < each)).drop("_i")
@@ -43,7 +43,7 @@ def first_pages(feed: DataFrame, pages: int = 5, each: int = 10, page_size: int
 
 def write_times(rows: DataFrame, order: list[str], now: str, seed: int = 0) -> DataFrame:
     """``rows`` with ``updatedAt``: the first two weeks before ``now``, each following one up to three hours after the one before it."""
-    from heronry.operators.sequences import numbered
+    from heronry.operators.ranges import numbered
 
     d = numbered(rows, [], order)
     steps = F.sum(F.pmod(F.xxhash64(F.col("_i"), F.lit(seed)), F.lit(3 * 3600)))
