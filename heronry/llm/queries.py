@@ -86,13 +86,19 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronry.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronry.llm.prefix_trie import rebuilt_trie
 
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op4_license_scan, op5_suffix_dedup, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op9_decontamination, op10_token_store, op11_warc, op13_prefix_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_host_reputation, op3_near_duplicates, op4_license_scan, op5_suffix_dedup, op6_quality_rules, op7_byte_bpe, op8_rule_ensemble, op9_decontamination, op10_token_store, op11_warc, op12_whitening, op13_prefix_trie)}
 _SQL: dict[str, Callable[[], str]] = {"op2_host_reputation": lambda: host_reputation.SQL, "op3_near_duplicates": lambda: odd_sketch.sql(4, 80), "op4_license_scan": license_scan.sql, "op6_quality_rules": lambda: quality_rules.SQL, "op11_warc": lambda: warc.SQL, "op13_prefix_trie": lambda: prefix_trie.SQL}
 
 
