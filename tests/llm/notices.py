@@ -51,3 +51,23 @@ PLAIN = [
     "La licence de musique dure trois ans.", "El carnet y la licencia de obras se piden en el ayuntamiento.", "Die Lizenz für den Verein wurde vom Verband erteilt.", "His pilot license was issued in 1987.", "The clause of the contract about the source was removed.",
     "Boost your sales with our software.", "Mozilla and Eclipse are foundations.", "The gnu is a large antelope.", "We distribute food under the terms of the agreement with the city.", "The zero of the function lies at 1.0.", "Nc and sa are abbreviations of two states.", "",
 ]
+#: Notices of several licences, addresses, clauses, and licences of no listed family, with all that they name.
+SEVERAL = [
+    ({"mit", "apache"}, "SPDX-License-Identifier: MIT OR Apache-2.0"),
+    ({"mit", "apache"}, "Dual licensed under the MIT License and the Apache License, Version 2.0."),
+    ({"mit", "apache"}, "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ({"gpl", "bsd"}, "SPDX-License-Identifier: GPL-2.0-only OR BSD-3-Clause"),
+    ({"mit", "cc-by"}, "The code is under the MIT license, the documentation under CC BY 4.0."),
+    ({"apache", "cc-by-sa"}, "Content: CC BY-SA 4.0, code: Apache-2.0"),
+    ({"gpl", "mpl"}, "This file is available under the GNU General Public License version 2 or the Mozilla Public License, version 2.0."),
+    ({"gpl", "lgpl"}, "GNU Lesser General Public License or GNU General Public License"),
+    ({"mpl", "gpl", "lgpl"}, "SPDX-License-Identifier: (MPL-2.0 OR GPL-2.0-or-later OR LGPL-2.1-or-later)"),
+    ({"bsd", "isc"}, "Released under the BSD 2-Clause License or the ISC License, Copyright 2020"),
+    ({"mit"}, "https://opensource.org/licenses/MIT"),
+    ({"cc-by"}, "http://creativecommons.org/licenses/by/4.0/"),
+    ({"cc-by-nc-sa"}, "https://creativecommons.org/licenses/by-nc-sa/4.0/"),
+    ({"mit"}, "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ({"unknown"}, "EUPL-1.2"),
+    ({"unknown"}, "GNU FDL 1.3"),
+    (set(), "The license fee for the software was paid by the university."),
+]
