@@ -26,23 +26,24 @@ class Ranges:
     """``rows`` with the number of each row's range in column ``name``; ranges rise with (keys, order).
 
     Nulls come first, as they do in Spark's orders; null keys are equal.  Rows that are equal in keys and order lie in one range.  ``like``: rows that are cheaper to
-    come by and spread alike, for the bounds.
+    come by and spread alike, for the bounds.  ``hot``: in place of ``HOT``, and ``ROWS`` in proportion.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], parts: int | None = None, name: str = "_range", like: DataFrame | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], parts: int | None = None, name: str = "_range", like: DataFrame | None = None, hot: int | None = None):
         self.keys, self.order, self.name, self.spark = keys, [c for c in order if c not in keys], name, df.sparkSession
         parts = parts or max(2, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         like = df if like is None else like
         whole = like.select(*keys, *self.order)
         self.schema, self.bounds, self.hot = whole.schema, [], None
         n = whole.count()
-        most = max(HOT, n // (4 * parts))
+        hot_rows = hot or HOT
+        most = max(hot_rows, n // (4 * parts))
         if keys and n > most:
             hot = like.groupBy(*keys).count().where(F.col("count") > most).select(*keys).collect()  # not more than four a partition
             self.hot = self.spark.createDataFrame(hot, StructType([f for f in self.schema if f.name in keys])) if hot else None
             whole = self._of_hot(whole) if hot else whole.limit(0)
             n = whole.count() if hot else 0
-        parts = min(parts, n // ROWS) if n > most else 1
+        parts = min(parts, n * HOT // (hot_rows * ROWS)) if n > most else 1
         if parts > 1:
             texts = [F.col(f.name).cast("string") for f in self.schema] if self._plain() else []  # give the same values when they are cast back, whatever the time zone of Python
             some = whole.sample(min(1.0, SAMPLED * parts / n), 11).sort(*whole.columns).select(*whole.columns, F.array(*texts)).collect()  # about SAMPLED rows a range
