@@ -226,7 +226,7 @@ def runs_of_equals(suffixes: DataFrame) -> DataFrame:
 
     They are sorted by (h, reach, place) and compared with the neighbour before; the first of a run is carried on along it.
     """
-    ranges = Ranges(suffixes, ["h"], ["reach", "doc_id", "start"])
+    ranges = Ranges(suffixes, ["h"], ["reach", "doc_id", "start"], hot=1000)
     w, place = ranges.window(), F.struct("doc_id", "start")
     d = ranges.rows.withColumns({"_k": F.row_number().over(w), "_before": F.lag("reach").over(w)})
     d = d.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("_before") != F.col("reach")), F.struct("reach", place.alias("place"))))
