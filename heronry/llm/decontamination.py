@@ -4,10 +4,12 @@
    those that don't leaves few windows; the bound is a proven one and drops none that could match.  A text shorter than an
    item is one window, with the bound for the two sizes.  What occurs in items is asked of a bitmap of bounded size, which
    may say yes too often, and so lets a few windows more through, but never no.
-2. Windows meet the items of their length in cells of bounded size.  There the 128-bit SimHash of a window's shingles, weighted by how often they
+2. A window and an item at the threshold have a shingle in common even among the few rarest of each (of m and n shingles with at least c in common, the m - c + 1 and
+   n - c + 1 that come first in one order of all; the order is by how many items have a shingle).  So windows meet items in cells of one such shingle and
+   bounded size.  There the 128-bit SimHash of a window's shingles, weighted by how often they
    occur, is looked up in a multi-index: 16 blocks of 8 bits.  Of a fingerprint within ``RADIUS`` bits at least one block is within
    RADIUS // 16 bits, and each block's table has the items for all such values; so every item within the radius is found.  At the threshold the distance
-   stays within it by five standard deviations.
+   stays within it by five standard deviations.  (Blocks alone would be no key to join on: a radius that wide lets 92 of 100 strangers meet in some block.)
 3. The weighted Jaccard similarity (sum of least over sum of greatest counts) of 5-word shingles confirms a match.
 
 The documents are read once, whatever the number of items; only the bitmap and the items' lengths come to the driver.
@@ -15,13 +17,12 @@ The documents are read once, whatever the number of items; only the bitmap and t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronry.llm.common import Workspace, arrow_map, bound_batches, by_bytes, fresh, give_back, pieces, runs_of
@@ -34,7 +35,7 @@ BITS_A_KEY, MOST_BITS = 16, 28
 CHUNK_BITS = 1 << 15
 _U = np.uint64
 _LONGS = BITS // 64
-#: About so many items and windows meet in a cell.
+#: About so many items and windows meet in a cell at most.
 ITEMS, WINDOWS = 2048, 8192
 
 
@@ -48,6 +49,19 @@ def fingerprints(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def elements(shingles: np.ndarray) -> np.ndarray:
+    """Rows of shingle hashes with each repetition in a row made a value of its own, so that weighted similarity is that of sets."""
+    order = np.argsort(shingles, axis=1, kind="stable")
+    ranked = np.take_along_axis(shingles, order, axis=1)
+    at = np.arange(shingles.shape[1])
+    again = np.zeros(shingles.shape, bool)
+    again[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
+    begins = np.maximum.accumulate(np.where(again, 0, at), axis=1)
+    out = np.empty_like(shingles)
+    np.put_along_axis(out, order, mixed(ranked + (at - begins).astype(_U) * STEP), axis=1)
+    return out
+
+
 def in_common(m: int, n: int) -> int:
     """Of m and n shingles at least so many are in common where the similarity is at the threshold."""
     return -(-PERCENT * (m + n) // (100 + PERCENT))
@@ -156,7 +170,7 @@ class Sieve:
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_words, words, shingles, print) of the items with a word; words and shingles as hashes."""
+    """(item_id, n_words, words, shingles, elements, print) of the items with a word; words, shingles and elements as hashes."""
 
     def make():
         memo = WordHashes()
@@ -167,16 +181,16 @@ def item_table(benchmark: DataFrame) -> DataFrame:
                 hashes = memo.of(text.lower().split())
                 if len(hashes):
                     shingles = grams(hashes, SHINGLE)
-                    rows.append((item, len(hashes), np.unique(hashes).view(np.int64), shingles.view(np.int64), fingerprints(shingles[None, :])[0].view(np.int64)))
+                    rows.append((item, len(hashes), np.unique(hashes).view(np.int64), shingles.view(np.int64), elements(shingles[None, :])[0].view(np.int64), fingerprints(shingles[None, :])[0].view(np.int64)))
             if not rows:
                 return None
-            kinds = (pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3)
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["item_id", "n_words", "words", "shingles", "print"])
+            kinds = (pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["item_id", "n_words", "words", "shingles", "elements", "print"])
 
         return step
 
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    return arrow_map(items, make, "item_id long, n_words int, words array<long>, shingles array<long>, print array<long>")
+    return arrow_map(items, make, "item_id long, n_words int, words array<long>, shingles array<long>, elements array<long>, print array<long>")
 
 
 def bitmap(keys: DataFrame) -> bytes:
@@ -205,8 +219,8 @@ def bitmap(keys: DataFrame) -> bytes:
 
 
 def find_windows(docs: DataFrame, words: bytes, shingles: bytes, lengths: list[int]) -> DataFrame:
-    """(row, doc_id, n, start, n_words, shingles, print) from (row, doc_id, text); n is the word count of the items to look for."""
-    names = ["row", "doc_id", "n", "start", "n_words", "shingles", "print"]
+    """(row, doc_id, n, start, n_words, elements, print) from (row, doc_id, text); n is the word count of the items to look for."""
+    names = ["row", "doc_id", "n", "start", "n_words", "elements", "print"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, held, size = Sieve(words, shingles, lengths), [[] for _ in names], 0
@@ -215,7 +229,8 @@ def find_windows(docs: DataFrame, words: bytes, shingles: bytes, lengths: list[i
             counts = [len(x) for x in held[3]]
             many = lambda c: np.repeat(np.array(held[c], np.int64), counts)
             widths = np.repeat([x.shape[1] for x in held[5]], counts)
-            sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32), np.concatenate([x.ravel() for x in held[5]]).view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(offsets, np.concatenate([x.ravel() for x in held[5]]).view(np.int64))
             prints = np.concatenate(held[6]).view(np.int64)
             prints = pa.ListArray.from_arrays(np.arange(0, prints.size + 1, _LONGS, dtype=np.int32), prints.ravel())
             ids = pa.array([i for i, n in zip(held[1], counts, strict=True) for _ in range(n)], "int64")
@@ -229,7 +244,7 @@ def find_windows(docs: DataFrame, words: bytes, shingles: bytes, lengths: list[i
             for first, texts in pieces(batch.column(2)):
                 for i, text in enumerate(texts, first):
                     for n, starts, width, found in sieve.windows(text):
-                        for c, v in zip(held, (rows[i], ids[i], n, starts, width, found, fingerprints(found)), strict=True):
+                        for c, v in zip(held, (rows[i], ids[i], n, starts, width, elements(found), fingerprints(found)), strict=True):
                             c.append(v)
                         size += found.size
                         if size > 500_000:
@@ -241,7 +256,7 @@ def find_windows(docs: DataFrame, words: bytes, shingles: bytes, lengths: list[i
         give_back()
 
     bound_batches(docs.sparkSession)
-    return by_bytes(docs.select("row", "doc_id", "text")).mapInArrow(run, "row long, doc_id long, n int, start int, n_words int, shingles array<long>, print array<long>")
+    return by_bytes(docs.select("row", "doc_id", "text")).mapInArrow(run, "row long, doc_id long, n int, start int, n_words int, elements array<long>, print array<long>")
 
 
 class Index:
@@ -254,9 +269,9 @@ class Index:
         reach = RADIUS // blocks.shape[1]
         #: for each 64 items, block and value of the block: a bit for each item within reach of the value
         self.tables = np.zeros((-(-len(prints) // 64), blocks.shape[1], len(values)), _U)
-        for k, own in enumerate(blocks):
-            near = np.bitwise_count(values[None, :] ^ own[:, None]) <= reach
-            self.tables[k // 64][near] |= _U(1 << k % 64)
+        for lo in range(0, len(blocks), 64):
+            near = np.bitwise_count(values ^ blocks[lo : lo + 64, :, None]) <= reach
+            self.tables[lo // 64] = (near.astype(_U) << np.arange(len(near), dtype=_U)[:, None, None]).sum(axis=0, dtype=_U)
 
     def near(self, prints: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) within the radius."""
@@ -271,59 +286,69 @@ class Index:
         return out
 
 
-def dealt(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows and the items of their length, each window with each item, in cells (n, i, w) of bounded size; role 0 are items, 1 windows."""
-    blocks = lambda df, most, name: F.broadcast(df.groupBy("n").agg(F.ceil(F.count("*") / most).cast("int").alias(name)))  # noqa: E731  a row a length, of which there are no more than words in the longest item
-    items = items.withColumnRenamed("n_words", "n").join(blocks(windows, WINDOWS, "n_w"), "n")
-    windows = windows.join(blocks(windows, WINDOWS, "n_w"), "n").join(blocks(items, ITEMS, "n_i"), "n")
-    items = items.join(blocks(items, ITEMS, "n_i"), "n")
+def rarest(rows: DataFrame, name: str, common: DataFrame, most: Column) -> DataFrame:
+    """(name, n, e) of (name, n, elements): the first ``most`` elements, in order of how many items of n words have them; those of no item come first, and are left out then."""
+    each = rows.select(name, "n", most.cast("int").alias("most"), F.explode("elements").alias("e")).join(common, ["n", "e"], "left")
+    listed = each.groupBy(name, "n", "most").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "e"))).alias("es"))  # as many as shingles
+    return listed.select(name, "n", F.explode(F.slice("es", 1, F.col("most"))).alias("x")).where("x.items > 0").select(name, "n", "x.e")
+
+
+def dealt(windows: DataFrame, items: DataFrame, work: Workspace) -> DataFrame:
+    """Windows (w_row) and items (i_row) that share one of their rarest elements, in cells (n, e, i, w) of bounded size; role 0 are items, 1 windows.
+
+    Elements that windows or items alone have are no cell.  Where more than a cell's fill share one, both sides are dealt to blocks by hash, and each block of one side meets each of the other.
+    """
+    items = items.withColumnRenamed("n_words", "n")
+    least = lambda m, w: F.floor((PERCENT * (m + w) + 99 + PERCENT) / (100 + PERCENT))  # noqa: E731  in_common
+    shingled = lambda c: F.greatest(F.lit(1), F.col(c) - SHINGLE + 1)
+    m, w = shingled("n"), shingled("n_words")
+    shortest = F.floor((PERCENT * m + 99) / 100)  # a text of fewer shingles matches no item of m
+    common = work.settle(items.select("n", F.explode("elements").alias("e")).groupBy("n", "e").agg(F.count("*").alias("items")), "common")
+    of_windows = work.settle(rarest(windows, "w_row", common, w - least(m, w) + 1), "of_windows")
+    of_items = work.settle(rarest(items, "i_row", common, m - least(m, shortest) + 1), "of_items")
+    fill = lambda d, most, name: d.groupBy("n", "e").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    cells = work.settle(fill(of_windows, WINDOWS, "n_w").join(fill(of_items, ITEMS, "n_i"), ["n", "e"]), "cells")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    mine = lambda key, c: F.pmod(F.xxhash64(*key), F.col(c)).cast("int")
+    mine = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
     none = F.lit(None).cast("long")
-    left = items.select("n", mine(["item_id"], "n_i").alias("i"), every("n_w").alias("w"), F.lit(0).alias("role"), "item_id", none.alias("row"), none.alias("doc_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), "shingles", "print")
-    right = windows.select("n", every("n_i").alias("i"), mine(["row", "start"], "n_w").alias("w"), F.lit(1).alias("role"), none.alias("item_id"), "row", "doc_id", "start", "n_words", "shingles", "print")
-    return left.union(right)
+    left = of_items.join(cells, ["n", "e"]).select("n", "e", mine("i_row", "n_i").alias("i"), every("n_w").alias("w"), "i_row").join(items.select("i_row", "print"), "i_row")
+    right = of_windows.join(cells, ["n", "e"]).select("n", "e", every("n_i").alias("i"), mine("w_row", "n_w").alias("w"), "w_row").join(windows.select("w_row", "print"), "w_row")
+    return left.select("n", "e", "i", "w", F.lit(0).alias("role"), F.col("i_row").alias("id"), "print").union(right.select("n", "e", "i", "w", F.lit(1).alias("role"), "w_row", "print"))
 
 
-def matches(cells: DataFrame) -> DataFrame:
-    """(row, doc_id, item_id, start, n_words, similarity) of the windows and items at the threshold or above."""
+def candidates(cells: DataFrame) -> DataFrame:
+    """(w_row, i_row) of the windows and items of a cell whose SimHashes are within the radius; a pair that meets in several cells comes as often."""
 
     def step(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         n = int((rows.column("role").to_numpy() == 0).sum())
         if not 0 < n < rows.num_rows:
             return None
-        prints = rows.column("print").flatten().to_numpy().view(_U).reshape(-1, _LONGS)
-        sets, counts = rows.column("shingles"), {}
-
-        def count(k: int) -> Counter:
-            if k not in counts:
-                counts[k] = Counter(sets[k].values.to_pylist())
-            return counts[k]
-
+        prints, ids = rows.column("print").flatten().to_numpy().view(_U).reshape(-1, _LONGS), rows.column("id").to_numpy()
         index, found = Index(prints[:n]), []
         for lo in range(n, rows.num_rows, 4096):
-            for x, k in index.near(prints[lo : lo + 4096]):
-                a, b = Counter(sets[lo + x].values.to_pylist()), count(k)
-                both = sum((a & b).values())
-                either = a.total() + b.total() - both
-                if 100 * both >= PERCENT * either:
-                    found.append((lo + x, k, both / either))
+            found += [(lo + x, k) for x, k in index.near(prints[lo : lo + 4096])]
         if not found:
             return None
-        w, k, share = (np.array(c) for c in zip(*found, strict=True))
-        take = lambda name, at: rows.column(name).take(pa.array(at))
-        columns = [take("row", w), take("doc_id", w), take("item_id", k), take("start", w), take("n_words", w), pa.array(share)]
-        return pa.record_batch(columns, ["row", "doc_id", "item_id", "start", "n_words", "similarity"])
+        w, k = np.array(found, np.int64).T
+        return pa.record_batch([pa.array(ids[w]), pa.array(ids[k])], ["w_row", "i_row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs_of(batches, 3):
+        for rows in runs_of(batches, 4):
             out = step(rows)
             if out is not None:
                 yield out
         give_back()
 
     bound_batches(cells.sparkSession)
-    return cells.repartition("n", "i", "w").sortWithinPartitions("n", "i", "w", "role").mapInArrow(run, "row long, doc_id long, item_id long, start int, n_words int, similarity double")
+    return cells.repartition("n", "e", "i", "w").sortWithinPartitions("n", "e", "i", "w", "role").mapInArrow(run, "w_row long, i_row long")
+
+
+def verified(pairs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, doc_id, item_id, start, n_words, similarity) of the pairs at the threshold or above, by all their shingles."""
+    mine, theirs = windows.select("w_row", "row", "doc_id", "start", "n_words", F.col("elements").alias("ours")), items.select("i_row", "item_id", F.col("elements").alias("theirs"))
+    met = pairs.join(mine, "w_row").join(theirs, "i_row").withColumn("both", F.size(F.array_intersect("ours", "theirs")))
+    either = F.size("ours") + F.size("theirs") - F.col("both")
+    return met.where(100 * F.col("both") >= PERCENT * either).select("row", "doc_id", "item_id", "start", "n_words", (F.col("both") / either).alias("similarity"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -332,19 +357,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs without ASCII white space, A-Z lower-cased.  Items with fewer than 5 words have the whole sequence as one shingle;
     null or empty items and texts match nothing, and so it is with empty tables.  A text shorter than an item is compared with it as a whole.  Items of equal text match alike, each
     under its own id; items with a null id are left out.  A row in gives its own matches, its id repeated or null.
-    An item that many texts hold costs no task more than another: its windows are dealt over cells by hash.
+    An item that many texts hold, or a text that many items have, costs no task more than another: windows and items of a cell are dealt by hash.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "decontamination")
-    items = work.settle(item_table(benchmark), "items")
+    items = work.settle(item_table(benchmark).withColumn("i_row", F.monotonically_increasing_id()), "items")
     lengths = [r.n_words for r in items.select("n_words").distinct().collect()]  # not more than the longest item has words
     if not lengths:
         return spark.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, similarity double")
     words = bitmap(items.select(F.explode("words").alias("key")))
     shingles = bitmap(_shingle_keys(items))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    windows = work.settle(find_windows(docs, words, shingles, lengths), "windows")
-    found = matches(dealt(windows, items))
+    windows = work.settle(find_windows(docs, words, shingles, lengths).withColumn("w_row", F.monotonically_increasing_id()), "windows")
+    pairs = work.settle(candidates(dealt(windows, items, work)).distinct(), "pairs")
+    found = verified(pairs, windows, items)
     best = found.groupBy("row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("late"), "n_words", "doc_id")).alias("b"))
     return best.select("b.doc_id", "item_id", (-F.col("b.late")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"), "b.similarity")
 

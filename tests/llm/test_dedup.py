@@ -335,3 +335,19 @@ def test_adjoining_repeats_keep_their_sources(spark):
     got = sorted((r.doc_id, r.start_word, r.end_word, r.src_doc_id) for r in sd.repeated_passages(docs).collect())
     assert got == [(2, 0, 60, 0), (2, 60, 130, 1), (3, 0, 60, 0), (4, 0, 55, 0), (4, 55, 115, 1)]
     assert {r.doc_id: r.text for r in sd.without_repeats(docs).collect()} == {0: texts[0], 1: texts[1], 3: " ".join(prose(6002, 9).split())}
+
+
+def test_many_items_under_one_id(spark):
+    """Items with a common beginning, most of them under one id, and texts that many items have, are dealt by content."""
+    head, texts = prose(9000, 12), [prose(9100 + k, 18) for k in range(60)]
+    bench = spark.createDataFrame([(1 if k % 3 else k, f"{head} {t}") for k, t in enumerate(texts)] + [(500 + k, prose(9001, 30)) for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{prose(9200 + k, 10)} {head} {t} {prose(9300 + k, 9)}", None, None, None) for k, t in enumerate(texts)] + [(900, prose(9001, 30), None, None, None)], DOCS)
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()}
+    assert got == {(k, 1 if k % 3 else k) for k in range(60)} | {(900, 500 + k) for k in range(40)}
+
+
+def test_elements_make_sets_of_multisets():
+    rows = np.array([[5, 3, 5, 5], [1, 2, 3, 4], [7, 7, 8, 8]], np.uint64)
+    out = dc.elements(rows)
+    assert [len(set(r)) for r in out.tolist()] == [4, 4, 4]
+    assert len(set(out[0].tolist()) & set(dc.elements(np.array([[5, 9, 5, 3]], np.uint64))[0].tolist())) == 3
