@@ -169,7 +169,7 @@ def intervals(rows: DataFrame, words: str, lengths: range, name: str) -> DataFra
 
     A suffix and its neighbour are in one interval for all lengths up to that of their common prefix.  Numbers are unique within h.
     """
-    ranges = Ranges(rows, ["h"], [words, "doc_id", "at"])
+    ranges = Ranges(rows, ["h"], [words, "doc_id", "at"], hot=1000)
     w = ranges.window()
     d = ranges.rows.withColumns({"_k": F.row_number().over(w), "_before": F.lag(words).over(w)})
     d = ranges.with_carried(d, [F.max_by(words, "_k").alias("_last")], {"_neighbour": F.last("_last")})
