@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -92,8 +93,34 @@ def changes(a: Column, b: Column, brief: bool = False) -> Column:
     return F.transform(out, lambda c: F.struct(c["kind"].alias("kind"), F.when(c["kind"] != "same", c["value"]).alias("value"), c["count"].alias("count"))) if brief else out
 
 
+#: Items of a block of running sums, and how often sums of blocks are themselves cut into blocks: enough for 64 ** 4 items.
+BLOCK, LEVELS = 64, 3
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; an expression in a lambda would be computed for each item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sums_before(items: Column, levels: int = LEVELS) -> Column:
+    """For each integer of an array the sum of those before it, in time linear in their number: within blocks, and over the blocks' sums in the same way."""
+    within = lambda a: F.transform(a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda s, v: s + v))
+    if levels == 0:
+        return _let(items, within)
+
+    def of(a: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")))
+        return _let(F.transform(starts, lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK))), joined)
+
+    def joined(blocks: Column) -> Column:
+        before = sums_before(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, v: s + v)), levels - 1)
+        return F.flatten(F.zip_with(blocks, before, lambda b, n: F.transform(within(b), lambda p: p + n)))
+
+    return _let(items, of)
+
+
 def match_offsets(s: Column, pattern: str) -> Column:
-    """[start, end) of every match: from the lengths of the matches and of what lies between them, in the JVM.
+    """[start, end) of every match: from the lengths of the matches and of what lies between them, in the JVM and in time linear in the text.
 
     A pattern that also matches the empty text has matches that ``split`` passes over; such ones go through Python.
     """
@@ -101,12 +128,7 @@ def match_offsets(s: Column, pattern: str) -> Column:
         return _offsets(s, F.lit(pattern))
     found = F.transform(F.regexp_extract_all(s, F.lit(pattern), 0), F.length)
     between = F.transform(F.split(s, pattern), F.length)
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("spans"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + pair["match"]
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.array(start, end))).alias("spans"))
-
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(s.isNotNull(), F.aggregate(pairs, nothing, step)["spans"])
+    pairs = lambda both: F.zip_with(F.slice(both["between"], F.lit(1), F.size(both["found"])), both["found"], lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    place = lambda pair, before: F.array(before + pair["gap"], before + pair["gap"] + pair["match"])
+    spans = _let(F.struct(between.alias("between"), found.alias("found")), lambda both: _let(pairs(both), lambda a: F.zip_with(a, sums_before(F.transform(a, lambda x: x["gap"] + x["match"])), place)))
+    return F.when(s.isNotNull(), spans)

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from heronry.sources.corpus import ARTIFACT_DIRS, entry_dir
 
@@ -87,6 +88,85 @@ def write_texts(files: DataFrame, root: str, overwrite: bool = False) -> DataFra
     )
 
 
+class _Placed(WriterCommitMessage):
+    def __init__(self, written: int, kept: int):
+        self.written, self.kept = written, kept
+
+
+class _EntryWriter(DataSourceArrowWriter):
+    """Files of a task are drafts in a folder of the job's until all its rows are there, then they are moved to their places; a task that fails leaves nothing in sight.
+
+    The driver only counts: a job that ends well leaves a report, one that fails has its drafts removed.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.root, self.overwrite, self.job = options["root"], overwrite, uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        to, moves = _Folder(self.root), []
+        drafts = to.path("_drafts", self.job, uuid.uuid4().hex)
+        to.fs.create_dir(drafts, recursive=True)
+        kept = 0
+        for batch in iterator:
+            for r in batch.select(["entry", "subdir", "name", "content"]).to_pylist():
+                if r["entry"] is None or r["content"] is None:
+                    continue
+                path = to.path(r["entry"], _subdir(r["subdir"]), r["name"])
+                if not self.overwrite and to.exists(path):
+                    kept += 1
+                    continue
+                draft = f"{drafts}/{len(moves)}"
+                with to.fs.open_output_stream(draft, compression=None) as f:
+                    f.write(r["content"].encode())
+                moves.append((draft, path))
+        for draft, path in moves:
+            to.fs.create_dir(path.rpartition("/")[0], recursive=True)
+            to.fs.move(draft, path)
+        to.fs.delete_dir(drafts)
+        return _Placed(len(moves), kept)
+
+    def _ended(self) -> _Folder:
+        to = _Folder(self.root)
+        drafts = to.path("_drafts", self.job)
+        if to.exists(drafts):
+            to.fs.delete_dir(drafts)
+        return to
+
+    def commit(self, messages: list) -> None:
+        report = {"written": sum(m.written for m in messages), "kept": sum(m.kept for m in messages)}
+        to = self._ended()
+        to.write(to.path("_reports", f"{self.job}.json"), json.dumps(report).encode(), True)
+
+    def abort(self, messages: list) -> None:
+        self._ended()
+
+
+class EntryFiles(DataSource):
+    """``df.write.format("entries").option("root", ...).mode("append" or "overwrite").save()`` of (entry, subdir, name, content).
+
+    Appending leaves a file that is there as it is.  ``reports`` has the counts of each job that ended well.  Rows without entry or content write nothing.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "entries"
+
+    def schema(self) -> str:
+        return "entry string, subdir string, name string, content string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:  # type: ignore[no-untyped-def]
+        return _EntryWriter(self.options, overwrite)
+
+
+def register_entries(spark: SparkSession) -> None:
+    spark.dataSource.register(EntryFiles)
+
+
+def reports(spark: SparkSession, root: str) -> DataFrame:
+    """(written, kept) of the jobs that wrote entries below ``root``."""
+    return spark.read.schema("written long, kept long").json(f"{root}/_reports")
+
+
 def write_json(files: DataFrame, root: str, value: Column, overwrite: bool = False) -> DataFrame:
     """As ``write_texts`` with a struct, map or array column as JSON."""
     return write_texts(files.withColumn("content", F.to_json(value)), root, overwrite)

@@ -10,12 +10,14 @@ import json
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 from heronry.functions.urls import ENTRY_QUERY
 
@@ -86,8 +88,112 @@ class NoteFeed(DataSource):
         return _Stream(self.options)
 
 
+def note_range(url: str, start: int, stop: int, page: int) -> Iterator[tuple[str, int, str]]:
+    """The notes of places [start, stop) in order of their numbers."""
+    while start < stop:
+        query = {"sort": "number:asc", "offset": start, "limit": min(page, stop - start)}
+        with urllib.request.urlopen(f"{url}/notes?{urllib.parse.urlencode(query)}", timeout=CALL_TIMEOUT) as r:
+            rows = json.load(r)["notes"]
+        if not rows:
+            raise ValueError(f"{url} has no notes from place {start} on, though it said so")
+        yield from ((n["id"], n["number"], json.dumps(n.get("content", {}))) for n in rows)
+        start += len(rows)
+
+
+def note_count(url: str) -> int:
+    with urllib.request.urlopen(f"{url}/notes?{urllib.parse.urlencode({'sort': 'number:asc', 'offset': 0, 'limit': 1})}", timeout=CALL_TIMEOUT) as r:
+        return int(json.load(r)["count"])
+
+
+class _Places(InputPartition):
+    def __init__(self, start: int, stop: int):
+        self.start, self.stop = start, stop
+
+
+class _Ranges:
+    """What batch and stream share: the feed's places are cut into ranges, which tasks read page by page."""
+
+    def __init__(self, options: dict[str, str]):
+        self.url, self.page = options["url"], int(options.get("pageSize", 100))
+        self.share, self.most, self.progress = self.page * int(options.get("pagesPerTask", 10)), int(options.get("maxPerBatch", 0)), options.get("progress", "")
+        if self.most and not self.progress:
+            raise ValueError("maxPerBatch needs progress, the address of a file that outlives the query")
+
+    def cut(self, start: int, stop: int) -> list[_Places]:
+        return [_Places(at, min(at + self.share, stop)) for at in range(start, stop, self.share)]
+
+    def read(self, partition: _Places) -> Iterator[tuple]:
+        return note_range(self.url, partition.start, partition.stop, self.page)
+
+
+class _RangeBatch(_Ranges, DataSourceReader):
+    def partitions(self) -> list[_Places]:
+        return self.cut(0, note_count(self.url)) or [_Places(0, 0)]
+
+
+class _RangeStream(_Ranges, DataSourceStreamReader):
+    """Offsets are places.  A batch has at most ``maxPerBatch`` notes, counted from the end of the batch planned before it.
+
+    Spark doesn't tell a reader that is started again where that was, so each plan is recorded in the file ``progress``, before the batch runs; a batch that is done again is planned again.
+    """
+
+    planned: int | None = None
+
+    def _file(self) -> tuple[pafs.FileSystem, str]:
+        return pafs.FileSystem.from_uri(self.progress if "://" in self.progress else f"file://{self.progress}")
+
+    def initialOffset(self) -> dict:
+        return {"place": 0}
+
+    def latestOffset(self) -> dict:
+        there = note_count(self.url)
+        if not self.most:
+            return {"place": there}
+        if self.planned is None:
+            fs, path = self._file()
+            known = fs.get_file_info(path).type == pafs.FileType.File
+            if known:
+                with fs.open_input_stream(path, compression=None) as f:
+                    self.planned = int(f.read())
+        self.planned = max(self.planned or 0, min(there, (self.planned or 0) + self.most))
+        return {"place": self.planned}
+
+    def partitions(self, start: dict, end: dict) -> list[_Places]:
+        if self.most:
+            fs, path = self._file()
+            with fs.open_output_stream(path, compression=None) as f:
+                f.write(str(end["place"]).encode())
+            self.planned = end["place"]
+        return self.cut(start["place"], end["place"])
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for batches that are over."""
+
+
+class NoteRanges(DataSource):
+    """``.format("note_ranges")``, batch or stream, with options url, pageSize, pagesPerTask, and for a stream maxPerBatch with progress: for a service that tells its ``count`` and takes an ``offset``.
+
+    Executors read, each its ranges of places; notes are only added, with rising numbers, so a range read again has the same notes.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "note_ranges"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:  # type: ignore[no-untyped-def]
+        return _RangeBatch(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # type: ignore[no-untyped-def]
+        return _RangeStream(self.options)
+
+
 def register_note_feed(spark: SparkSession) -> None:
     spark.dataSource.register(NoteFeed)
+    spark.dataSource.register(NoteRanges)
+    spark.dataSource.register(Outbox)
 
 
 def rewrite_after_error(message: str) -> str | None:
@@ -184,6 +290,79 @@ def post(rows: DataFrame, send: Callable[[dict], None], tries: int = 2) -> DataF
     return rows.select("noteId", "fieldType", "body").mapInPandas(run, "noteId string, fieldType string, control struct<code:string,msg:string>")
 
 
+class _Delivered(WriterCommitMessage):
+    def __init__(self, files: list[str]):
+        self.files = files
+
+
+class _Poster(DataSourceStreamWriter):
+    """Posts the rows of a batch; what has been delivered is on record, row by row, and isn't posted again.
+
+    A task keeps its record below ``ledger/<batch>`` as it goes: a file of ids that is written anew after each ``every`` posts and at the end, also if a post fails.  A batch that is run
+    again reads what all tries of it have recorded.  A task that dies outright may have posted up to ``every`` rows without a record; their bodies' ids let the service tell.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.url, self.ledger, self.every = options["url"], options["ledger"].rstrip("/"), int(options.get("every", 1))
+        self.user, self.password = options.get("user"), options.get("password")
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:  # type: ignore[override]
+        from pyspark import TaskContext
+
+        fs, root = pafs.FileSystem.from_uri(self.ledger if "://" in self.ledger else f"file://{self.ledger}")
+        context, service = TaskContext.get(), Service(self.url, self.user, self.password)
+        batch = context.getLocalProperty("streaming.sql.batchId") if context else None
+        folder = f"{root}/{batch}"
+        fs.create_dir(folder, recursive=True)
+        done: set[str] = set()
+        for info in fs.get_file_info(pafs.FileSelector(folder)):
+            with fs.open_input_stream(info.path, compression=None) as f:
+                done |= set(f.read().decode().split())
+        own, path = [], f"{folder}/{uuid.uuid4().hex}"
+
+        def record() -> None:
+            if own:
+                with fs.open_output_stream(path, compression=None) as f:
+                    f.write("\n".join(own).encode())
+
+        try:
+            for row in iterator:
+                body = json.loads(row["body"])
+                if body["id"] not in done:
+                    service.post_edit(body)
+                    done.add(body["id"])
+                    own.append(body["id"])
+                    if len(own) % self.every == 0:
+                        record()
+        finally:
+            record()
+        return _Delivered([path] if own else [])
+
+    def commit(self, messages: list, batchId: int) -> None:
+        """The batch is over and won't come again; records of batches before it go."""
+        fs, root = pafs.FileSystem.from_uri(self.ledger if "://" in self.ledger else f"file://{self.ledger}")
+        for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if info.base_name.isdigit() and int(info.base_name) < batchId:
+                fs.delete_dir(info.path)
+
+    def abort(self, messages: list, batchId: int) -> None:
+        """The records stay for the next try."""
+
+
+class Outbox(DataSource):
+    """``stream.writeStream.format("outbox")`` with options url, ledger (a shared folder), user, password, every: posts what ``outbox`` gives, each id once."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "outbox"
+
+    def schema(self) -> str:
+        return "noteId string, fieldType string, body string"
+
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:  # type: ignore[no-untyped-def]
+        return _Poster(self.options)
+
+
 class Service:
     """A note service: logs in once a worker, and posts JSON with that token; a refused login is no token, as with a service that is open."""
 

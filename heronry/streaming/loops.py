@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, period: str | None = None) -> StreamingQuery:
@@ -160,6 +161,60 @@ def request_cycles(events: DataFrame) -> DataFrame:
     return events.groupBy("request_id").applyInPandasWithState(step, CYCLE_OUT, CYCLE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+CYCLE_VALUE = "kinds string, blocked boolean, due long"
+
+
+class _TimedCycles(StatefulProcessor):
+    """A request's cycle with a timer: what isn't over ``timeout`` milliseconds after its last event is ``open``, and forgotten."""
+
+    def __init__(self, timeout: int, ts: str | None):
+        self.timeout, self.ts = timeout, ts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("cycle", CYCLE_VALUE)
+
+    def _over(self, key: tuple, outcome: str, blocked: bool) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"request_id": [key[0]], "outcome": [outcome], "blocked": [blocked]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # type: ignore[no-untyped-def]
+        kinds, blocked, due = self.state.get() if self.state.exists() else ("", False, 0)
+        seen, last = set(filter(None, kinds.split(","))), 0
+        for frame in rows:
+            seen |= set(frame["kind"])
+            blocked = bool(blocked or frame["message"].fillna("").str.contains("blockedbyclient").any())
+            last = max(last, int(frame[self.ts].max().timestamp() * 1000) if self.ts else timerValues.getCurrentProcessingTimeInMs())
+        if due:
+            self.handle.deleteTimer(due)
+        outcome = "success" if {"request", "response", "requestfinished"} <= seen else "fail" if {"request", "requestfailed"} <= seen else None
+        if outcome:
+            yield from self._over(key, outcome, blocked)
+        else:
+            due = max(due, last + self.timeout)
+            self.handle.registerTimer(due)
+            self.state.update((",".join(sorted(seen)), blocked, due))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # type: ignore[no-untyped-def]
+        if self.state.exists():
+            _, blocked, due = self.state.get()
+            if due <= expiredTimerInfo.getExpiryTimeInMs():
+                yield from self._over(key, "open", blocked)
+
+    def close(self) -> None:
+        pass
+
+
+def timed_request_cycles(events: DataFrame, timeout_ms: int, ts: str | None = None) -> DataFrame:
+    """As ``request_cycles``, and a request that is neither finished nor failed ``timeout_ms`` after its last event gives ``open``; then no state is left of it.
+
+    With ``ts``, a timestamp column, time is that of the events: give the stream a watermark on it.  Without, it is the clock's.  Timers and state are in the
+    checkpoint, so they go on after a restart.  The session's state store becomes RocksDB, which timers need.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    columns = ["request_id", "kind", "message", *([ts] if ts else [])]
+    return events.select(*columns).groupBy("request_id").transformWithStateInPandas(_TimedCycles(timeout_ms, ts), CYCLE_OUT, "append", "EventTime" if ts else "ProcessingTime")
+
+
 def daily_counts(stream: DataFrame, ts: str, key: str, late: str = "2 days") -> DataFrame:
     """(day, key, n) of a stream, with a watermark."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), key, "n")
