@@ -5,10 +5,10 @@ A failed step is a null value (with a ``control`` struct where the reason matter
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Step = Callable[[Column], Column]
@@ -121,3 +121,29 @@ def through_left(control_col: str, replacement: Column) -> Transform:
 def separate_results(df: DataFrame, control_col: str) -> tuple[DataFrame, DataFrame]:
     """(failed, successful) rows."""
     return df.filter(F.col(control_col).isNotNull()), df.filter(F.col(control_col).isNull())
+
+
+def generator(spark: SparkSession, name: str, make: Callable[..., Iterable], kind: str) -> Callable:
+    """Registers a step that yields many values for one as a table function, for SQL (``FROM t, LATERAL name(t.x)``) and for ``each_generated``.
+
+    ``make`` gets the arguments and yields values of type ``kind``.  It gives rows (pos, value, control); what it raises ends the values of that
+    row with one of its own, whose control halts with the reason.
+    """
+
+    class Generator:
+        def eval(self, *args: object) -> Iterator[tuple]:
+            pos = 0
+            try:
+                for pos, v in enumerate(make(*args), 1):  # noqa: B020
+                    yield pos - 1, v, None
+            except Exception as e:  # noqa: BLE001  a user's function may raise anything; it is the row's result
+                yield pos, None, ("halt", str(e))
+
+    made = F.udtf(Generator, returnType=f"pos int, value {kind}, control struct<code:string,msg:string>")
+    spark.udtf.register(name, made)
+    return made
+
+
+def each_generated(df: DataFrame, made: Callable, *columns: str) -> DataFrame:
+    """``df`` with a row for each value that a ``generator`` yields for its columns, and pos, value, control."""
+    return df.lateralJoin(made(*(F.col(c).outer() for c in columns)))

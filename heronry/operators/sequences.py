@@ -7,8 +7,12 @@ rows, or a table that is one single sequence (no keys), is not one task's work.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +92,57 @@ def fold(items: Column, start: Column, step: Callable[[Column, Column], Column])
     return F.aggregate(items, start, step)
 
 
+@dataclass(frozen=True)
+class Fold:
+    """An aggregate of rows in order, in parts that can be put together: ``merge(a, b)`` of the states of two adjoining stretches is the state of both; ``start`` is that of none."""
+
+    start: Any
+    step: Callable[[Any, Any], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], Any]
+
+
+def fold_rows(df: DataFrame, keys: list[str], order: list[str], value: str, fold: Fold, kind: str, name: str = "out") -> DataFrame:
+    """(keys, name): a key's values folded in order; ``kind`` is the result's type.
+
+    A task goes through its rows with one state in hand, a key with most of the rows is folded in ranges, and the ranges' states, a few a key, are merged in order.  Keys with no
+    rows are not there; nulls are values like others.
+    """
+    ranges = Ranges(df.select(*dict.fromkeys([*keys, *order, value])), keys, order)
+    place = [*keys, "_range"]
+    dealt = ranges.rows.select(*place, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(value).alias("_v"))
+    dealt = dealt.repartition(*place).sortWithinPartitions(*place, *(f"_o{i}" for i in range(len(order)))).select(*place, "_v")
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    by_key = lambda names: ", ".join(f"`{n}` {kinds[n]}" for n in names)
+
+    def runs(n: int, begin: Callable, more: Callable, end: Callable, names: list[str], last_kind: pa.DataType | None) -> Callable:
+        """Goes through rows that are sorted by their first n columns and gives a row for each run of equal ones."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, state, fields = None, None, None
+            for batch in batches:
+                fields, done = [batch.schema.field(i) for i in range(n)], []
+                for *key, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held is not None and key == held[0]:
+                        state = more(state, v)
+                    else:
+                        if held is not None:
+                            done.append((*held[0], end(state)))
+                        held, state = (key,), begin(v)
+                if done:
+                    yield pa.record_batch([*(pa.array(c, f.type) for c, f in zip(list(zip(*done, strict=True))[:n], fields, strict=True)), pa.array([d[n] for d in done], last_kind)], names)
+            if held is not None:
+                yield pa.record_batch([*(pa.array([c], f.type) for c, f in zip(held[0], fields, strict=True)), pa.array([end(state)], last_kind)], names)
+
+        return run
+
+    states = dealt.mapInArrow(runs(len(place), lambda v: fold.step(fold.start, v), fold.step, lambda s: cloudpickle.dumps(s), [*place, "_state"], pa.binary()), f"{by_key(place)}, _state binary")
+    merged = states.repartition(*keys) if keys else states.repartition(1)  # without keys a row a range
+    merged = merged.sortWithinPartitions(*place).select(*keys, "_state")
+    load = cloudpickle.loads
+    return merged.mapInArrow(runs(len(keys), load, lambda s, v: fold.merge(s, load(v)), fold.finish, [*keys, name], None), f"{by_key(keys)}{', ' if keys else ''}`{name}` {kind}")
+
+
 def last_item(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 

@@ -124,24 +124,41 @@ def seek_all(notes: DataFrame, positions: DataFrame) -> DataFrame:
     return local.join(edges, "b").select("number", F.coalesce("next", "above").alias("next"), F.coalesce("prev", "below").alias("prev"))
 
 
+def move_cursors(notes: DataFrame, moves: DataFrame) -> DataFrame:
+    """(role, noteNumber, moved): each (role, noteNumber, k) moved by its own k valid notes, forwards or backwards; where there are too few it stays, and 0 or a null never moves it.
+
+    Valid numbers are ranked, and each position gets the count of those below and up to it, range by range with the counts of the ranges before carried over; a
+    cursor is then joined with the number of the rank it goes to.
+    """
+    valid = notes.filter("validUrl").select("number").where("number is not null").distinct()
+    rows = moves.select("role", F.col("noteNumber").cast("long").alias("noteNumber"), F.col("k").cast("long").alias("k"))
+    marks = valid.select("number", F.lit(1).cast("long").alias("v")).unionByName(rows.select(F.col("noteNumber").alias("number")).where("number is not null").distinct().withColumn("v", F.lit(0).cast("long")))
+    ranges = Ranges(marks, [], ["number"], like=notes.select("number"))
+    below = Window.partitionBy("_range").orderBy("number").rangeBetween(Window.unboundedPreceding, -1)
+    d = ranges.with_carried(ranges.rows.withColumn("below", F.coalesce(F.sum("v").over(below), F.lit(0))), [F.sum("v").alias("_n")], {"_before": F.sum("_n")})
+    placed = d.withColumn("below", F.col("below") + F.coalesce("_before", F.lit(0)))
+    here = placed.groupBy(F.col("number").alias("noteNumber")).agg(F.max("below").alias("below"), F.max("v").alias("own"))
+    ranked = placed.where("v = 1").select(F.col("number").alias("to"), F.col("below").alias("rank"))
+    rank = F.when(F.col("k") > 0, F.col("below") + F.col("own") + F.col("k") - 1).when(F.col("k") < 0, F.col("below") + F.col("k"))
+    found = rows.join(here, "noteNumber", "left").withColumn("rank", rank).join(ranked, "rank", "left")
+    return found.select("role", F.coalesce("to", "noteNumber").alias("noteNumber"), F.col("to").isNotNull().alias("moved"))
+
+
 def move_cursor(notes: DataFrame, cursor: DataFrame, distance: int) -> DataFrame:
-    """(role, noteNumber, moved): the cursor moved by ``distance`` valid notes; where there are too few it stays, and 0 never moves it."""
-    row = cursor.first()  # a cursor is one row
-    if row is None:
-        return cursor.select("role", "noteNumber", F.lit(False).alias("moved"))
-    at = row["noteNumber"]
-    to = (next_valid(notes, at, distance) if distance > 0 else prev_valid(notes, at, -distance)).first() if distance and at is not None else None
-    return cursor.select("role", F.lit(to["number"] if to else at).cast("long").alias("noteNumber"), F.lit(to is not None).alias("moved"))
+    """(role, noteNumber, moved): cursors moved by ``distance`` valid notes; see ``move_cursors``."""
+    return move_cursors(notes, cursor.select("role", "noteNumber", F.lit(distance).alias("k")))
+
+
+def advance_cursors(notes: DataFrame, cursors: DataFrame, roles: DataFrame) -> DataFrame:
+    """The cursors, those of ``roles`` on their next valid note; one that isn't there is created on the first; unmoved at the end."""
+    at = roles.select("role").distinct().join(cursors.select("role", "noteNumber"), "role", "left")
+    moved = move_cursors(notes, at.select("role", F.coalesce("noteNumber", F.lit(-1)).alias("noteNumber"), F.lit(1).alias("k"))).where("moved")
+    return upsert(cursors.select("role", "noteNumber", "lockStatus"), moved.select("role", "noteNumber", F.lit("available").alias("lockStatus")), ["role"])
 
 
 def advance_cursor(notes: DataFrame, cursors: DataFrame, role: str) -> DataFrame:
-    """The cursor of ``role`` on the next valid note; created on the first one if it isn't there; unmoved at the end."""
-    own = cursors.filter(F.col("role") == role).first()
-    to = next_valid(notes, own["noteNumber"] if own and own["noteNumber"] is not None else -1).first()
-    if to is None:
-        return cursors
-    new = cursors.sparkSession.createDataFrame([(role, to["number"], "available")], "role string, noteNumber long, lockStatus string")
-    return upsert(cursors.select("role", "noteNumber", "lockStatus"), new, ["role"])
+    """``advance_cursors`` of one role."""
+    return advance_cursors(notes, cursors, cursors.sparkSession.createDataFrame([(role,)], "role string"))
 
 
 def create_cursor(notes: DataFrame, wanted: DataFrame) -> DataFrame:

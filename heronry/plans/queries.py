@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -278,6 +278,11 @@ _cursor = lambda d, at: d.sparkSession.createDataFrame([("extract-fields", at)],
 register("move_cursor", "orders", lambda o: state.move_cursor(_notes(o), _cursor(o, 100), 5), f"SELECT 'extract-fields' AS role, number AS noteNumber, true AS moved FROM {_N} WHERE v AND number > 100 ORDER BY number LIMIT 1 OFFSET 4")
 register("move_cursor_back", "orders", lambda o: state.move_cursor(_notes(o), _cursor(o, 100), -3), f"SELECT 'extract-fields' AS role, number AS noteNumber, true AS moved FROM {_N} WHERE v AND number < 100 ORDER BY number DESC LIMIT 1 OFFSET 2")
 register("move_cursor_too_far", "orders", lambda o: state.move_cursor(_notes(o), _cursor(o, 2), -3), "SELECT 'extract-fields' AS role, CAST(2 AS BIGINT) AS noteNumber, false AS moved")
+register("move_cursors", "orders", lambda o: state.move_cursors(_notes(o), o.select(F.concat(lit("r"), c("o_orderkey").cast("string")).alias("role"), (c("o_orderkey") + 1).alias("noteNumber"), (c("o_custkey") % 9 - 4).alias("k"))), f"""
+ WITH r AS (SELECT number, row_number() OVER (ORDER BY number) - 1 AS rank FROM (SELECT DISTINCT number FROM {_N} WHERE v)),
+ m AS (SELECT 'r' || o_orderkey AS role, o_orderkey + 1 AS here, o_custkey % 9 - 4 AS k FROM orders),
+ p AS (SELECT m.*, coalesce(rank, -1) AS rank, coalesce(number = here, false)::INT AS own FROM m ASOF LEFT JOIN r ON m.here >= r.number)
+ SELECT role, coalesce(r.number, here)::BIGINT AS noteNumber, r.number IS NOT NULL AS moved FROM p LEFT JOIN r ON r.rank = CASE WHEN k > 0 THEN p.rank + k WHEN k < 0 THEN p.rank + 1 - own + k END""")
 register("advance_cursor", "orders", lambda o: state.advance_cursor(_notes(o), o.sparkSession.createDataFrame([], "role string, noteNumber long, lockStatus string"), "extract-fields"), f"SELECT 'extract-fields' AS role, min(number) AS noteNumber, 'available' AS lockStatus FROM {_N} WHERE v AND number > -1")
 register("lock_cursor", "nation", lambda n: state.lock_cursor(n.select(c("n_name").alias("role"), lit("available").alias("lockStatus")), "FRANCE"), "SELECT n_name AS role, CASE WHEN n_name = 'FRANCE' THEN 'locked' ELSE 'available' END AS lockStatus FROM nation")
 register("create_cursor", "orders customer", lambda o, k: state.create_cursor(_notes(o), k.select(lit("r").alias("role"), c("c_custkey").cast("string").alias("noteId"))), f"SELECT 'r' AS role, c_custkey::VARCHAR AS noteId, number AS noteNumber FROM customer JOIN {_N} ON id = c_custkey::VARCHAR")
@@ -341,6 +346,13 @@ register("status_report", "events", lambda e: summary.status_report(_status_rows
   || 'Workflow Status Counts' || nl || (SELECT string_agg('    ' || w || ': ' || n, chr(10) ORDER BY w) FROM (SELECT [{_states}][event_id % 10 + 1] AS w, count(*) AS n FROM s GROUP BY 1)) AS report
  FROM nl""")
 
+def _words_or_fail(text: str) -> Iterator[str]:
+    for k, w in enumerate(text.split(" ")):
+        if k == 20:
+            raise ValueError("more than 20 words")
+        yield w
+
+
 # --- sequences -----------------------------------------------------------------------------------
 _runs = "SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS b FROM events)"
 register("sorted_uniq_count", "events", lambda e: sequences.run_lengths(e, ["user_id"], ["ts", "event_id"], "event_type"), f"SELECT user_id, CAST(run AS BIGINT) AS run, any_value(event_type) AS event_type, count(*) AS n FROM ({_runs}) GROUP BY user_id, run")
@@ -357,6 +369,11 @@ register("zip_with_index", "events", lambda e: sequences.zip_with_index(e, ["use
 register("from_batches", "orders", lambda o: sequences.from_batches(o.select("o_orderkey", F.array(c("o_orderkey"), -c("o_orderkey")).alias("a")), "a", ["o_orderkey"], 101).select("item"), "SELECT unnest([o_orderkey, -o_orderkey]) AS item FROM (SELECT o_orderkey FROM orders ORDER BY 1) LIMIT 101")
 register("stream_gather", "events", lambda e: sequences.gather(e, ["user_id"], ["event_id"], "event_type").select("user_id", F.array_join("items", ",").alias("items")), "SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS items FROM events GROUP BY 1")
 register("stream_fold", "events", lambda e: sequences.gather(e, ["user_id"], ["event_id"], "event_id").select("user_id", sequences.fold(c("items"), lit(0).cast("long"), lambda a, x: (a * 31 + x) % 1000003).alias("out")), "SELECT user_id, CAST(list_reduce(list_concat([0], list(event_id ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS out FROM events GROUP BY 1")
+_affine = sequences.Fold((1, 0), lambda s, x: (s[0] * 31 % 1000003, (s[1] * 31 + x) % 1000003), lambda a, b: (a[0] * b[0] % 1000003, (a[1] * b[0] + b[1]) % 1000003), lambda s: s[1])
+register("stream_fold_merged", "events", lambda e: sequences.fold_rows(e, ["user_id"], ["event_id"], "event_id", _affine, "long"), "SELECT user_id, CAST(list_reduce(list_concat([0], list(event_id ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS out FROM events GROUP BY 1")
+register("generated_words", "benchmark", lambda b: flow.each_generated(b.select("item_id", "text"), flow.generator(b.sparkSession, "words_of", _words_or_fail, "string"), "text").select("item_id", "pos", "value", c("control.msg").alias("msg")), """
+ SELECT item_id, CAST(i - 1 AS INT) AS pos, w[i] AS value, NULL::VARCHAR AS msg FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)) WHERE i <= 20
+ UNION ALL SELECT item_id, 20, NULL, 'more than 20 words' FROM benchmark WHERE len(string_split(text, ' ')) > 20""")
 register("last_item", "events", lambda e: sequences.last_item(e, ["user_id"], ["ts", "event_id"], "event_type"), "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 register("partition_results", "events", lambda e: sequences.partition_results(e, ["user_id"], ["event_id"], "event_id", c("event_type") != "error").select("user_id", F.array_join("lefts", ",").alias("lefts"), F.array_join("rights", ",").alias("rights")), "SELECT user_id, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS lefts, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (event_type <> 'error'), '') AS rights FROM events GROUP BY 1")
 register("set_difference", "benchmark", lambda b: b.select("item_id", F.array_join(sequences.difference(F.split("text", " "), F.array(lit("the"), lit("de"))), " ").alias("out")), "SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda x: x NOT IN ('the', 'de')), ' ') AS out FROM benchmark")

@@ -5,10 +5,13 @@ Progress lives in the checkpoint, so that a loop that is started again goes on w
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,31 +28,140 @@ class Log:
     """A keyed table as a log of changes: batches are appended, each under its own number, and ``now`` merges them.
 
     A batch that is run again replaces itself, so that nothing is counted twice; columns that a change leaves null keep their value.
+    ``compact`` merges old batches into a base whose rows lie in buckets by their keys; ``of`` then reads a batch's own keys from their buckets alone, and the
+    changes since, so that its cost follows the batch and not the table.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
 
     def append(self, changes: DataFrame, batch: int) -> None:
         kinds = dict(self.spark.createDataFrame([], self.schema).dtypes)
         columns = [(F.col(c) if c in changes.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+        if batch <= self.compacted():
+            raise ValueError(f"batch {batch} is part of the base")
         changes.select(*columns).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
+    def _fs(self, path: str) -> tuple:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _numbers(self, folder: str, name: str, done: str = "") -> list[int]:
+        """The n of the folders ``name=n`` that are whole."""
+        fs, target = self._fs(folder)
+        if not fs.exists(target):
+            return []
+        found = [s.getPath().getName() for s in fs.listStatus(target)]
+        return sorted(int(n.partition("=")[2]) for n in found if n.startswith(f"{name}=") and (not done or fs.exists(self._fs(f"{folder}/{n}/{done}")[1])))
+
+    def compacted(self) -> int:
+        """The last batch that the base holds; -1 without a base."""
+        return max(self._numbers(f"{self.path}/_base", "upto", "_SUCCESS"), default=-1)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def base(self, upto: int) -> DataFrame:
+        """The base's rows, with their bucket, and its number as their batch."""
+        return self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/_base/upto={upto}").withColumn("batch", F.lit(upto).cast("long"))
+
     def rows(self) -> DataFrame:
-        """All changes with the number of their ``batch``."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+        """All changes since the base with the number of their ``batch``."""
+        there = [n for n in self._numbers(self.path, "batch") if n > self.compacted()]
+        if not there:
             return self.spark.createDataFrame([], f"{self.schema}, batch long")
-        return self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
-
-    def now(self, before: int | None = None) -> DataFrame:
-        """A row a key: of each column the last value that isn't null; with ``before``, as it was before that batch, which a run that is done again starts from."""
-        d = self.rows()
-        d = d if before is None else d.where(F.col("batch") < before)
+        return self.spark.read.schema(f"{self.schema}, batch long").option("basePath", self.path).parquet(*(f"{self.path}/batch={n}" for n in there))
+
+    def _merged(self, keyed: DataFrame | None, before: int | None) -> DataFrame:
+        upto = self.compacted()
+        if before is not None and before <= upto:
+            raise ValueError(f"batch {before} is part of the base")
+        d = self.rows() if before is None else self.rows().where(F.col("batch") < before)
+        old = self.base(upto) if upto >= 0 else None
+        if keyed is not None:
+            d = d.join(keyed, self.keys, "left_semi")
+            if old is not None:
+                held = [r[0] for r in keyed.select(self._bucket()).distinct().collect()]  # not more than buckets
+                old = old.where(F.col("bucket").isin(held)).join(keyed, self.keys, "left_semi")
+        d = d if old is None else d.unionByName(old.drop("bucket"))
         others = [c for c in d.columns if c not in (*self.keys, "batch")]
         last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c)  # noqa: E731  a null order is never the greatest
         return d.groupBy(*self.keys).agg(*(last(c) for c in others)).select(*self.keys, *others)
 
+    def now(self, before: int | None = None) -> DataFrame:
+        """A row a key: of each column the last value that isn't null; with ``before``, as it was before that batch, which a run that is done again starts from."""
+        return self._merged(None, before)
+
+    def of(self, keys: DataFrame, before: int | None = None) -> DataFrame:
+        """``now`` for the keys of a batch."""
+        return self._merged(keys.select(*self.keys).distinct(), before)
+
+    def compact(self, upto: int) -> None:
+        """Merges the base and all batches up to ``upto`` into a new base; batches that may be run again must be later ones.
+
+        The new base counts once it is whole, and what it holds is removed only then, so a compaction that is lost halfway is as if it hadn't begun.
+        """
+        was = self.compacted()
+        if upto > was:
+            new = self.now(upto + 1).withColumn("bucket", self._bucket())
+            new.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/_base/upto={upto}")
+        for old in [f"{self.path}/batch={n}" for n in self._numbers(self.path, "batch") if n <= upto] + [f"{self.path}/_base/upto={n}" for n in self._numbers(f"{self.path}/_base", "upto") if n < upto]:
+            fs, target = self._fs(old)
+            fs.delete(target, True)
+
+
+class Locks:
+    """Locks by name as files in a shared folder: a lock is taken by creating its file, which only one of several at once can."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, name: str) -> str:
+        return f"{self.root}/{name}.lock"
+
+    def take(self, name: str, owner: str) -> bool:
+        """Whether ``owner`` has the lock now; an owner that has it already gets it again."""
+        path = self._at(name)
+        local = path if path.startswith("/") else path.removeprefix("file://") if path.startswith("file:///") else None
+        if local is not None:
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            draft = f"{local}.{uuid.uuid4().hex}"
+            with open(draft, "w") as f:
+                f.write(owner)
+            try:
+                os.link(draft, local)  # fails if it is there, and shows the owner at once
+                return True
+            except FileExistsError:
+                return self.owner(name) == owner
+            finally:
+                os.unlink(draft)
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError:
+            if not fs.exists(target):
+                raise
+            return self.owner(name) == owner
+        out.write(bytearray(owner.encode()))
+        out.close()
+        return True
+
+    def owner(self, name: str) -> str | None:
+        found = self.spark.read.option("wholetext", "true").text(self._at(name)).collect() if self._there(name) else []
+        return found[0][0] if found else None
+
+    def _there(self, name: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        return bool(target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target))
+
+    def release(self, name: str, owner: str) -> bool:
+        """Gives the lock back; only its owner can."""
+        if self.owner(name) != owner:
+            return False
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        return bool(target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, False))
+
 
 CURSORS = "role string, noteId string, noteNumber long, lockStatus string"
 URL_STATUS = "id string, requestUrl string, response string, responseHost string, httpStatus int, hasAbstract boolean, hasPdfLink boolean, workflowStatus string"
