@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -78,15 +79,61 @@ class ShardReader:
         return data
 
 
-def shards_for(docs: DataFrame, bytes_per_shard: int) -> int:
-    """From the size that the optimizer knows or estimates of the texts, without reading them; at least three a core and at most one a document."""
-    size = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(docs.select("doc_id").count(), max(-(-size // bytes_per_shard), 3 * docs.sparkSession.sparkContext.defaultParallelism)))
+#: Id ranges for each shard whose bytes are counted before they are put together to shards.
+FINE = 4
+
+
+@dataclass(frozen=True)
+class Layout:
+    """doc_ids that part the shards, and how many shards each range has: one, or for an id with many rows several, by a hash of the text."""
+
+    bounds: list[int]
+    widths: list[int]
+
+    @property
+    def shards(self) -> int:
+        return sum(self.widths)
+
+    def place(self, doc_id: Column, text: Column) -> Column:
+        offsets = [sum(self.widths[:i]) for i in range(len(self.widths))]
+        if max(self.widths) == 1:
+            return shard_of(doc_id, self.bounds)
+        at = lambda values: F.get(F.lit(values), shard_of(doc_id, self.bounds))
+        return at(offsets) + F.pmod(F.xxhash64(text), at(self.widths)).cast("int")
+
+
+def layout(docs: DataFrame, bytes_per_shard: int, shards: int | None = None) -> Layout:
+    """Shards of about equal bytes, counted from the texts; at least three a core and at most one a document, or ``shards`` of them.
+
+    The bytes of ids are added up, then of ranges of ids, by quantiles of the ids and of about a quarter of a shard, which are put together; what comes to the driver is a row a range,
+    and a row an id that alone is more than a shard.
+    """
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    each = Workspace(docs.sparkSession, "sizes").settle(sizes.groupBy("doc_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "sizes")
+    total, rows = each.agg(F.sum("bytes"), F.sum("n")).first()
+    if not rows:
+        return Layout([], [1])
+    wanted = shards or max(1, min(rows, max(-(-total // bytes_per_shard), 3 * docs.sparkSession.sparkContext.defaultParallelism)))
+    share = max(1, -(-total // wanted))
+    hot = sorted((r.doc_id, -(-r.bytes // share)) for r in each.where((F.col("n") > 1) & (F.col("bytes") > 2 * share)).collect() if r.doc_id is not None)
+    several = dict(hot)
+    fine = sorted({*shard_bounds(each, min(rows, wanted * FINE)), *(i for i, _ in hot), *(i - 1 for i, _ in hot if i > -(2**63))}) if wanted > 1 else []
+    held = {r.k: r.b for r in each.groupBy(shard_of(F.col("doc_id"), fine).alias("k")).agg(F.sum("bytes").alias("b")).collect()}
+    bounds, widths, full = [], [], 0
+    for k in range(len(fine) + 1):
+        full += held.get(k, 0)
+        alone = k < len(fine) and fine[k] in several and k > 0 and fine[k - 1] == fine[k] - 1
+        following = k + 1 < len(fine) and fine[k + 1] in several and fine[k] == fine[k + 1] - 1
+        if k < len(fine) and (alone or following or full >= share):
+            bounds.append(fine[k])
+            widths.append(min(several[fine[k]], rows) if alone else 1)
+            full = 0
+    return Layout(bounds, [*widths, 1])
 
 
 def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
     """doc_ids that part the documents into about equal shards, from a read of the id column alone."""
-    return sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
+    return sorted(set(map(int, docs.where("doc_id is not null").approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards)))) if shards > 1 else []
 
 
 def shard_of(doc_id: Column, bounds: list[int]) -> Column:
@@ -105,14 +152,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, shards: int
     """Encode (doc_id, text) and write shards to ``folder``; returns (shard, path, n_docs, n_tokens), one row a file.
 
     A null text is an empty document (only the end id).  Null ids go to the first shard, before all others;
-    rows of equal id lie side by side.  Each task writes under a name of its own and the row it returns
+    rows of equal id lie side by side, in several shards if they are more than one can hold.  Each task writes under a name of its own and the row it returns
     names that file, so a task that is run again leaves nothing half-written in the result.
     Texts are dealt out by id once, before encoding; no stage holds more than a slice of a batch and the open shard's frame table, of 21 bytes a document.
-    The number of shards follows the size of the texts (``bytes_per_shard``) unless it is given.  An empty table writes nothing.
+    The number of shards follows the bytes of the texts (``bytes_per_shard``) unless it is given, whatever the input was derived from.  An empty table writes nothing.
     """
-    shards = shards or shards_for(docs, bytes_per_shard)
-    bounds = shard_bounds(docs, shards)
-    place = shard_of(F.col("doc_id"), bounds)
+    parts = layout(docs, bytes_per_shard, shards)
+    place = parts.place(F.col("doc_id"), F.col("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, pack = word_ids(tokenizer_path), zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
@@ -145,7 +191,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, shards: int
         if out is not None:
             yield close()
 
-    dealt = docs.select(place.cast("int").alias("shard"), "doc_id", "text").repartitionById(len(bounds) + 1, F.col("shard"))
+    dealt = docs.select(place.cast("int").alias("shard"), "doc_id", "text").repartitionById(parts.shards, F.col("shard"))
     return dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first()).mapInArrow(write, "shard int, path string, n_docs long, n_tokens long")
 
 

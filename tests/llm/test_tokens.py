@@ -17,10 +17,11 @@ import zstandard
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from heronry.llm.byte_bpe import encode_documents, load_bpe
 from heronry.llm.token_counts import load_tokenizer, spliced_ids, token_counts
-from heronry.llm.token_store import SEEK_MAGIC, ShardReader, seek_table, shard_of, shards_for, store_and_read, write_tokens
+from heronry.llm.token_store import SEEK_MAGIC, ShardReader, layout, seek_table, shard_of, store_and_read, write_tokens
 from heronry.llm.word_memo import WordIds
 
 from .conftest import DOCS, odd_rows, prose, with_clashes
@@ -139,11 +140,28 @@ def test_shard_of(spark):
 
 
 def test_shards_follow_the_bytes(spark, tmp_path):
-    spark.range(2000).selectExpr("id as doc_id", "repeat('word ', 200) as text").write.parquet(f"{tmp_path}/d")
+    spark.range(2000).selectExpr("id as doc_id", "repeat('word ', case when id < 100 then 4000 else 100 end) as text").write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
-    least = 3 * spark.sparkContext.defaultParallelism
-    assert shards_for(docs, 10**12) == least and shards_for(docs.limit(2), 10**12) == 2
-    assert shards_for(docs, 100) > least and shards_for(docs, 1) == 2000 and shards_for(docs.limit(0), 10) == 1
+    plain = layout(docs, 100_000)
+    per_shard = docs.groupBy(plain.place(docs.doc_id, docs.text).alias("s")).agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("n")).collect()
+    total = sum(r.b for r in per_shard)
+    assert plain.shards == len(per_shard) > 15 and max(r.b for r in per_shard) < 3 * total / len(per_shard) and min(r.n for r in per_shard) < 20 < max(r.n for r in per_shard)
+    joined = docs.join(docs.select("doc_id").distinct(), "doc_id").join(docs.select("doc_id"), "doc_id").select("doc_id", "text")
+    assert layout(joined, 100_000).shards == plain.shards  # whatever the optimizer expects of a join
+    assert layout(docs, 10**12).shards <= 3 * spark.sparkContext.defaultParallelism and layout(docs.limit(2), 1).shards <= 2 and layout(docs.limit(0), 10).shards == 1
+
+
+def test_an_id_with_many_rows_has_several_shards(spark):
+    rows = [(7, f"text {k} " * 50) for k in range(300)] + [(k, "short") for k in range(20)] + [(None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = layout(docs, 10_000)
+    at = docs.select("doc_id", parts.place(docs.doc_id, docs.text).alias("s")).collect()
+    hot, below, above = ({r.s for r in at if test(r.doc_id)} for test in (lambda i: i == 7, lambda i: i is None or i < 7, lambda i: i is not None and i > 7))
+    assert len(hot) > 8 and max(below) < min(hot) and max(hot) < min(above) and max(above) < parts.shards
+    tokenizer = load_tokenizer(WORD)
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in store_and_read(docs, WORD).collect())
+    assert [r[0] for r in got] == [sum(x[1] for x in got[:i]) for i in range(len(got))] and [r[2] for r in got] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    assert sum(r[1] for r in got) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
 
 
 def test_other_tokenizers_are_asked_themselves(spark, odd_docs):
