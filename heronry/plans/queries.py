@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.functions import cleaning, diff, lines, scalars, urls
-from heronry.operators import evidence, extract, flow, sequences, state, summary
+from heronry.operators import dispatch, evidence, extract, flow, sequences, state, summary
 from heronry.plans.extraction import canonical_fields, extract_fields
 from heronry.plans.rules import EXAMPLE, RULES
 
@@ -91,6 +91,9 @@ register("control_codes", "documents", lambda d: flow.through_left("control", F.
 register("status_and_url_filter", "pages", lambda p: p.withColumn("status", F.when(c("page_id") % 3 == 0, lit("404")).otherwise(lit("200"))).filter((c("status") == "200") & (c("url").rlike(r"example\.net") | c("url").rlike("/fr/"))).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE page_id % 3 <> 0 AND (regexp_matches(url, 'example\\.net') OR regexp_matches(url, '/fr/'))")
 register("dispatch_rules", "pages", lambda p: p.select("page_id", extract.dispatch(c("url"), F.when(c("page_id") % 5 == 0, lit("500")).otherwise(lit("200")), (*RULES, EXAMPLE)).alias("rule")), "SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN CASE WHEN regexp_matches(url, 'example\\.(com|net|org)') THEN 'example' ELSE 'general' END END AS rule FROM pages")
 
+register("dispatch_many", "pages", lambda p: dispatch.dispatch_many(p.select("page_id", "url"), [(f"n{k}", rf"/[a-z]{{2}}/{k}\b") for k in range(100, 1100)], "general").drop("url"), r"""
+ SELECT page_id, CASE WHEN n BETWEEN 100 AND 1099 THEN 'n' || n ELSE 'general' END AS rule FROM (SELECT page_id, try_cast(regexp_extract(url, '/[a-z]{2}/([1-9][0-9]*)\b', 1) AS INT) AS n FROM pages)""")
+
 # --- lines ---------------------------------------------------------------------------------------
 _l = "string_split(text, chr(10))"
 _pos = lambda p: f"list_position(list_transform({_l}, lambda x: regexp_matches(x, '{p}')), true)"
