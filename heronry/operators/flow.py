@@ -34,6 +34,12 @@ def tap(observation: str, *aggregates: Column) -> Transform:
     return lambda df: df.observe(observation, *aggregates)
 
 
+def tap_or_halt(value: Column, ok: Column, reason: Column) -> Column:
+    """struct<value, control>: passes a value on that the look at it is content with; else, or if that look has no answer, the flow halts with the reason.  A null value has failed before and stays so."""
+    fine = F.coalesce(ok, F.lit(False))
+    return F.struct(F.when(fine, value).alias("value"), F.when(value.isNotNull() & ~fine, control(F.lit("halt"), reason)).alias("control"))
+
+
 def progress(observation: str, every: int) -> Transform:
     """Passes rows on and observes how many there are, and how many times ``every``."""
     return tap(observation, F.count("*").alias("rows"), F.floor(F.count("*") / every).alias("steps"))

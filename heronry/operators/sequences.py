@@ -77,6 +77,12 @@ def zip_with_index(df: DataFrame, keys: list[str], order: list[str], begin: int
     return d.withColumn("index", (F.col("index") + begin).cast("long"))
 
 
+def next_ids(df: DataFrame, order: list[str], taken: DataFrame, name: str = "id", start: int = 0) -> DataFrame:
+    """``df`` with ids that go on after the largest of ``taken``, the table of earlier runs (``start`` if it is empty), in order and without gaps."""
+    after = taken.agg(F.max(name).alias("m")).scalar()  # one value
+    return numbered(df, [], order, name).withColumn("_after", after).withColumn(name, (F.col(name) + F.coalesce(F.col("_after") + 1, F.lit(start))).cast("long")).drop("_after")
+
+
 def from_batches(df: DataFrame, items: str, order: list[str], limit: int = 0) -> DataFrame:
     """The items of array rows one by one, the first ``limit`` of them (0: all)."""
     d = df.select(*order, F.posexplode(items).alias("pos", "item"))

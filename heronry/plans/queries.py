@@ -369,10 +369,15 @@ register("stanza_chunks", "conversations", lambda v: sequences.stanzas(v, ["conv
  SELECT conv_id, CAST(stanza AS BIGINT) AS stanza, coalesce(string_agg(CASE WHEN ins = 1 THEN role END, '' ORDER BY turn), '') AS text FROM u WHERE closed = 1 GROUP BY 1, 2""")
 register("slice_stream", "events", lambda e: sequences.slice_rows(e.select("event_id"), ["event_id"], 10, 25), "SELECT event_id FROM events ORDER BY event_id LIMIT 25 OFFSET 10")
 register("zip_with_index", "events", lambda e: sequences.zip_with_index(e, ["user_id"], ["event_id"], 5).select("event_id", "index"), f"SELECT event_id, i + 5 AS index FROM {_rn}")
+register("next_ids", "orders", lambda o: sequences.next_ids(o.where("o_orderkey % 2 = 0").select("o_orderkey"), ["o_orderkey"], o.where("o_orderkey % 2 = 1 and o_orderkey < 1000").select(c("o_orderkey").alias("id"))), """
+ SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey < 1000) AS id FROM orders WHERE o_orderkey % 2 = 0""")
 register("from_batches", "orders", lambda o: sequences.from_batches(o.select("o_orderkey", F.array(c("o_orderkey"), -c("o_orderkey")).alias("a")), "a", ["o_orderkey"], 101).select("item"), "SELECT unnest([o_orderkey, -o_orderkey]) AS item FROM (SELECT o_orderkey FROM orders ORDER BY 1) LIMIT 101")
 register("stream_gather", "events", lambda e: sequences.gather(e, ["user_id"], ["event_id"], "event_type").select("user_id", F.array_join("items", ",").alias("items")), "SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS items FROM events GROUP BY 1")
 register("stream_fold", "events", lambda e: sequences.gather(e, ["user_id"], ["event_id"], "event_id").select("user_id", sequences.fold(c("items"), lit(0).cast("long"), lambda a, x: (a * 31 + x) % 1000003).alias("out")), "SELECT user_id, CAST(list_reduce(list_concat([0], list(event_id ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS out FROM events GROUP BY 1")
 _affine = sequences.Fold((1, 0), lambda s, x: (s[0] * 31 % 1000003, (s[1] * 31 + x) % 1000003), lambda a, b: (a[0] * b[0] % 1000003, (a[1] * b[0] + b[1]) % 1000003), lambda s: s[1])
+register("tap_or_halt", "orders", lambda o: o.select("o_orderkey", flow.tap_or_halt(F.when(c("o_orderkey") % 7 != 0, c("o_custkey")), F.when(c("o_orderkey") % 5 != 0, c("o_custkey") % 3 != 0), F.concat(lit("bad "), c("o_custkey").cast("string"))).alias("r")).select("o_orderkey", "r.value", c("r.control.code").alias("code"), c("r.control.msg").alias("msg")), """
+ SELECT o_orderkey, CASE WHEN ok AND there THEN o_custkey END AS value, CASE WHEN there AND NOT ok THEN 'halt' END AS code, CASE WHEN there AND NOT ok THEN 'bad ' || o_custkey END AS msg FROM (SELECT *, o_orderkey % 7 <> 0 AS there, o_orderkey % 5 <> 0 AND o_custkey % 3 <> 0 AS ok FROM orders)""")
+register("add_evidence", "benchmark", lambda b: b.select("item_id", F.array_join(evidence.add_evidence(F.array(lit("input:x")), F.substring("text", 1, 3), lit("last")), "|").alias("out")), "SELECT item_id, 'input:x|' || substr(text, 1, 3) || '|last' AS out FROM benchmark")
 register("stream_fold_merged", "events", lambda e: sequences.fold_rows(e, ["user_id"], ["event_id"], "event_id", _affine, "long"), "SELECT user_id, CAST(list_reduce(list_concat([0], list(event_id ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS out FROM events GROUP BY 1")
 register("generated_words", "benchmark", lambda b: flow.each_generated(b.select("item_id", "text"), flow.generator(b.sparkSession, "words_of", _words_or_fail, "string"), "text").select("item_id", "pos", "value", c("control.msg").alias("msg")), """
  SELECT item_id, CAST(i - 1 AS INT) AS pos, w[i] AS value, NULL::VARCHAR AS msg FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)) WHERE i <= 20
