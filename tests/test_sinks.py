@@ -67,8 +67,9 @@ def test_feed_in_ranges(spark, service, tmp_path):
         return spark.readStream.format("note_ranges").options(**source).load().writeStream.foreachBatch(each).option("checkpointLocation", marks).trigger(processingTime="0 seconds").start()
 
     for total in (4000, 4700):
-        Server.notes, q = total, run()
-        for _ in range(600):
+        Server.notes = total
+        q = run()
+        for _ in range(2400):
             if sum(sizes) >= total:
                 break
             q.awaitTermination(0.1)
